@@ -27,4 +27,4 @@ from tablewright.sources.tables import read_jdbc, sql_query, write_jdbc, write_t
 # Functions that run in Python workers travel with the tasks; executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [n for n, v in list(globals().items()) if callable(v) and not n.startswith("_")]

@@ -60,6 +60,6 @@ def maintain(path: str, apply: Callable[[DataFrame | None, DataFrame], DataFrame
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
     """The table after the last batch handled by :func:`maintain`."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
              .load(path).select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("long").alias("v")))
     return spark.read.parquet(f"{path}/version={files.agg(F.max('v')).first()[0]}")
