@@ -158,7 +158,8 @@ def scd2(source: DataFrame, target: DataFrame | None, keys: Sequence[str], valid
 
     both = side(source, "s", shaped(source, from_source)).unionByName(
         side(target.filter(active), "t", shaped(target, from_target)))
-    per_key = both.groupBy(*key_names).agg(
+    # Partitioned by key first, both steps of the aggregate share one sort.
+    per_key = both.repartition(*key_names).groupBy(*key_names).agg(
         F.count("s").alias("ns"), F.count("t").alias("nt"),
         F.any_value("s", True).alias("s"), F.any_value("t", True).alias("t"))
     fail = F.raise_error(F.concat(F.lit("key not unique: "), F.to_json(F.struct(*key_names))))

@@ -24,9 +24,11 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.operators.ordering import total_order
-from tablewright.sources.scratch import cut_lineage
+from tablewright.sources.scratch import cut_lineage, plan_size, with_place
 
 FAN_IN = 8
+PARTITION_BYTES = 128 << 20
+MOST_PARTITIONS = 100_000
 
 
 class Steps(NamedTuple):
@@ -64,8 +66,8 @@ def _first_reaching(sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return found
 
 
-def steps_of(values: np.ndarray, threshold: float) -> Steps:
-    """The step function of a stretch of rows."""
+def steps_of(values: np.ndarray, threshold: float, floor: float = -np.inf) -> Steps:
+    """The step function of a stretch of rows, for incoming sums from ``floor`` up."""
     n = len(values)
     if n == 0:
         return NO_ROWS
@@ -89,18 +91,20 @@ def steps_of(values: np.ndarray, threshold: float) -> Steps:
     record = np.maximum.accumulate(sums)
     first = np.flatnonzero(np.concatenate(([True], record[1:] > record[:-1])))[::-1]
     start = follow[first + 1]
-    return _thinned(float(sums[-1]), threshold - sums[first], open_sum[start], 1 + cuts[first + 1])
+    return _thinned(float(sums[-1]), threshold - sums[first], open_sum[start], 1 + cuts[first + 1], floor)
 
 
-def _thinned(total: float, low: np.ndarray, out: np.ndarray, cuts: np.ndarray) -> Steps:
-    """Neighbouring steps with one outcome become one step."""
+def _thinned(total: float, low: np.ndarray, out: np.ndarray, cuts: np.ndarray, floor: float) -> Steps:
+    """Steps below ``floor`` are left out and neighbours with one outcome become one step."""
     if len(low) > 1:
+        reach = max(int(np.searchsorted(low, floor, side="right")) - 1, 0)
+        low, out, cuts = low[reach:], out[reach:], cuts[reach:]
         new = np.concatenate(([True], (out[1:] != out[:-1]) | (cuts[1:] != cuts[:-1])))
         low, out, cuts = low[new], out[new], cuts[new]
     return Steps(total, low, out, cuts)
 
 
-def then(a: Steps, b: Steps) -> Steps:
+def then(a: Steps, b: Steps, floor: float = -np.inf) -> Steps:
     """The step function of ``a``'s rows followed by ``b``'s."""
     ceiling = a.low[0] if len(a.low) else np.inf
     shifted = b.low - a.total
@@ -111,7 +115,7 @@ def then(a: Steps, b: Steps) -> Steps:
     out[cut] = b.out[at[cut]]
     cuts[cut] += b.cuts[at[cut]]
     return _thinned(a.total + b.total, np.concatenate((shifted[early], a.low)),
-                    np.concatenate((b.out[early], out)), np.concatenate((b.cuts[early], cuts)))
+                    np.concatenate((b.out[early], out)), np.concatenate((b.cuts[early], cuts)), floor)
 
 
 def apply_steps(f: Steps, incoming: float) -> tuple[float, int]:
@@ -148,27 +152,28 @@ def _runs(keys: pa.Array) -> list[tuple[str, int, int]]:
 
 
 STEPS_SCHEMA = "total double, low array<double>, out array<double>, cuts array<bigint>"
-BORDER_SCHEMA = (f"pid int, first_key string, last_key string, single boolean, carry double, closed bigint, "
-                 f"{STEPS_SCHEMA}")
+BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry double, closed bigint, "
+                 f"lowest double, {STEPS_SCHEMA}")
 
 
-def _border(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -> Iterator[pa.RecordBatch]:
     """One row per partition: its first and last key, the step function where it holds one
     key only, and the open sum of the last key's rows counted from this partition's start."""
     pid, first, last, single = None, None, None, True
-    head, held, carry, closed = NO_ROWS, [], 0.0, 0
+    head, held, carry, closed, lowest = NO_ROWS, [], 0.0, 0, 0.0
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, values = batch.column("key"), batch.column("value").to_numpy(zero_copy_only=False)
         runs = _runs(keys)
+        lowest = min(lowest, float(values.min()))
         if pid is None:
             pid, first, last = batch.column("pid")[0].as_py(), runs[0][0], runs[0][0]
         if single and len(runs) == 1 and runs[0][0] == last:
             held.append(values)
             # Enough rows at once that composing costs no more than the rows themselves.
             if sum(map(len, held)) >= max(1 << 16, len(head.low)):
-                head, held = then(head, steps_of(np.concatenate(held), threshold)), []
+                head, held = then(head, steps_of(np.concatenate(held), threshold, floor), floor), []
         else:
             single, head, held = False, NO_ROWS, []
         key, lo, hi = runs[-1]
@@ -177,14 +182,15 @@ def _border(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         carry, closed = fold(values[lo:hi], carry, closed, threshold)
     if pid is not None:
         if held:
-            head = then(head, steps_of(np.concatenate(held), threshold))
+            head = then(head, steps_of(np.concatenate(held), threshold, floor), floor)
         yield pa.RecordBatch.from_pylist([{"pid": pid, "first_key": first, "last_key": last, "single": single,
-                                           "carry": carry, "closed": closed, **_packed(head)}], BORDER_ARROW)
+                                           "carry": carry, "closed": closed, "lowest": lowest,
+                                           **_packed(head)}], BORDER_ARROW)
 
 
 BORDER_ARROW = pa.schema([
     ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
-    ("carry", pa.float64()), ("closed", pa.int64()), ("total", pa.float64()), ("low", pa.list_(pa.float64())),
+    ("carry", pa.float64()), ("closed", pa.int64()), ("lowest", pa.float64()), ("total", pa.float64()), ("low", pa.list_(pa.float64())),
     ("out", pa.list_(pa.float64())), ("cuts", pa.list_(pa.int64()))])
 
 
@@ -197,11 +203,11 @@ def _unpacked(row) -> Steps:
                  np.asarray(row.cuts, dtype=np.int64))
 
 
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
+def _compose(pdf: pd.DataFrame, floor: float) -> pd.DataFrame:
     pdf = pdf.sort_values("spot")
     result = NO_ROWS
     for row in pdf.itertuples():
-        result = then(result, _unpacked(row))
+        result = then(result, _unpacked(row), floor)
     return pd.DataFrame([{"chain": pdf["chain"].iloc[0], "spot": pdf["parent"].iloc[0], **_packed(result)}])
 
 
@@ -217,7 +223,8 @@ def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chain", "spot", "in_carry", "in_closed", "out_carry", "out_closed"])
 
 
-def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries: list[tuple[int, float, int]]) -> dict:
+def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries: list[tuple[int, float, int]],
+                 floor: float) -> dict:
     """``pid -> (carry, closed)`` leaving each partition of the chains: up the tree composing
     step functions, down again handing each node its incoming sum."""
     spark = borders.sparkSession
@@ -228,7 +235,7 @@ def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries:
     while longest > 1:
         grouped = levels[-1].withColumn("parent", F.expr(f"spot div {FAN_IN}").cast("int"))
         levels.append(cut_lineage(grouped.groupBy("chain", "parent").applyInPandas(
-            _compose, f"chain int, spot int, {STEPS_SCHEMA}")))
+            lambda pdf: _compose(pdf, floor), f"chain int, spot int, {STEPS_SCHEMA}")))
         longest = -(-longest // FAN_IN)
     known = spark.createDataFrame([(c, 0, s, n) for c, s, n in entries],
                                   "chain int, parent int, in_carry double, in_closed long")
@@ -246,7 +253,7 @@ def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries:
 STEPS_COLUMNS = ["total", "low", "out", "cuts"]
 
 
-def _entries(borders: DataFrame) -> dict[int, tuple[float, int]]:
+def _entries(borders: DataFrame, floor: float) -> dict[int, tuple[float, int]]:
     """``pid -> (sum, closed parts)`` brought into each partition that goes on with a key of
     the one before. The driver sees one short row per partition; step functions stay out."""
     rows = sorted(borders.select("pid", "first_key", "last_key", "single", "carry", "closed").collect(),
@@ -263,7 +270,7 @@ def _entries(borders: DataFrame) -> dict[int, tuple[float, int]]:
         else:
             leaves[row["pid"]] = (row["carry"], row["closed"])
     if spots:
-        leaves.update(_chain_exits(borders, spots, chain_entries))
+        leaves.update(_chain_exits(borders, spots, chain_entries, floor))
     return {row["pid"]: leaves[before["pid"]] for before, row in zip(rows, rows[1:]) if goes_on[row["pid"]]}
 
 
@@ -303,15 +310,24 @@ def chunk_cumulative(df: DataFrame, column: str, threshold: float, order_by: Seq
     value = F.coalesce(F.nanvl(col(column).try_cast("double"), F.lit(0.0)), F.lit(0.0))
     # The input place comes last in the order: equal copies of a row can be divided by it.
     order = [*keys, *total_order(df, order_by), F.col("__place")]
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = (df.withColumn("__place", F.monotonically_increasing_id())
+    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              min((plan_size(df) or 0) // PARTITION_BYTES, MOST_PARTITIONS))
+    laid = (with_place(df, "__place")
             .repartitionByRange(count, *order).sortWithinPartitions(*order).drop("__place")
             .withColumns({"__key": F.to_json(F.struct(*keys)) if keys else F.lit(""),
                           "__value": value, "__pid": F.spark_partition_id()}))
     laid = cut_lineage(laid)
-    borders = cut_lineage(laid.select(F.col("__pid").alias("pid"), F.col("__key").alias("key"),
-                                      F.col("__value").alias("value"))
-                          .mapInArrow(lambda batches: _border(batches, threshold), BORDER_SCHEMA))
-    entries = _entries(borders)
+    cells = laid.select(F.col("__pid").alias("pid"), F.col("__key").alias("key"), F.col("__value").alias("value"))
+
+    def borders_from(floor: float) -> DataFrame:
+        return cut_lineage(cells.mapInArrow(lambda batches: _border(batches, threshold, floor), BORDER_SCHEMA))
+
+    # Without negative values no sum is below 0, which keeps the step functions small.
+    floor = 0.0
+    borders = borders_from(floor)
+    if (borders.agg(F.min("lowest")).first()[0] or 0.0) < 0:
+        floor = -np.inf
+        borders = borders_from(floor)
+    entries = _entries(borders, floor)
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.LongType())])
     return laid.mapInArrow(lambda batches: _number(batches, threshold, entries, part), schema)

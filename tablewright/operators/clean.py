@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.text import col, date_text, java_pattern
+from tablewright.functions.text import col, date_text, java_pattern, looks_numeric
 from tablewright.operators.joins import join
 from tablewright.operators.ordering import deduplicate, sort
 
@@ -100,7 +100,7 @@ CAST_TARGETS = {
 }
 
 
-def cast_column(c: Column, target: str) -> Column:
+def cast_column(c: Column, target: str, from_text: bool = False) -> Column:
     kind, _, fmt = target.partition(":")
     kind = kind.strip().lower()
     if kind == "date":
@@ -111,7 +111,9 @@ def cast_column(c: Column, target: str) -> Column:
         return F.try_to_timestamp(date_text(c, fmt), F.lit(java_pattern(fmt))).cast("timestamp_ntz")
     if kind not in CAST_TARGETS:
         raise ValueError(f"unsupported cast target '{target}'")
-    return c.try_cast(CAST_TARGETS[kind])
+    result = c.try_cast(CAST_TARGETS[kind])
+    # Spark would also read the suffixes of Java literals, as in '1d'.
+    return F.when(looks_numeric(c), result) if from_text and CAST_TARGETS[kind] == "double" else result
 
 
 def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
@@ -119,4 +121,6 @@ def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
     missing = [c for c in casts if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
-    return df.withColumns({name: cast_column(col(name), target) for name, target in casts.items()})
+    return df.withColumns({
+        name: cast_column(col(name), target, isinstance(df.schema[name].dataType, T.StringType))
+        for name, target in casts.items()})

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import col
+from tablewright.sources.scratch import plan_size
 
 KEY = "__key_{}"
 
@@ -22,13 +23,10 @@ def _as_list(names: str | Sequence[str]) -> list[str]:
 
 def _fits_broadcast(df: DataFrame) -> bool:
     """Whether the planner's size estimate lets Spark broadcast ``df`` on its own."""
-    try:
-        limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        parse = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
-        return 0 <= int(str(size)) <= parse(limit)
-    except AttributeError:
+    size = plan_size(df)
+    if size is None:
         return False
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:

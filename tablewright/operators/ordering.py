@@ -9,19 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import col
-from tablewright.sources.scratch import cut_lineage
+from tablewright.sources.scratch import cut_lineage, with_place
 
 TAKE_LIMIT = 100_000
 
 
 def sort(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
-    """Order by one column, nulls last both ways; equal values keep their input order.
-
-    The input place is part of the sort key, so a value that fills much of the table is
-    spread over several range partitions.
-    """
+    """Order by one column, nulls last both ways. Equal values go by all other columns, so a
+    value that fills much of the table is spread over several range partitions."""
     first = col(by).desc_nulls_last() if descending else col(by).asc_nulls_last()
-    return df.withColumn("__place", F.monotonically_increasing_id()).orderBy(first, "__place").drop("__place")
+    return df.orderBy(first, *[col(c) for c in df.columns if c != by])
 
 
 def total_order(df: DataFrame, order_by: Sequence[str | Column]) -> list[Column]:
@@ -39,8 +36,7 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], position: str
     broadcast holds one row per partition.
     """
     # Equal copies of a row are told apart by their input place and so can be split too.
-    tied = df.withColumn("__place", F.monotonically_increasing_id())
-    ordered = cut_lineage(tied.orderBy(*total_order(df, order_by), "__place").drop("__place"))
+    ordered = cut_lineage(with_place(df, "__place").orderBy(*total_order(df, order_by), "__place").drop("__place"))
     spot = F.monotonically_increasing_id()
     placed = ordered.withColumn("__spot", spot)
     part = F.shiftright("__spot", 33)

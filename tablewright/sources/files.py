@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,18 +53,19 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The JSON objects of one partition as the lines of one array, one row held back."""
-    held, opened = None, False
+    """The JSON objects of one partition as the lines of one array: ``[`` before the first,
+    a comma before each other, ``]`` as the last line."""
+    opened = False
     for batch in batches:
-        lines = []
-        for text in batch.column(0).to_pylist():
-            if held is not None:
-                lines.append(held + ",")
-            held, opened = text if opened else "[" + text, True
-        if lines:
-            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
-    if held is not None:
-        yield pa.RecordBatch.from_pydict({"value": pa.array([held + "]"], pa.string())})
+        if not batch.num_rows:
+            continue
+        lines = pc.binary_join_element_wise(",", batch.column(0), "")
+        if not opened:
+            lines = pa.concat_arrays([pa.array(["[" + batch.column(0)[0].as_py()]), lines.slice(1)])
+            opened = True
+        yield pa.RecordBatch.from_arrays([lines], ["value"])
+    if opened:
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
 
 def write_any(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
@@ -111,17 +113,19 @@ def _delimiter(text: str) -> str:
     return "\t" if text == "\\t" else text if len(text) == 1 else ","
 
 
-def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True,
+                  width: int | None = None) -> DataFrame:
     """All cells of a CSV as trimmed text.
 
     Without a header the columns are ``0``, ``1``, …; cells beyond the header come as
-    ``column_<i>``, null where a row has none. The file is read once first for its width:
-    delimiters outside quotes, counted on every line.
+    ``column_<i>``, null where a row has none. Unless ``width``, the most cells of a row, is
+    given, the file is read once first to find it: delimiters outside quotes on every line.
     """
     sep = _delimiter(delimiter)
-    bare = F.regexp_replace("value", r'"([^"]|"")*"', "")
-    count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-    width = spark.read.text(path).agg(F.max(count).alias("w")).first()["w"] or 0
+    if width is None:
+        bare = F.regexp_replace("value", r'"([^"]|"")*"', "")
+        count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+        width = spark.read.text(path).agg(F.max(count).alias("w")).first()["w"] or 0
     common = {"sep": sep, "header": has_headers, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
               "escape": '"'}
     named = [c.strip() for c in spark.read.csv(path, **common).columns] if has_headers else []

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint: the rows and their partitions stay as they are, whatever is lost later."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def plan_size(df: DataFrame) -> int | None:
+    """The planner's estimate of the bytes of ``df``; None where it cannot be asked."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
+def with_place(df: DataFrame, place: str) -> DataFrame:
+    """Number the rows by their input place, the same numbers whenever a task runs again.
+
+    Rows straight from files come in one order always. After a shuffle they may not, so
+    the numbers are then fixed on disk before anything is partitioned by them.
+    """
+    numbered = df.withColumn(place, F.monotonically_increasing_id())
+    try:
+        shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    except AttributeError:
+        shuffled = True
+    return cut_lineage(numbered) if shuffled else numbered
