@@ -45,10 +45,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     if extra and not schema_drift:
         raise ValueError(f"columns not in the target: {extra}")
     keyless = source.filter(_has_null(keys))
-    latest = deduplicate(source.filter(~_has_null(keys)), keys, keep="last", order_by=order_by)
+    # Laid out by keys and a hash, the source is shuffled again by the join below: the
+    # adaptive planner splits a hot key of the target only between two plain shuffles.
+    spread = source.filter(~_has_null(keys)).withColumn("__spread", F.xxhash64(*[col(k) for k in keys]))
+    latest = deduplicate(spread, [*keys, "__spread"], keep="last", order_by=order_by).drop("__spread")
     changes = [c for c in source.columns if c not in keys]
-    # The source side has each key once, so a key repeated in the target sits on the left,
-    # where the adaptive planner can split it.
+    # The source has each key once, so a key repeated in the target sits on the left.
     tagged = latest.select(*[col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
                            F.struct(F.lit(True), *[col(c) for c in changes]).alias("__new"))
     joined = target.join(tagged, [col(k) == F.col(f"__k_{i}") for i, k in enumerate(keys)], "left")

@@ -29,9 +29,15 @@ def _fits_broadcast(df: DataFrame) -> bool:
     return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-def _distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys once each: the partial step of the aggregate folds a hot key before the shuffle."""
-    return df.select(*keys).distinct()
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys once each: the partial step of the aggregate folds a hot key before the shuffle.
+
+    Grouped by a hash beside the keys, the result is not laid out as a join on the keys
+    wants it, so the join shuffles it once more. Only a join between two plain shuffles is
+    split by the adaptive planner when the other side has a hot key.
+    """
+    cols = [col(k) for k in keys]
+    return df.select(*cols, F.xxhash64(*cols).alias("__spread")).distinct().select(*cols)
 
 
 def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
@@ -65,11 +71,11 @@ def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
     if _fits_broadcast(slim):
         kept = result(left.join(slim, condition, "left"))
     else:
-        alone = left.join(_distinct_keys(slim, keys), condition, "left_anti")
+        alone = left.join(distinct_keys(slim, keys), condition, "left_anti")
         kept = matched.unionByName(alone, allowMissingColumns=True)
     if how == "left":
         return kept
-    left_keys = _distinct_keys(left.select(*[col(k).alias(f"{key}_left") for k, key in zip(lk, keys)]),
+    left_keys = distinct_keys(left.select(*[col(k).alias(f"{key}_left") for k, key in zip(lk, keys)]),
                                [f"{key}_left" for key in keys])
     extra = slim.join(left_keys, [F.col(k) == F.col(f"{k}_left") for k in keys], "left_anti")
     extra = extra.select(*[F.col(key).alias(k) for k, key in zip(lk, keys)],
@@ -87,5 +93,4 @@ def lookup(df: DataFrame, dictionary: DataFrame, source_key: str, lookup_key: st
 
 def anti_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose keys are absent from ``other``; rows with a null key stay."""
-    return df.join(other.select(*[col(k) for k in keys]).distinct(), list(keys), "left_anti") \
-        .select(*[col(c) for c in df.columns])
+    return df.join(distinct_keys(other, keys), list(keys), "left_anti").select(*[col(c) for c in df.columns])

@@ -14,40 +14,30 @@ from tablewright.functions.text import col, looks_numeric, strip
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """One row per column: rows, nulls, distinct texts, number statistics, sample values.
 
-    Cells are counted once per (column, text) before anything else, so a frequent value is
-    folded before the shuffle and the distinct count is a plain count. Samples are the
-    smallest distinct texts; the rank filter keeps them down to a few rows per task.
+    Counts and number statistics fold to one row per column before their shuffle. Distinct
+    texts are shuffled once, spread by (column, text), for their number and for the samples,
+    which are the smallest texts; the rank filter keeps those down to a few rows per task.
     """
     text = [F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
     cells = df.select(*text).unpivot([], [col(c) for c in df.columns], "column", "cell")
-    groups = cells.groupBy("column", "cell").agg(F.count("*").alias("n"))
     trimmed = strip(F.col("cell"))
     number = F.when(looks_numeric(trimmed), trimmed.try_cast("double"))
-    groups = groups.withColumn("number", number)
-    weight, x = F.col("n"), F.col("number")
-    # Shifted by a value of the column, the squares stay small and the variance exact enough.
-    stats = groups.groupBy("column").agg(
-        F.sum("n").alias("total_rows"),
-        F.coalesce(F.sum(F.when(strip(F.col("cell")) == "", weight)), F.lit(0)).alias("nulls"),
-        F.count("*").alias("uniques"),
-        F.min(x).alias("min"), F.max(x).alias("max"),
-        F.sum(F.when(x.isNotNull(), weight)).alias("__n"),
-        F.sum(x * weight).alias("__sum"))
-    centred = groups.filter(x.isNotNull()).join(
-        stats.select("column", (F.col("__sum") / F.col("__n")).alias("__mean")), "column")
-    spread = centred.groupBy("column").agg(
-        F.sum(F.pow(x - F.col("__mean"), F.lit(2)) * weight).alias("__squares"))
+    x = F.col("number")
+    stats = cells.select("column", (trimmed == "").alias("blank"), number.alias("number")).groupBy("column").agg(
+        F.count("*").alias("total_rows"), F.count_if("blank").alias("nulls"), F.count(x).alias("__n"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__std"))
+    distinct = cells.distinct()
+    uniques = distinct.groupBy("column").agg(F.count("cell").alias("uniques"))
     ranked = Window.partitionBy("column").orderBy("cell")
-    picked = (groups.select("column", "cell").withColumn("__rank", F.row_number().over(ranked))
-              .filter(F.col("__rank") <= samples)
+    picked = (distinct.withColumn("__rank", F.row_number().over(ranked)).filter(F.col("__rank") <= samples)
               .groupBy("column").agg(F.array_sort(F.collect_list("cell")).alias("samples")))
-    mean = F.col("__sum") / F.col("__n")
-    return (stats.join(spread, "column", "left").join(picked, "column", "left")
+    # Each side has one row per column of the table, so broadcasting it is bounded.
+    return (stats.join(F.broadcast(uniques), "column").join(F.broadcast(picked), "column")
             .select("column", F.when(F.col("__n") > 0, "numeric").otherwise("text").alias("type"),
                     "total_rows", "nulls",
                     F.round(F.col("nulls") / F.col("total_rows") * 100, 1).alias("null_pct"),
-                    "uniques", "min", "max", F.round(mean, 2).alias("mean"),
-                    F.round(F.sqrt(F.col("__squares") / F.col("__n")), 2).alias("std"), "samples"))
+                    "uniques", "min", "max", F.round("__mean", 2).alias("mean"),
+                    F.round("__std", 2).alias("std"), "samples"))
 
 
 def expected_columns(expected: str | Sequence[str]) -> list[str]:

@@ -5,8 +5,8 @@ import pytest
 from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 
-from tablewright import (count_by, deduplicate, groupby, head, histogram, histogram_quantiles, join, lookup, metric,
-                         profile, require_schema, schema_check, sort, top_groups, with_position)
+from tablewright import (anti_join, count_by, deduplicate, groupby, head, histogram, histogram_quantiles, join, lookup, metric,
+                         partition_by, profile, require_schema, schema_check, sort, top_groups, upsert, with_position)
 from tablewright.operators import ordering
 
 
@@ -158,5 +158,66 @@ def test_a_hot_key_is_thinned_before_the_shuffle(spark):
     assert "Partial" in plan[shuffle:] and "WindowGroupLimit" in plan[shuffle:]
 
 
-def test_counter_sanity():
-    assert Counter(k for k, _ in LEFT)[7] == 40
+@pytest.fixture
+def touchy_skew(spark, shuffled_joins):
+    """Partitions count as skewed at test size."""
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def hot(spark, tmp_path, name, share, n=40_000):
+    """A table of n rows in which one key holds the given share."""
+    path = str(tmp_path / name)
+    key = F.when(F.col("id") % 100 < int(share * 100), 7).otherwise(F.col("id") % 5000)
+    (spark.range(0, n, 1, 8).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias(f"v_{name}"))
+     .write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def executed(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_hot_keys_are_split_on_either_side(spark, touchy_skew, tmp_path):
+    big = hot(spark, tmp_path, "big", 0.34)
+    few = spark.range(0, 4000, 1, 4).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
+    few.write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    expected = Counter(min(r["k"], 4000) for r in big.collect())
+    rows, plan = executed(join(big, few, "k", how="left"))
+    assert len(rows) == 40_000 and sum(r["w"] is None for r in rows) == expected[4000]
+    assert plan.count("SortMergeJoin(skew=true)") >= 1
+    rows, plan = executed(join(few, big, "k", how="outer"))
+    assert len(rows) == 40_000 + sum(k not in expected for k in range(4000))
+    assert plan.count("SortMergeJoin(skew=true)") >= 1
+
+
+def test_hot_target_keys_are_split_in_change_capture(spark, touchy_skew, tmp_path):
+    target = hot(spark, tmp_path, "t", 0.34)
+    source = spark.range(0, 3000, 1, 4).select(F.col("id").alias("k"), F.lit("new").alias("v_t"))
+    source.write.parquet(str(tmp_path / "s"))
+    source = spark.read.parquet(str(tmp_path / "s"))
+    rows, plan = executed(anti_join(target, source.filter("k <> 7"), ["k"]))
+    assert "SortMergeJoin(skew=true)" in plan and sum(r["k"] == 7 for r in rows) >= 13_600
+    rows, plan = executed(upsert(target, source, ["k"]))
+    assert "SortMergeJoin(skew=true)" in plan
+    assert sum(r["v_t"] == "new" for r in rows) == target.filter("k < 3000").count() + \
+        source.join(target, "k", "left_anti").count()
+
+
+def test_a_hot_value_is_written_as_several_files(spark, touchy_skew, tmp_path):
+    df = hot(spark, tmp_path, "w", 0.5).withColumn("part", F.when(F.col("k") == 7, 1).otherwise(F.col("k") % 3 + 2))
+    partition_by(df, ["part"], str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 40_000
+    files = back.select("part", F.input_file_name().alias("f")).distinct().groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in files}[1] > 3
