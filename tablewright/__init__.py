@@ -9,7 +9,7 @@ from tablewright.operators.aggregates import (count_by, groupby, histogram, hist
 from tablewright.operators.anonymize import anonymize
 from tablewright.operators.changes import delta, scd2, schema_drift_upsert, sync, sync_counts, upsert
 from tablewright.operators.chunks import chunk_cumulative
-from tablewright.operators.clean import clean, derive, drop_na, fill_na, if_else, rename, type_cast
+from tablewright.operators.clean import clean, derive, drop_na, fill_na, if_else, infer_types, rename, type_cast
 from tablewright.operators.drift import union_with_drift
 from tablewright.operators.filters import filter_rows
 from tablewright.operators.generate import add_generated, generate

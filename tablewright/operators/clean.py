@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.text import col, date_text, java_pattern, looks_numeric
+from tablewright.functions.text import NUMBER_PATTERN, col, date_text, java_pattern, looks_numeric
 from tablewright.operators.joins import join
 from tablewright.operators.ordering import deduplicate, sort
 
@@ -124,3 +124,21 @@ def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
     return df.withColumns({
         name: cast_column(col(name), target, isinstance(df.schema[name].dataType, T.StringType))
         for name, target in casts.items()})
+
+
+# The texts that count as each type when types are inferred.
+TYPE_TEXTS = {"bigint": r"^[+-]?\d{1,18}$", "double": NUMBER_PATTERN, "boolean": "(?i)^(true|false)$"}
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns turned to integer, float or boolean where every filled cell fits, in one
+    pass over the rows. Dates stay text."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    fits = df.agg(*[F.struct(F.count_if(col(n) != "").alias("filled"),
+                             *[F.count_if((col(n) != "") & col(n).rlike(p)).alias(t) for t, p in TYPE_TEXTS.items()])
+                    .alias(n) for n in names]).first()
+    kinds = {n: next((t for t in TYPE_TEXTS if fits[n]["filled"] and fits[n][t] == fits[n]["filled"]), None)
+             for n in names}
+    return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in kinds.items() if t})

@@ -37,6 +37,19 @@ for _kind in ("csv", "json", "jsonl"):
         return read_any(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "segment")
 
 
+@query("csv_types", """
+    select 'bigint' as event_id, 'double' as value, 'string' as ts, 'boolean' as big, 'string' as props, count(*) as n,
+           sum(event_id) as ids, count(*) filter (where value >= 50) as n_big from events""")
+def _(spark, folder):
+    path = scratch_path(spark, "types") + ".csv"
+    events = table(spark, folder, "events")
+    write_any(events.select("event_id", "value", "ts", (F.col("value") >= 50).alias("big"), "props"), path, escape='"')
+    back = read_any(spark, path, escape='"')
+    kinds = [F.lit(kind).alias(name) for name, kind in back.dtypes]
+    return back.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_if("big").alias("n_big")).select(
+        *kinds, "n", "ids", "n_big")
+
+
 @query("convert_parquet_jsonl", "select * from orders")
 def _(spark, folder):
     path = scratch_path(spark, "convert") + ".jsonl"

@@ -28,19 +28,21 @@ def _(spark, folder):
     return join(table(spark, folder, "documents").drop("text"), table(spark, folder, "labels"), "doc_id", how="left")
 
 
-BY_STATUS = "(select o_custkey as id, count(*) as n, max(o_totalprice) as top from orders where o_orderstatus = '{0}' group by 1)"
-
-
-def by_status(spark, folder, status):
-    return (table(spark, folder, "orders").filter(F.col("o_orderstatus") == status)
-            .groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")))
+FINISHED = """(select o_custkey as id, o_orderpriority as level, count(*) as n, max(o_totalprice) as top from orders
+               where o_orderstatus {0} 'F' group by 1, 2)"""
 
 
 @query("join_outer", f"""
-    select coalesce(a.id, b.id) as id, a.n, a.top, b.n as n_right, b.top as top_right
-    from {BY_STATUS.format('F')} a full join {BY_STATUS.format('O')} b on a.id = b.id""")
+    select coalesce(a.id, b.id) as id, coalesce(a.level, b.level) as level, a.n, a.top, b.n as n_right, b.top as top_right
+    from {FINISHED.format('=')} a full join {FINISHED.format('<>')} b on a.id = b.id and a.level = b.level""")
 def _(spark, folder):
-    return join(by_status(spark, folder, "F"), by_status(spark, folder, "O"), "id", how="outer")
+    orders, finished = table(spark, folder, "orders"), F.col("o_orderstatus") == "F"
+
+    def summary(condition):
+        return (orders.filter(condition).groupBy(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("level"))
+                .agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")))
+
+    return join(summary(finished), summary(~finished), ["id", "level"], how="outer")
 
 
 @query("lookup", """

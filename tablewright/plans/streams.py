@@ -51,10 +51,12 @@ def _(spark, folder):
         "event_id", "event_type", "value", F.col("is_valid").cast("boolean"))
 
 
-@query("stream_upsert", """
-    select o_custkey as id, coalesce(max_by(o_totalprice, (o_totalprice, o_orderkey)) filter (where o_orderstatus = 'O'),
-                                     max_by(o_totalprice, (o_totalprice, o_orderkey)) filter (where o_orderstatus = 'F')) as price
-    from orders where o_orderstatus in ('O', 'F') group by 1""")
+LATEST = "max_by(o_totalprice, (o_totalprice, o_orderkey)) filter (where o_orderstatus = '{0}')"
+
+
+@query("stream_upsert", f"""
+    select o_custkey as id, coalesce({LATEST.format('O')}, {LATEST.format('F')}, {LATEST.format('P')}) as price
+    from orders group by 1""")
 def _(spark, folder):
     base = scratch_path(spark, "stream")
     orders = table(spark, folder, "orders")
@@ -64,7 +66,7 @@ def _(spark, folder):
         empty = latest.limit(0) if before is None else before
         return upsert(empty, latest, ["id"], order_by=["price", "o_orderkey"])
 
-    for status in ("F", "O"):
+    for status in ("P", "F", "O"):
         rows = orders.filter(F.col("o_orderstatus") == status).select(
             F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), "o_orderkey")
         land(rows, f"{base}/in")

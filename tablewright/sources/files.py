@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.text import col, tag_name
+from tablewright.operators.clean import infer_types
 
 # Fixed value: delimiters in the order they are looked for.
 DELIMITERS = (";", ",", "\t", "|")
@@ -35,6 +36,7 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """Read CSV with a header, JSON, JSON Lines or Parquet, told by the extension.
 
     Without a schema CSV and JSON are read once more to infer it; give one for large data.
+    CSV cells become integers, floats or booleans where a whole column fits, else text.
     A JSON array cannot be cut, so each such file is one task; JSON Lines has no such limit.
     """
     kind = file_format(path)
@@ -42,9 +44,8 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        return reader.option("header", True).csv(path)
+        cells = reader.option("header", True).csv(path)
+        return infer_types(cells) if schema is None else cells
     if kind == "json":
         return reader.json(path, multiLine=_holds_arrays(spark, path))
     if kind == "jsonl":

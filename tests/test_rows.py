@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 
-from tablewright import (anonymize, clean, derive, drop_na, fill_na, filter_rows, flag_valid, if_else,
+from tablewright import (anonymize, clean, derive, drop_na, fill_na, filter_rows, flag_valid, if_else, infer_types,
                          observe_validation, rename, render_template, type_cast, validate)
 from tablewright.functions.masking import fnv_digests
 from tablewright.functions.text import java_pattern, tag_name
@@ -198,3 +198,14 @@ def test_template(spark):
     df = spark.createDataFrame([("A", 1), (None, 2)], "name string, n int")
     out = render_template(df, "${name}-${n}-${what}-${c}", "t", constants={"c": "k"})
     assert [r["t"] for r in out.orderBy("n").collect()] == ["A-1-${what}-k", "None-2-${what}-k"]
+    clock = render_template(df, "${TODAY} ${CURRENT_YEAR} ${NOW}", "t").first()["t"].split()
+    assert clock[0].startswith(clock[1]) and clock[0] == clock[2] and len(clock[3]) == 8
+    assert render_template(df, "", "t").first()["t"] == ""
+
+
+def test_infer_types(spark):
+    df = spark.createDataFrame([("1", "1.5", "TRUE", "x", None, "2026-01-01"), ("-007", "2", "false", "1", "", None),
+                                ("", "1e3", None, "2", None, None)], "i string, d string, b string, s string, e string, t string")
+    out = infer_types(df)
+    assert [t for _, t in out.dtypes] == ["bigint", "double", "boolean", "string", "string", "string"]
+    assert [tuple(r)[:3] for r in out.collect()] == [(1, 1.5, True), (-7, 2.0, False), (None, 1000.0, None)]
