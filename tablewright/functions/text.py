@@ -72,10 +72,10 @@ def java_pattern(fmt: str) -> str:
 
 
 def date_text(c: Column, fmt: str) -> Column:
-    """The part of a text that looks like a date in ``fmt``; '' where there is none."""
+    """The part of a text that looks like a date in ``fmt``; null where there is none."""
     pattern = re.sub(r"%(.)|([^%]+)", lambda m: STRFTIME_TEXT.get(m[1], r"\d{2}") if m[1] else
                      "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in m[2]), fmt)
-    return F.regexp_extract(c.cast("string"), pattern, 0)
+    return F.nullif(F.regexp_extract(c.cast("string"), pattern, 0), F.lit(""))
 
 
 def tag_name(name: str) -> str:

@@ -4,7 +4,8 @@ The sum starts again at 0 after each cut, so it is a fold over the rows in order
 window sum. It still runs in parallel, key or no key. The rows are range-partitioned by
 (key, order), so a key with much of the data covers many partitions. For each of those one
 task works out how an incoming sum leaves the partition: a step function of that sum, with
-no more steps than the rows of about one part. The functions are composed in a tree, the
+no more steps than the rows of about one part, or with negative values the rows it takes to
+make up for the deepest fall as well. The functions are composed in a tree, the
 sums at the partition borders are read off, and a second pass numbers the rows.
 """
 
@@ -153,20 +154,42 @@ def _runs(keys: pa.Array) -> list[tuple[str, int, int]]:
 
 STEPS_SCHEMA = "total double, low array<double>, out array<double>, cuts array<bigint>"
 BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry double, closed bigint, "
-                 f"lowest double, {STEPS_SCHEMA}")
+                 f"change double, peak double, trough double, fall double, {STEPS_SCHEMA}")
+
+
+class Swing(NamedTuple):
+    """How a plain running total moves over a stretch of rows: its change, highest and lowest
+    point, both counting the start, and its deepest fall from an earlier point."""
+
+    change: float = 0.0
+    peak: float = 0.0
+    trough: float = 0.0
+    fall: float = 0.0
+
+    def and_then(self, later: Swing) -> Swing:
+        return Swing(self.change + later.change, max(self.peak, self.change + later.peak),
+                     min(self.trough, self.change + later.trough),
+                     min(self.fall, later.fall, self.change + later.trough - self.peak))
+
+
+def swing_of(values: np.ndarray) -> Swing:
+    sums = np.concatenate(([0.0], np.cumsum(values)))
+    return Swing(float(sums[-1]), float(sums.max()), float(sums.min()),
+                 float((sums - np.maximum.accumulate(sums)).min()))
 
 
 def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -> Iterator[pa.RecordBatch]:
     """One row per partition: its first and last key, the step function where it holds one
-    key only, and the open sum of the last key's rows counted from this partition's start."""
+    key only, the open sum of the last key's rows counted from this partition's start, and
+    the swing of all its values."""
     pid, first, last, single = None, None, None, True
-    head, held, carry, closed, lowest = NO_ROWS, [], 0.0, 0, 0.0
+    head, held, carry, closed, swing = NO_ROWS, [], 0.0, 0, Swing()
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, values = batch.column("key"), batch.column("value").to_numpy(zero_copy_only=False)
         runs = _runs(keys)
-        lowest = min(lowest, float(values.min()))
+        swing = swing.and_then(swing_of(values))
         if pid is None:
             pid, first, last = batch.column("pid")[0].as_py(), runs[0][0], runs[0][0]
         if single and len(runs) == 1 and runs[0][0] == last:
@@ -184,13 +207,14 @@ def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -
         if held:
             head = then(head, steps_of(np.concatenate(held), threshold, floor), floor)
         yield pa.RecordBatch.from_pylist([{"pid": pid, "first_key": first, "last_key": last, "single": single,
-                                           "carry": carry, "closed": closed, "lowest": lowest,
+                                           "carry": carry, "closed": closed, **swing._asdict(),
                                            **_packed(head)}], BORDER_ARROW)
 
 
 BORDER_ARROW = pa.schema([
     ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
-    ("carry", pa.float64()), ("closed", pa.int64()), ("lowest", pa.float64()), ("total", pa.float64()), ("low", pa.list_(pa.float64())),
+    ("carry", pa.float64()), ("closed", pa.int64()), ("change", pa.float64()), ("peak", pa.float64()),
+    ("trough", pa.float64()), ("fall", pa.float64()), ("total", pa.float64()), ("low", pa.list_(pa.float64())),
     ("out", pa.list_(pa.float64())), ("cuts", pa.list_(pa.int64()))])
 
 
@@ -274,6 +298,13 @@ def _entries(borders: DataFrame, floor: float) -> dict[int, tuple[float, int]]:
     return {row["pid"]: leaves[before["pid"]] for before, row in zip(rows, rows[1:]) if goes_on[row["pid"]]}
 
 
+def _deepest_fall(borders: DataFrame) -> float:
+    swing = Swing()
+    for row in sorted(borders.select("pid", *Swing._fields).collect(), key=lambda r: r["pid"]):
+        swing = swing.and_then(Swing(*row[1:]))
+    return swing.fall
+
+
 def _number(batches: Iterator[pa.RecordBatch], threshold: float, entries: dict, part: str) -> Iterator[pa.RecordBatch]:
     last, carry, closed = None, 0.0, 0
     for batch in batches:
@@ -322,11 +353,13 @@ def chunk_cumulative(df: DataFrame, column: str, threshold: float, order_by: Seq
     def borders_from(floor: float) -> DataFrame:
         return cut_lineage(cells.mapInArrow(lambda batches: _border(batches, threshold, floor), BORDER_SCHEMA))
 
-    # Without negative values no sum is below 0, which keeps the step functions small.
+    # An open sum is never below the deepest fall of the plain running total, which is 0
+    # without negative values. Step functions are kept for sums from there up only.
     floor = 0.0
     borders = borders_from(floor)
-    if (borders.agg(F.min("lowest")).first()[0] or 0.0) < 0:
-        floor = -np.inf
+    fall = _deepest_fall(borders)
+    if fall < 0:
+        floor = fall * (1 + 1e-6)
         borders = borders_from(floor)
     entries = _entries(borders, floor)
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.LongType())])

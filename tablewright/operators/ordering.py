@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.sources.scratch import cut_lineage, with_place
@@ -18,14 +19,19 @@ def sort(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
     """Order by one column, nulls last both ways. Equal values go by all other columns, so a
     value that fills much of the table is spread over several range partitions."""
     first = col(by).desc_nulls_last() if descending else col(by).asc_nulls_last()
-    return df.orderBy(first, *[col(c) for c in df.columns if c != by])
+    return df.orderBy(first, *[col(c) for c in orderable(df) if c != by])
+
+
+def orderable(df: DataFrame) -> list[str]:
+    """Columns Spark can sort by."""
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
 
 def total_order(df: DataFrame, order_by: Sequence[str | Column]) -> list[Column]:
-    """The order columns followed by every other one, so that only equal rows tie."""
+    """The order columns followed by every other sortable one, so that only equal rows tie."""
     named = [c for c in order_by if isinstance(c, str)]
     return [*[col(c) if isinstance(c, str) else c for c in order_by],
-            *[col(c) for c in df.columns if c not in named]]
+            *[col(c) for c in orderable(df) if c not in named]]
 
 
 def with_position(df: DataFrame, order_by: Sequence[str | Column], position: str = "position") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright import chunk_cumulative
 from tablewright.operators import chunks
-from tablewright.operators.chunks import apply_steps, fold, steps_of, then
+from tablewright.operators.chunks import Swing, apply_steps, fold, steps_of, swing_of, then
 
 
 def brute(values, threshold, carry=0.0):
@@ -60,6 +60,27 @@ def test_step_functions_stay_as_small_as_a_part():
     assert len(g.low) <= 150
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(signed, max_size=4))
+def test_swings(pieces):
+    swing = Swing()
+    for piece in pieces:
+        swing = swing.and_then(swing_of(np.array(piece, dtype=float)))
+    sums = np.concatenate(([0.0], np.cumsum([v for p in pieces for v in p])))
+    assert swing == (sums[-1], sums.max(), sums.min(), min(sums[j] - sums[i] for j in range(len(sums)) for i in range(j + 1)))
+
+
+def test_open_sums_stay_above_the_deepest_fall():
+    rng = np.random.default_rng(4)
+    values = rng.integers(-9, 12, 5000).astype(float)
+    floor, total = swing_of(values).fall, 0.0
+    for v in values:
+        total += v
+        assert total >= floor
+        total = 0.0 if total >= 40 else total
+    assert 0 < len(steps_of(values, 40.0, floor).low) < len(steps_of(values, 40.0).low) / 2
+
+
 def check(spark, rows, threshold, keyed, partitions):
     df = spark.createDataFrame(rows, "k string, pos int, v double").repartition(3)
     out = chunk_cumulative(df, "v", threshold, ["pos"], ["k"] if keyed else [], partitions=partitions)
