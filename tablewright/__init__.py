@@ -19,7 +19,8 @@ from tablewright.operators.profile import profile, require_schema, schema_check
 from tablewright.operators.reshape import explode_column, merge, partition_by, pivot, split_by, unpivot
 from tablewright.operators.template import render_template
 from tablewright.operators.text_columns import extract_fields, extract_links, map_text
-from tablewright.operators.validate import flag_valid, observe_validation, validate, validation_counts
+from tablewright.operators.validate import (flag_valid, observe_rows, observe_validation, validate,
+                                             validation_counts)
 from tablewright.sources.files import (convert, csv_to_json, file_inventory, json_to_csv, json_to_xml, preview,
                                        read_any, read_sniffed, read_xml, write_any, write_xml, xml_to_json)
 from tablewright.sources.tables import read_jdbc, sql_query, write_jdbc, write_table

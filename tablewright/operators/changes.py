@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.operators.drift import union_with_drift
-from tablewright.operators.joins import anti_join
+from tablewright.operators.joins import anti_join, any_null
 from tablewright.operators.ordering import deduplicate
 
 
@@ -29,10 +29,6 @@ def delta(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Delta:
     return Delta(source, deletes, source.unionByName(deletes, allowMissingColumns=True))
 
 
-def _has_null(keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str] = (),
            schema_drift: bool = False) -> DataFrame:
     """The target after insert-or-update on ``keys``.
@@ -44,10 +40,10 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     extra = [c for c in source.columns if c not in target.columns]
     if extra and not schema_drift:
         raise ValueError(f"columns not in the target: {extra}")
-    keyless = source.filter(_has_null(keys))
+    keyless = source.filter(any_null(keys))
     # Laid out by keys and a hash, the source is shuffled again by the join below: the
     # adaptive planner splits a hot key of the target only between two plain shuffles.
-    spread = source.filter(~_has_null(keys)).withColumn("__spread", F.xxhash64(*[col(k) for k in keys]))
+    spread = source.filter(~any_null(keys)).withColumn("__spread", F.xxhash64(*[col(k) for k in keys]))
     latest = deduplicate(spread, [*keys, "__spread"], keep="last", order_by=order_by).drop("__spread")
     changes = [c for c in source.columns if c not in keys]
     # The source has each key once, so a key repeated in the target sits on the left.

@@ -7,8 +7,9 @@ estimate, or the size seen at run time, is under ``autoBroadcastJoinThreshold``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import col
@@ -40,6 +41,10 @@ def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*cols, F.xxhash64(*cols).alias("__spread")).distinct().select(*cols)
 
 
+def any_null(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
+
+
 def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
          right_on: str | Sequence[str] | None = None, how: str = "inner") -> DataFrame:
     """Join on equal keys; null keys never match and an unknown ``how`` means inner.
@@ -48,9 +53,10 @@ def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
     ``_right``, and an outer join fills the key column from either side.
 
     The adaptive planner splits a hot key on either side of an inner join and on the left
-    of a left or anti join, but never in a full outer one, and not on the right of a left
-    one. So a left join against a right side too big to broadcast is put together from an
-    inner and an anti join, and an outer join adds the right rows without a match.
+    of an anti join, but never in a full outer one, and not on the right of a left one. So
+    a left join against a right side too big to broadcast is an inner and an anti join over
+    one shuffle of the left rows, which both of them read; rows with a null key are added
+    without a shuffle. An outer join adds the right rows without a match in the same way.
     """
     lk = _as_list(left_on)
     rk = _as_list(right_on) if right_on is not None else lk
@@ -65,21 +71,24 @@ def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
     def result(df: DataFrame) -> DataFrame:
         return df.select(*[col(c) for c in outputs])
 
-    matched = result(left.join(slim, condition, "inner"))
     if how not in ("left", "outer", "full"):
-        return matched
+        return result(left.join(slim, condition, "inner"))
     if _fits_broadcast(slim):
         kept = result(left.join(slim, condition, "left"))
     else:
-        alone = left.join(distinct_keys(slim, keys), condition, "left_anti")
-        kept = matched.unionByName(alone, allowMissingColumns=True)
+        keyless = any_null(lk)
+        keyed = left.filter(~keyless)
+        alone = keyed.join(distinct_keys(slim, keys), condition, "left_anti")
+        kept = (result(keyed.join(slim, condition, "inner")).unionByName(alone, allowMissingColumns=True)
+                .unionByName(left.filter(keyless), allowMissingColumns=True))
     if how == "left":
         return kept
-    left_keys = distinct_keys(left.select(*[col(k).alias(f"{key}_left") for k, key in zip(lk, keys)]),
-                               [f"{key}_left" for key in keys])
-    extra = slim.join(left_keys, [F.col(k) == F.col(f"{k}_left") for k in keys], "left_anti")
-    extra = extra.select(*[F.col(key).alias(k) for k, key in zip(lk, keys)],
-                         *[col(c) for c in names.values()])
+    renamed = [f"{key}_left" for key in keys]
+    left_keys = distinct_keys(left.select(*[col(k).alias(n) for k, n in zip(lk, renamed)]), renamed)
+    unmatched = slim.filter(~any_null(keys)).join(left_keys, [F.col(k) == F.col(n) for k, n in zip(keys, renamed)],
+                                                   "left_anti")
+    extra = unmatched.unionByName(slim.filter(any_null(keys))).select(
+        *[F.col(key).alias(k) for k, key in zip(lk, keys)], *[col(c) for c in names.values()])
     return kept.unionByName(extra, allowMissingColumns=True)
 
 

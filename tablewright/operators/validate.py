@@ -69,6 +69,12 @@ def observe_validation(df: DataFrame, rules: list[dict], name: str = "validation
                            F.count_if(~F.col("is_valid")).alias("quarantined")), seen
 
 
+def observe_rows(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
+    """Rows plus an observation of their number, as after a filter, filled by the pass itself."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("matched")), seen
+
+
 def validation_counts(df: DataFrame, rules: list[dict]) -> DataFrame:
     ok = F.coalesce(all_rules(rules), F.lit(False))
     return df.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("quarantined"))

@@ -1,5 +1,6 @@
 import datetime
 import os
+from types import SimpleNamespace
 
 import pytest
 from conftest import tuples
@@ -119,6 +120,29 @@ def test_shared_folder_is_the_session_setting(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_where_the_shared_folder_comes_from():
+    def session(setting, **kw):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: setting), sparkContext=Context(**kw))
+
+    assert shared_folder(session("/shared/", master="yarn")) == "/shared"
+    assert shared_folder(session(None, master="yarn", folder="hdfs:/c")) == "hdfs:/c"
+    with pytest.raises(RuntimeError):
+        shared_folder(session(None, master="yarn"))
+    local = session(None, master="local[2]")
+    assert shared_folder(local) == shared_folder(local) == local.sparkContext.folder
+
+
 def test_generated_rows_repeat_with_the_seed(spark):
     spec = "id:id, name:full_name, mail:email, day:date, note"
     assert [s["type"] for s in parse_spec(spec)] == ["id", "full_name", "email", "date", "text"]

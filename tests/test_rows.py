@@ -5,7 +5,7 @@ from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 
 from tablewright import (anonymize, clean, derive, drop_na, fill_na, filter_rows, flag_valid, if_else, infer_types,
-                         observe_validation, rename, render_template, type_cast, validate)
+                         observe_rows, observe_validation, rename, render_template, type_cast, validate)
 from tablewright.functions.masking import fnv_digests
 from tablewright.functions.text import java_pattern, tag_name
 from tablewright.operators.filters import COMPARISONS
@@ -103,6 +103,8 @@ def test_validation_counts_are_observed_while_writing(spark, tmp_path):
     assert seen.get == {"valid": 2, "quarantined": 3}
     assert ids(spark.read.parquet(str(tmp_path / "v" / "is_valid=true")).select("id")) == [1, 4]
     assert flag_valid(df, []).filter("is_valid").count() == 5
+    kept, matched = observe_rows(filter_rows(df, "gt", "50", column="score"))
+    assert ids(kept) == [1, 4] and matched.get == {"matched": 2}
 
 
 def test_clean_golden(spark):
