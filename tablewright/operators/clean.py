@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.text import NUMBER_PATTERN, col, date_text, java_pattern, looks_numeric
+from tablewright.functions.text import NUMBER_PATTERN, col, date_text, java_pattern
 from tablewright.operators.joins import join
 from tablewright.operators.ordering import deduplicate, sort
 
@@ -100,6 +100,10 @@ CAST_TARGETS = {
 }
 
 
+# The texts that parse as each type.
+CAST_TEXTS = {"bigint": r"^[+-]?\d+$", "double": NUMBER_PATTERN, "boolean": "(?i)^(true|false)$"}
+
+
 def cast_column(c: Column, target: str, from_text: bool = False) -> Column:
     kind, _, fmt = target.partition(":")
     kind = kind.strip().lower()
@@ -111,9 +115,11 @@ def cast_column(c: Column, target: str, from_text: bool = False) -> Column:
         return F.try_to_timestamp(date_text(c, fmt), F.lit(java_pattern(fmt))).cast("timestamp_ntz")
     if kind not in CAST_TARGETS:
         raise ValueError(f"unsupported cast target '{target}'")
-    result = c.try_cast(CAST_TARGETS[kind])
-    # Spark would also read the suffixes of Java literals, as in '1d'.
-    return F.when(looks_numeric(c), result) if from_text and CAST_TARGETS[kind] == "double" else result
+    target = CAST_TARGETS[kind]
+    result = c.try_cast(target)
+    # Looked at first, a misfit text costs no failed parse, and texts that only Spark would
+    # read, as '1d' or 'yes', stay misfits.
+    return F.when(c.rlike(CAST_TEXTS[target]), result) if from_text and target in CAST_TEXTS else result
 
 
 def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
@@ -126,8 +132,8 @@ def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
         for name, target in casts.items()})
 
 
-# The texts that count as each type when types are inferred.
-TYPE_TEXTS = {"bigint": r"^[+-]?\d{1,18}$", "double": NUMBER_PATTERN, "boolean": "(?i)^(true|false)$"}
+# The same when types are inferred, with integers that surely fit.
+TYPE_TEXTS = {**CAST_TEXTS, "bigint": r"^[+-]?\d{1,18}$"}
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -157,6 +157,8 @@ def test_type_cast_golden(spark):
     rows = [(r[0], r[1], r[2], str(r[3])) for r in out.collect()]
     assert rows == [(1, 10.5, True, "2026-06-07"), (2, 24.0, False, "2026-06-08"), (None, None, None, "2026-06-09"),
                     (None, None, None, "None")]
+    odd = spark.createDataFrame([("9" * 30, "yes", "Infinity")], "i string, b string, f string")
+    assert tuple(type_cast(odd, {"i": "int", "b": "boolean", "f": "double"}).first()) == (None, None, float("inf"))
     stamps = type_cast(df.select(F.lit("07/06/2026 13:05").alias("s")), {"s": "datetime:%d/%m/%Y %H:%M"})
     assert str(stamps.first()[0]) == "2026-06-07 13:05:00" and stamps.dtypes[0][1] == "timestamp_ntz"
     with pytest.raises(ValueError):
