@@ -26,7 +26,7 @@ from tablewright.llm.common import add_columns, gather
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct words a task remembers before it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -143,19 +143,23 @@ def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` and the token ids of each whole text, as the vocabulary file at ``path`` makes them."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` and the token ids of each whole text, as the vocabulary file at ``path`` makes them.
+
+    With ``decoded`` the ids are decoded again in the same pass, into a column of that name.
+    """
 
     def factory():
         bpe = vocabulary(path)
 
         def scan(column):
             flat, offsets = bpe.encode(column.fill_null("").to_pylist())
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            out = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            return out + [pa.array(bpe.decode(flat, offsets), pa.string())] if decoded else out
 
         return scan
 
-    return add_columns(df, text, f"`{ids}` array<int>", factory)
+    return add_columns(df, text, f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else ""), factory)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

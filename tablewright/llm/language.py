@@ -35,7 +35,7 @@ RUN = 12
 EPOCHS = 5
 SEED = 17
 #: Words a task remembers before it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 SEGMENT = 128
 WORD = re.compile(r"[^\W\d_]+")
 

@@ -22,6 +22,7 @@ def check(spark, texts):
     ids, decoded = library(texts)
     assert [rows[i].ids for i in range(len(texts))] == ids
     assert [rows[i].decoded for i in range(len(texts))] == decoded
+    assert {r.doc_id: r.decoded for r in encode(df, PATH, decoded="decoded").collect()} == dict(enumerate(decoded))
 
 
 def test_like_the_library(spark):
