@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, language, licenses, quality
+from tablewright.llm import bpe, language, licenses, mixing, quality
 from tablewright.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every text, learned from labelled rows that are not held out."""
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_mixing", mixing.SQL)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of 150 % of all words takes."""
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=[]).drop("source")
