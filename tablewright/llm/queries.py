@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, jaccard, language, licenses, mixing, quality, secrets
+from tablewright.llm import bpe, jaccard, language, licenses, lines, mixing, quality, secrets
 from tablewright.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between near copies among all documents, and each document's class."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lines", lines.SQL)
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of lines that stand earlier in the documents, and the texts without them."""
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
