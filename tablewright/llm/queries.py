@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, jaccard, language, licenses, lines, mixing, quality, secrets
+from tablewright.llm import bpe, jaccard, language, licenses, lines, mixing, near_vectors, quality, search, secrets
 from tablewright.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,15 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of lines that stand earlier in the documents, and the texts without them."""
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op3_near_vectors")
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between embeddings of one label, and each one's component."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_search")
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of each one whose vec_id is divisible by 20."""
+    return search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
