@@ -7,12 +7,16 @@ task works out how an incoming sum leaves the partition: a step function of that
 no more steps than the rows of about one part, or with negative values the rows it takes to
 make up for the deepest fall as well. The functions are composed in a tree, the
 sums at the partition borders are read off, and a second pass numbers the rows.
+
+Sums are whole numbers: values and threshold are scaled by a power of ten, so no result
+depends on how many partitions there are or in which order they are put together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from decimal import ROUND_CEILING, Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -25,11 +29,13 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.operators.ordering import total_order
-from tablewright.sources.scratch import cut_lineage, plan_size, with_place
+from tablewright.sources.scratch import cut_lineage, with_place
 
 FAN_IN = 8
-PARTITION_BYTES = 128 << 20
-MOST_PARTITIONS = 100_000
+# Digits after the point that floating point and text cells may have if the caller names no scale.
+DEFAULT_SCALE = 6
+# Beyond any sum, with room to add two of them.
+LIMIT = 1 << 61
 
 
 class Steps(NamedTuple):
@@ -39,13 +45,13 @@ class Steps(NamedTuple):
     entry, ``out[i]`` leaves and ``cuts[i]`` parts were closed.
     """
 
-    total: float
+    total: int
     low: np.ndarray
     out: np.ndarray
     cuts: np.ndarray
 
 
-NO_ROWS = Steps(0.0, np.zeros(0), np.zeros(0), np.zeros(0, dtype=np.int64))
+NO_ROWS = Steps(0, *[np.zeros(0, dtype=np.int64)] * 3)
 
 
 def _first_reaching(sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -67,13 +73,13 @@ def _first_reaching(sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return found
 
 
-def steps_of(values: np.ndarray, threshold: float, floor: float = -np.inf) -> Steps:
+def steps_of(values: np.ndarray, threshold: int, floor: int = -LIMIT) -> Steps:
     """The step function of a stretch of rows, for incoming sums from ``floor`` up."""
     n = len(values)
     if n == 0:
         return NO_ROWS
     sums = np.cumsum(values)
-    before = np.concatenate(([0.0], sums[:-1]))
+    before = np.concatenate(([0], sums[:-1]))
     close = _first_reaching(sums, before + threshold)
     # follow[i]: where the part that starts at row i leads, by doubling, until the last
     # part start whose part stays open; n stands for "nothing open".
@@ -92,10 +98,10 @@ def steps_of(values: np.ndarray, threshold: float, floor: float = -np.inf) -> St
     record = np.maximum.accumulate(sums)
     first = np.flatnonzero(np.concatenate(([True], record[1:] > record[:-1])))[::-1]
     start = follow[first + 1]
-    return _thinned(float(sums[-1]), threshold - sums[first], open_sum[start], 1 + cuts[first + 1], floor)
+    return _thinned(int(sums[-1]), threshold - sums[first], open_sum[start], 1 + cuts[first + 1], floor)
 
 
-def _thinned(total: float, low: np.ndarray, out: np.ndarray, cuts: np.ndarray, floor: float) -> Steps:
+def _thinned(total: int, low: np.ndarray, out: np.ndarray, cuts: np.ndarray, floor: int) -> Steps:
     """Steps below ``floor`` are left out and neighbours with one outcome become one step."""
     if len(low) > 1:
         reach = max(int(np.searchsorted(low, floor, side="right")) - 1, 0)
@@ -105,9 +111,9 @@ def _thinned(total: float, low: np.ndarray, out: np.ndarray, cuts: np.ndarray, f
     return Steps(total, low, out, cuts)
 
 
-def then(a: Steps, b: Steps, floor: float = -np.inf) -> Steps:
+def then(a: Steps, b: Steps, floor: int = -LIMIT) -> Steps:
     """The step function of ``a``'s rows followed by ``b``'s."""
-    ceiling = a.low[0] if len(a.low) else np.inf
+    ceiling = a.low[0] if len(a.low) else LIMIT
     shifted = b.low - a.total
     early = shifted < ceiling
     at = np.searchsorted(b.low, a.out, side="right") - 1
@@ -119,13 +125,13 @@ def then(a: Steps, b: Steps, floor: float = -np.inf) -> Steps:
                     np.concatenate((b.out[early], out)), np.concatenate((b.cuts[early], cuts)), floor)
 
 
-def apply_steps(f: Steps, incoming: float) -> tuple[float, int]:
+def apply_steps(f: Steps, incoming: int) -> tuple[int, int]:
     at = int(np.searchsorted(f.low, incoming, side="right")) - 1
-    return (incoming + f.total, 0) if at < 0 else (float(f.out[at]), int(f.cuts[at]))
+    return (incoming + f.total, 0) if at < 0 else (int(f.out[at]), int(f.cuts[at]))
 
 
-def fold(values: np.ndarray, carry: float, closed: int, threshold: float,
-         parts: np.ndarray | None = None) -> tuple[float, int]:
+def fold(values: np.ndarray, carry: int, closed: int, threshold: int,
+         parts: np.ndarray | None = None) -> tuple[int, int]:
     """Run over rows in order from a known sum; ``parts`` takes the part number of each."""
     at, width = 0, 256
     while at < len(values):
@@ -138,9 +144,9 @@ def fold(values: np.ndarray, carry: float, closed: int, threshold: float,
             parts[at:at + used] = closed + 1
         at += used
         if hits[stop]:
-            carry, closed, width = 0.0, closed + 1, max(64, min(width, 2 * used))
+            carry, closed, width = 0, closed + 1, max(64, min(width, 2 * used))
         else:
-            carry, width = float(sums[-1]), min(2 * width, 1 << 16)
+            carry, width = int(sums[-1]), min(2 * width, 1 << 16)
     return carry, closed
 
 
@@ -152,19 +158,19 @@ def _runs(keys: pa.Array) -> list[tuple[str, int, int]]:
     return [(keys[lo].as_py(), lo, hi) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
-STEPS_SCHEMA = "total double, low array<double>, out array<double>, cuts array<bigint>"
-BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry double, closed bigint, "
-                 f"change double, peak double, trough double, fall double, {STEPS_SCHEMA}")
+STEPS_SCHEMA = "total bigint, low array<bigint>, out array<bigint>, cuts array<bigint>"
+BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry bigint, closed bigint, "
+                 f"change bigint, peak bigint, trough bigint, fall bigint, {STEPS_SCHEMA}")
 
 
 class Swing(NamedTuple):
     """How a plain running total moves over a stretch of rows: its change, highest and lowest
     point, both counting the start, and its deepest fall from an earlier point."""
 
-    change: float = 0.0
-    peak: float = 0.0
-    trough: float = 0.0
-    fall: float = 0.0
+    change: int = 0
+    peak: int = 0
+    trough: int = 0
+    fall: int = 0
 
     def and_then(self, later: Swing) -> Swing:
         return Swing(self.change + later.change, max(self.peak, self.change + later.peak),
@@ -173,22 +179,24 @@ class Swing(NamedTuple):
 
 
 def swing_of(values: np.ndarray) -> Swing:
-    sums = np.concatenate(([0.0], np.cumsum(values)))
-    return Swing(float(sums[-1]), float(sums.max()), float(sums.min()),
-                 float((sums - np.maximum.accumulate(sums)).min()))
+    sums = np.concatenate(([0], np.cumsum(values)))
+    return Swing(int(sums[-1]), int(sums.max()), int(sums.min()), int((sums - np.maximum.accumulate(sums)).min()))
 
 
-def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -> Iterator[pa.RecordBatch]:
+def _border(batches: Iterator[pa.RecordBatch], threshold: int, floor: int) -> Iterator[pa.RecordBatch]:
     """One row per partition: its first and last key, the step function where it holds one
     key only, the open sum of the last key's rows counted from this partition's start, and
     the swing of all its values."""
-    pid, first, last, single = None, None, None, True
-    head, held, carry, closed, swing = NO_ROWS, [], 0.0, 0, Swing()
+    pid, first, last, single, moved = None, None, None, True, 0.0
+    head, held, carry, closed, swing = NO_ROWS, [], 0, 0, Swing()
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, values = batch.column("key"), batch.column("value").to_numpy(zero_copy_only=False)
         runs = _runs(keys)
+        moved += float(np.abs(values.astype(np.float64)).sum())
+        if moved >= LIMIT:
+            raise OverflowError("the values of a partition add up to more than fits; use a smaller scale")
         swing = swing.and_then(swing_of(values))
         if pid is None:
             pid, first, last = batch.column("pid")[0].as_py(), runs[0][0], runs[0][0]
@@ -201,7 +209,7 @@ def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -
             single, head, held = False, NO_ROWS, []
         key, lo, hi = runs[-1]
         if key != last:
-            last, carry, closed = key, 0.0, 0
+            last, carry, closed = key, 0, 0
         carry, closed = fold(values[lo:hi], carry, closed, threshold)
     if pid is not None:
         if held:
@@ -213,9 +221,9 @@ def _border(batches: Iterator[pa.RecordBatch], threshold: float, floor: float) -
 
 BORDER_ARROW = pa.schema([
     ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
-    ("carry", pa.float64()), ("closed", pa.int64()), ("change", pa.float64()), ("peak", pa.float64()),
-    ("trough", pa.float64()), ("fall", pa.float64()), ("total", pa.float64()), ("low", pa.list_(pa.float64())),
-    ("out", pa.list_(pa.float64())), ("cuts", pa.list_(pa.int64()))])
+    ("carry", pa.int64()), ("closed", pa.int64()), ("change", pa.int64()), ("peak", pa.int64()),
+    ("trough", pa.int64()), ("fall", pa.int64()), ("total", pa.int64()), ("low", pa.list_(pa.int64())),
+    ("out", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))])
 
 
 def _packed(f: Steps) -> dict:
@@ -223,11 +231,11 @@ def _packed(f: Steps) -> dict:
 
 
 def _unpacked(row) -> Steps:
-    return Steps(float(row.total), np.asarray(row.low, dtype=np.float64), np.asarray(row.out, dtype=np.float64),
+    return Steps(int(row.total), np.asarray(row.low, dtype=np.int64), np.asarray(row.out, dtype=np.int64),
                  np.asarray(row.cuts, dtype=np.int64))
 
 
-def _compose(pdf: pd.DataFrame, floor: float) -> pd.DataFrame:
+def _compose(pdf: pd.DataFrame, floor: int) -> pd.DataFrame:
     pdf = pdf.sort_values("spot")
     result = NO_ROWS
     for row in pdf.itertuples():
@@ -238,7 +246,7 @@ def _compose(pdf: pd.DataFrame, floor: float) -> pd.DataFrame:
 def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
     """The sums entering and leaving each node of a group, from the sum entering the group."""
     pdf = pdf.sort_values("spot")
-    carry, closed = float(pdf["in_carry"].iloc[0]), int(pdf["in_closed"].iloc[0])
+    carry, closed = int(pdf["in_carry"].iloc[0]), int(pdf["in_closed"].iloc[0])
     rows = []
     for row in pdf.itertuples():
         after, more = apply_steps(_unpacked(row), carry)
@@ -247,8 +255,8 @@ def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chain", "spot", "in_carry", "in_closed", "out_carry", "out_closed"])
 
 
-def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries: list[tuple[int, float, int]],
-                 floor: float) -> dict:
+def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries: list[tuple[int, int, int]],
+                 floor: int) -> dict:
     """``pid -> (carry, closed)`` leaving each partition of the chains: up the tree composing
     step functions, down again handing each node its incoming sum."""
     spark = borders.sparkSession
@@ -262,8 +270,8 @@ def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries:
             lambda pdf: _compose(pdf, floor), f"chain int, spot int, {STEPS_SCHEMA}")))
         longest = -(-longest // FAN_IN)
     known = spark.createDataFrame([(c, 0, s, n) for c, s, n in entries],
-                                  "chain int, parent int, in_carry double, in_closed long")
-    schema = "chain int, spot int, in_carry double, in_closed long, out_carry double, out_closed long"
+                                  "chain int, parent int, in_carry bigint, in_closed long")
+    schema = "chain int, spot int, in_carry bigint, in_closed long, out_carry bigint, out_closed long"
     result = None
     for depth in range(len(levels) - 1, -1, -1):
         top = depth == len(levels) - 1
@@ -277,7 +285,7 @@ def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries:
 STEPS_COLUMNS = ["total", "low", "out", "cuts"]
 
 
-def _entries(borders: DataFrame, floor: float) -> dict[int, tuple[float, int]]:
+def _entries(borders: DataFrame, floor: int) -> dict[int, tuple[int, int]]:
     """``pid -> (sum, closed parts)`` brought into each partition that goes on with a key of
     the one before. The driver sees one short row per partition; step functions stay out."""
     rows = sorted(borders.select("pid", "first_key", "last_key", "single", "carry", "closed").collect(),
@@ -298,15 +306,15 @@ def _entries(borders: DataFrame, floor: float) -> dict[int, tuple[float, int]]:
     return {row["pid"]: leaves[before["pid"]] for before, row in zip(rows, rows[1:]) if goes_on[row["pid"]]}
 
 
-def _deepest_fall(borders: DataFrame) -> float:
+def _deepest_fall(borders: DataFrame) -> int:
     swing = Swing()
     for row in sorted(borders.select("pid", *Swing._fields).collect(), key=lambda r: r["pid"]):
         swing = swing.and_then(Swing(*row[1:]))
     return swing.fall
 
 
-def _number(batches: Iterator[pa.RecordBatch], threshold: float, entries: dict, part: str) -> Iterator[pa.RecordBatch]:
-    last, carry, closed = None, 0.0, 0
+def _number(batches: Iterator[pa.RecordBatch], threshold: int, entries: dict, part: str) -> Iterator[pa.RecordBatch]:
+    last, carry, closed = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -314,35 +322,61 @@ def _number(batches: Iterator[pa.RecordBatch], threshold: float, entries: dict,
         runs = _runs(batch.column("__key"))
         if last is None:
             last = runs[0][0]
-            carry, closed = entries.get(batch.column("__pid")[0].as_py(), (0.0, 0))
+            carry, closed = entries.get(batch.column("__pid")[0].as_py(), (0, 0))
         numbers = np.empty(len(values), dtype=np.int64)
         for key, lo, hi in runs:
             if key != last:
-                last, carry, closed = key, 0.0, 0
+                last, carry, closed = key, 0, 0
             carry, closed = fold(values[lo:hi], carry, closed, threshold, numbers[lo:hi])
         kept = batch.drop_columns(["__key", "__value", "__pid"])
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers)], names=[*kept.schema.names, part])
 
 
-def chunk_cumulative(df: DataFrame, column: str, threshold: float, order_by: Sequence[str | Column],
+def whole_numbers(df: DataFrame, column: str, scale: int | None) -> tuple[Column, int]:
+    """The cells of a column times ten to the scale, as whole numbers, and the scale.
+
+    Null and NaN are 0. A cell with more digits after the point than the scale allows, or too
+    large to be exact, is an error.
+    """
+    dtype, c = df.schema[column].dataType, col(column)
+    exact = isinstance(dtype, (T.IntegralType, T.DecimalType))
+    if scale is None:
+        scale = dtype.scale if isinstance(dtype, T.DecimalType) else 0 if exact else DEFAULT_SCALE
+    name = column.replace("'", "")
+    fail = F.raise_error(F.concat(F.lit(f"no whole number with {scale} digits after the point in {name}: "), c.cast("string")))
+    if exact:
+        shifted = c.cast("decimal(38,18)") * F.lit(Decimal(10) ** scale)
+        fits = (shifted == F.floor(shifted)) & (F.abs(shifted) < F.lit(float(LIMIT)))
+    else:
+        # A double equals the quotient only if it is the one nearest to that decimal.
+        number = F.nanvl(c.try_cast("double"), F.lit(0.0))
+        shifted = F.rint(number * F.lit(10.0 ** scale))
+        fits = (shifted / F.lit(10.0 ** scale) == number) & (F.abs(shifted) <= F.lit(float(1 << 53)))
+    return F.coalesce(F.when(shifted.isNull() | fits, shifted).otherwise(fail.cast("double")).cast("bigint"), F.lit(0).cast("bigint")), scale
+
+
+def chunk_cumulative(df: DataFrame, column: str, threshold: float | Decimal, order_by: Sequence[str | Column],
                      partition_by: Sequence[str] = (), part: str = "part_idx",
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, scale: int | None = None) -> DataFrame:
     """Number the parts 1, 2, …: a row that brings the running sum of ``column`` to the
     threshold closes its part and the sum starts again at 0. Null and NaN add 0.
 
     Rows go in the order of ``order_by``, ties by all other columns, over the whole table
     or per ``partition_by`` key. Write the result with ``partition_by(df, [part], …)``.
+    Sums are exact: ``scale`` says how many digits after the point values may have (a decimal
+    column's own scale, 0 for integers, else 6), and a value with more is an error. The rows are
+    dealt into ``partitions``, by default the session's number of shuffle partitions; the result
+    is the same for any number.
     """
-    threshold = float(threshold)
     if not threshold > 0:
         raise ValueError("the threshold must be positive")
     spark = df.sparkSession
     keys = [col(k) for k in partition_by]
-    value = F.coalesce(F.nanvl(col(column).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    value, scale = whole_numbers(df, column, scale)
+    threshold = int((Decimal(str(threshold)) * Decimal(10) ** scale).to_integral_value(ROUND_CEILING))
     # The input place comes last in the order: equal copies of a row can be divided by it.
     order = [*keys, *total_order(df, order_by), F.col("__place")]
-    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              min((plan_size(df) or 0) // PARTITION_BYTES, MOST_PARTITIONS))
+    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = (with_place(df, "__place")
             .repartitionByRange(count, *order).sortWithinPartitions(*order).drop("__place")
             .withColumns({"__key": F.to_json(F.struct(*keys)) if keys else F.lit(""),
@@ -350,16 +384,16 @@ def chunk_cumulative(df: DataFrame, column: str, threshold: float, order_by: Seq
     laid = cut_lineage(laid)
     cells = laid.select(F.col("__pid").alias("pid"), F.col("__key").alias("key"), F.col("__value").alias("value"))
 
-    def borders_from(floor: float) -> DataFrame:
+    def borders_from(floor: int) -> DataFrame:
         return cut_lineage(cells.mapInArrow(lambda batches: _border(batches, threshold, floor), BORDER_SCHEMA))
 
     # An open sum is never below the deepest fall of the plain running total, which is 0
     # without negative values. Step functions are kept for sums from there up only.
-    floor = 0.0
+    floor = 0
     borders = borders_from(floor)
     fall = _deepest_fall(borders)
     if fall < 0:
-        floor = fall * (1 + 1e-6)
+        floor = fall
         borders = borders_from(floor)
     entries = _entries(borders, floor)
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.LongType())])

@@ -124,3 +124,35 @@ def _(spark, folder):
 def _(spark, folder):
     return chunk_cumulative(table(spark, folder, "lineitem").select(*CHUNKED), "l_quantity", 20000,
                             order_by=["l_orderkey", "l_linenumber", "l_suppkey"])
+
+
+CHUNKED_TAX = ["l_suppkey", "l_orderkey", "l_linenumber", "l_tax"]
+
+
+@query("chunk_cumulative_fraction", """
+    with recursive r as (select l_suppkey, l_orderkey, l_linenumber, l_tax, l_tax::decimal(18, 2) as v, row_number() over (
+             partition by l_suppkey order by l_orderkey, l_linenumber, l_tax) as rn from lineitem),
+    f as (select l_suppkey, rn, v as s, 1 as part_idx from r where rn = 1
+          union all
+          select r.l_suppkey, r.rn, (case when f.s >= 0.5 then r.v else f.s + r.v end)::decimal(18, 2),
+                 f.part_idx + case when f.s >= 0.5 then 1 else 0 end
+          from f join r on r.l_suppkey = f.l_suppkey and r.rn = f.rn + 1)
+    select r.l_suppkey, l_orderkey, l_linenumber, l_tax, part_idx from r join f on r.l_suppkey = f.l_suppkey and r.rn = f.rn""")
+def _(spark, folder):
+    return chunk_cumulative(table(spark, folder, "lineitem").select(*CHUNKED_TAX), "l_tax", 0.5,
+                            order_by=["l_orderkey", "l_linenumber"], partition_by=["l_suppkey"], scale=2)
+
+
+@query("chunk_cumulative_price", """
+    with recursive c as (select l_orderkey, l_linenumber, l_suppkey, l_extendedprice, row_number() over w as rn,
+                                sum(l_extendedprice::decimal(18, 2)) over (w rows unbounded preceding) as cum from lineitem
+                         window w as (order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice)),
+    cuts as (select 0 as k, 0::bigint as rn, 0::decimal(38, 2) as base
+             union all
+             select k + 1, (select min(rn) from c where cum >= base + 20000000.01),
+                    (select min(cum) from c where cum >= base + 20000000.01) from cuts where base is not null)
+    select c.l_suppkey, c.l_orderkey, c.l_linenumber, c.l_extendedprice, cuts.k + 1 as part_idx
+    from c asof join (select * from cuts where rn is not null) cuts on c.rn > cuts.rn""")
+def _(spark, folder):
+    prices = table(spark, folder, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return chunk_cumulative(prices, "l_extendedprice", 20000000.01, order_by=["l_orderkey", "l_linenumber", "l_suppkey"], scale=2)

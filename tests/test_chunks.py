@@ -27,7 +27,7 @@ signed = st.lists(st.integers(-9, 12), max_size=60)
 @given(st.one_of(numbers, signed), st.integers(1, 40), st.integers(-30, 39))
 def test_steps_match_the_loop(values, threshold, carry):
     carry = min(carry, threshold - 1)
-    f = steps_of(np.array(values, dtype=float), threshold, floor=-30.0)
+    f = steps_of(np.array(values, dtype=np.int64), threshold, floor=-30)
     _, total, cuts = brute(values, threshold, carry)
     assert apply_steps(f, carry) == (total, cuts)
 
@@ -36,27 +36,27 @@ def test_steps_match_the_loop(values, threshold, carry):
 @given(st.one_of(numbers, signed), st.one_of(numbers, signed), st.integers(1, 40), st.integers(-30, 39))
 def test_composed_steps_match_the_loop(a, b, threshold, carry):
     carry = min(carry, threshold - 1)
-    low = 0.0 if min([0, carry, *a, *b]) >= 0 else -np.inf
-    f = then(steps_of(np.array(a, dtype=float), threshold, low), steps_of(np.array(b, dtype=float), threshold, low), low)
+    low = 0 if min([0, carry, *a, *b]) >= 0 else -chunks.LIMIT
+    f = then(steps_of(np.array(a, dtype=np.int64), threshold, low), steps_of(np.array(b, dtype=np.int64), threshold, low), low)
     _, total, cuts = brute(a + b, threshold, carry)
     assert apply_steps(f, carry) == (total, cuts)
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.floats(0, 5, allow_nan=False), max_size=900), st.floats(0.5, 700))
-def test_fold_is_the_loop_to_the_last_bit(values, threshold):
+@given(st.lists(st.integers(0, 5 << 40), max_size=900), st.integers(1 << 39, 700 << 40))
+def test_fold_is_the_loop(values, threshold):
     parts = np.empty(len(values), dtype=np.int64)
     expected, total, cuts = brute(values, threshold)
-    assert fold(np.array(values), 0.0, 0, threshold, parts) == (total, cuts)
+    assert fold(np.array(values, dtype=np.int64), 0, 0, threshold, parts) == (total, cuts)
     assert parts.tolist() == expected
 
 
 def test_step_functions_stay_as_small_as_a_part():
-    f = steps_of(np.ones(100_000), 50.0, floor=0.0)
+    f = steps_of(np.ones(100_000, dtype=np.int64), 50, floor=0)
     assert len(f.low) <= 50
-    assert len(then(f, f, floor=0.0).low) <= 50
+    assert len(then(f, f, floor=0).low) <= 50
     rng = np.random.default_rng(1)
-    g = steps_of(rng.uniform(0, 2, 100_000), 50.0, floor=0.0)
+    g = steps_of(rng.integers(0, 2000, 100_000), 50_000, floor=0)
     assert len(g.low) <= 150
 
 
@@ -65,20 +65,20 @@ def test_step_functions_stay_as_small_as_a_part():
 def test_swings(pieces):
     swing = Swing()
     for piece in pieces:
-        swing = swing.and_then(swing_of(np.array(piece, dtype=float)))
-    sums = np.concatenate(([0.0], np.cumsum([v for p in pieces for v in p])))
+        swing = swing.and_then(swing_of(np.array(piece, dtype=np.int64)))
+    sums = np.concatenate(([0], np.cumsum([v for p in pieces for v in p])))
     assert swing == (sums[-1], sums.max(), sums.min(), min(sums[j] - sums[i] for j in range(len(sums)) for i in range(j + 1)))
 
 
 def test_open_sums_stay_above_the_deepest_fall():
     rng = np.random.default_rng(4)
-    values = rng.integers(-9, 12, 5000).astype(float)
-    floor, total = swing_of(values).fall, 0.0
+    values = rng.integers(-9, 12, 5000)
+    floor, total = swing_of(values).fall, 0
     for v in values:
         total += v
         assert total >= floor
-        total = 0.0 if total >= 40 else total
-    assert 0 < len(steps_of(values, 40.0, floor).low) < len(steps_of(values, 40.0).low) / 2
+        total = 0 if total >= 40 else total
+    assert 0 < len(steps_of(values, 40, floor).low) < len(steps_of(values, 40).low) / 2
 
 
 def check(spark, rows, threshold, keyed, partitions):
@@ -137,3 +137,24 @@ def test_tree_with_many_levels(spark, monkeypatch):
 def test_threshold_must_be_positive(spark):
     with pytest.raises(ValueError):
         chunk_cumulative(spark.range(1), "id", 0, ["id"])
+
+
+def test_fractions_do_not_depend_on_partitions(spark):
+    values = [((i * 7919) % 97) / 10 for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(values)), "pos long, v double").repartition(5)
+    s, n, want = 0, 1, []
+    for v in values:
+        want.append(n)
+        s += round(v * 10)
+        if s >= 10:
+            s, n = 0, n + 1
+    for partitions in (1, 3, 8, 64):
+        got = chunk_cumulative(df, "v", 1, ["pos"], partitions=partitions).orderBy("pos").collect()
+        assert [r["part_idx"] for r in got] == want
+
+
+def test_values_must_fit_the_scale(spark):
+    df = spark.createDataFrame([(1, 0.25), (2, None), (3, float("nan"))], "pos long, v double")
+    assert [r["part_idx"] for r in chunk_cumulative(df, "v", 0.25, ["pos"], scale=2).orderBy("pos").collect()] == [1, 2, 2]
+    with pytest.raises(Exception, match="digits after the point"):
+        chunk_cumulative(df, "v", 1, ["pos"], scale=1).collect()
