@@ -18,7 +18,6 @@ comes first in code point order. Repeated rows get equal results.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +31,50 @@ SAMPLE_CHARS = 3000
 BUCKETS = 1 << 16
 #: Words of one language that stand together in a training sequence; two such runs make one.
 RUN = 12
-EPOCHS = 5
+EPOCHS = 4
 SEED = 17
+#: Characters of a word whose n-grams are learned from; prediction uses all.
+LONGEST = 40
 #: Words a task remembers before it starts anew.
 WORDS_KEPT = 100_000
 SEGMENT = 128
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-case word, the lexicon left out."""
-    edged = f"^{word}$"
-    keys = [f"w{word}"] + [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    keys += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
-    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS for k in dict.fromkeys(keys)]
+AFFIXES = (1, 2, 3, 4)
+
+
+def mixed(h: np.ndarray, kind: int) -> np.ndarray:
+    """Buckets of 64-bit codes, apart for each kind of feature."""
+    h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_features(words: list[str], blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of lower-case words, the lexicon left out; where there is none, ``blank``.
+
+    One row for each word (whole word, prefixes, suffixes), two for each of its characters and
+    edges (bigram and trigram that begin there), and where each word's characters begin.
+    """
+    sizes = np.array([len(w) for w in words]) + 2
+    starts = np.cumsum(sizes) - sizes
+    code = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(sizes, sizes) - (np.arange(len(code)) - np.repeat(starts, sizes))  # characters from here to the edge
+    place = np.uint64(1_000_003)
+    ahead = np.r_[code, np.zeros(max(AFFIXES), np.uint64)]
+    pair = code * place + ahead[1 : len(code) + 1]
+    triple = pair * place + ahead[2 : len(code) + 2]
+    grams = np.stack([np.where(left > 1, mixed(pair, 1), blank), np.where(left > 2, mixed(triple, 2), blank)])
+    whole = np.add.reduceat((code + np.uint64(1)) * (left.astype(np.uint64) * place) ** np.uint64(3), starts)
+    each = [mixed(whole, 3)]
+    for n in AFFIXES:
+        for kind, at in ((4 + n, starts + 1), (14 + n, starts + sizes - 1 - n)):
+            h = np.zeros(len(words), np.uint64)
+            for i in range(n):
+                h = h * place + ahead[np.maximum(at, 0) + i]
+            each.append(np.where(sizes - 2 >= n, mixed(h, kind), blank))
+    return np.stack(each, 1), grams, starts
 
 
 class Chain:
@@ -53,19 +82,20 @@ class Chain:
 
     def __init__(self, langs: list[str]):
         self.langs, self.lexicon = langs, {}
-        self.weights = np.zeros((BUCKETS + len(langs), len(langs)))
+        self.blank = BUCKETS + len(langs)
+        self.weights = np.zeros((self.blank + 1, len(langs)), np.float32)  # the last row stays 0
         self.moves = np.zeros((len(langs), len(langs)))
 
-    def features(self, word: str) -> list[int]:
-        found = word_features(word)
-        return found + [BUCKETS + self.lexicon[word]] if word in self.lexicon else found
+    def listed(self, words: list[str]) -> np.ndarray:
+        """The lexicon feature of each word."""
+        return np.array([BUCKETS + self.lexicon[w] if w in self.lexicon else self.blank for w in words])
 
     def scores(self, words: list[str]) -> np.ndarray:
-        each = [self.features(w) for w in words]
-        sizes = np.array([len(x) for x in each])
-        flat = np.fromiter((i for x in each for i in x), np.int64, sizes.sum())
-        # long words have more features: their sum is scaled back to that of a common word
-        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes) * (20 / np.maximum(sizes, 20))[:, None]
+        each, grams, starts = word_features(words, self.blank)
+        total = self.weights[each].sum(1) + self.weights[self.listed(words)]
+        for ids in grams:
+            total += np.add.reduceat(self.weights[ids], starts)
+        return total * shrink(words)[:, None]
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each label at each word of a run of texts; ``first`` marks where a text begins.
@@ -78,47 +108,56 @@ class Chain:
         cut = -(-n // SEGMENT)
         e = np.ones((cut * SEGMENT, k))
         e[:n] = np.exp(scores - scores.max(1, keepdims=True))
-        e = e.reshape(cut, SEGMENT, k)
+        e = e.reshape(cut, SEGMENT, k).transpose(1, 0, 2).copy()
         begins = np.ones(cut * SEGMENT, bool)  # what fills up the last segment forgets too
         begins[:n] = first
-        begins = begins.reshape(cut, SEGMENT)[:, :, None]
+        begins = [np.flatnonzero(b) for b in begins.reshape(cut, SEGMENT).T]
         step = np.exp(self.moves - self.moves.max())
 
-        def advance(state, s):
-            fresh = np.where(begins[:, s], state.sum(-1, keepdims=True) / k, state @ step) if state.ndim == 2 else np.where(
-                begins[:, s, None], state.sum(-1, keepdims=True) / k, state @ step)
-            state = fresh * (e[:, s] if state.ndim == 2 else e[:, s, None])
-            return state / state.max(tuple(range(1, state.ndim)), keepdims=True)
+        def ahead_by(state, s):
+            moved = (state.reshape(-1, k) @ step).reshape(state.shape)
+            if len(begins[s]):
+                moved[begins[s]] = state[begins[s]].sum(-1, keepdims=True) / k
+            moved *= e[s] if state.ndim == 2 else e[s][:, None]
+            if s % 4 == 3:  # before the numbers get too small
+                moved /= moved.max(tuple(range(1, state.ndim)), keepdims=True)
+            return moved
 
-        whole = np.broadcast_to(np.eye(k), (cut, k, k))
+        whole = np.tile(np.eye(k), (cut, 1, 1))
         for s in range(SEGMENT):
-            whole = advance(whole, s)
-        ahead, behind = np.empty((cut, k)), np.empty((cut, k))
+            whole = ahead_by(whole, s)
+        forward, backward = np.empty((cut, k)), np.empty((cut, k))
         state = np.full(k, 1 / k)
         for c in range(cut):
-            ahead[c] = state
+            forward[c] = state
             state = state @ whole[c]
             state /= state.sum()
         state = np.ones(k)
         for c in range(cut - 1, -1, -1):
-            behind[c] = state
+            backward[c] = state
             state = whole[c] @ state
             state /= state.sum()
-        alpha = np.empty((cut, SEGMENT, k))
-        state = ahead
+        alpha, state = np.empty_like(e), forward
         for s in range(SEGMENT):
-            alpha[:, s] = state = advance(state, s)
-        out = np.empty_like(alpha)
-        state = behind
+            alpha[s] = state = ahead_by(state, s)
+        state = backward
         for s in range(SEGMENT - 1, -1, -1):
-            out[:, s] = alpha[:, s] * state
-            state = state * e[:, s]
-            state = np.where(begins[:, s], state.sum(-1, keepdims=True) / k, state @ step.T)
-            state /= state.max(-1, keepdims=True)
-        out = out.reshape(-1, k)[:n]
+            alpha[s] *= state
+            onward = state * e[s]
+            state = onward @ step.T
+            if len(begins[s]):
+                state[begins[s]] = onward[begins[s]].sum(-1, keepdims=True) / k
+            if s % 4 == 0:
+                state /= state.max(-1, keepdims=True)
+        out = alpha.transpose(1, 0, 2).reshape(-1, k)[:n]
         return out / out.sum(1, keepdims=True)
 
 
+def shrink(words: list[str]) -> np.ndarray:
+    """Long words have more features: their sum is scaled back to that of a common word."""
+    return 12 / np.maximum(12, np.array([len(w) for w in words]))
+
+
 def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
     """Maximum likelihood by AdaGrad over sequences of two runs, each from a text of one language."""
     chain, k = Chain(langs), len(langs)
@@ -135,13 +174,15 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
         runs = [([place[w] for w in (words * RUN)[:RUN]], y) for words, y in zip(each, labels, strict=True) if words]
     if not runs:
         return chain
-    found = [chain.features(w) for w in counts]
-    width = max(map(len, found))
-    blank = len(chain.weights)
-    table = np.full((len(found), width), blank, np.int64)
-    for i, x in enumerate(found):
-        table[i, : len(x)] = x
-    shrink = 20 / np.maximum(20, np.array([len(x) for x in found]))
+    blank, vocabulary = chain.blank, list(counts)
+    each_word, grams, starts = word_features(vocabulary, blank)
+    longest = max(map(len, vocabulary)) + 2
+    table = np.full((len(vocabulary), 2 * min(longest, LONGEST)), blank, np.int64)
+    for i, (a, z) in enumerate(zip(starts, np.r_[starts[1:], grams.shape[1]], strict=True)):
+        got = grams[:, a : min(z, a + LONGEST)].ravel()
+        table[i, : len(got)] = got
+    table = np.c_[each_word, chain.listed(vocabulary), table]
+    width, small = table.shape[1], shrink(vocabulary)
     ids, ys = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
     weights, seen = np.zeros((blank + 1, k)), np.full((blank + 1, k), 1e-6)
     moves, moved = np.zeros((k, k)), np.full((k, k), 1e-6)
@@ -152,7 +193,7 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
             words = ids[batch].reshape(len(batch), -1)
             gold = np.repeat(ys[batch], RUN, axis=1)
             m, n = words.shape
-            score = np.add.reduce(weights[table[words]], axis=2) * shrink[words][..., None]
+            score = weights[table[words]].sum(2) * small[words][..., None]
             e, step = np.exp(score - score.max(-1, keepdims=True)), np.exp(moves)
             alpha, beta = np.empty((n, m, k)), np.empty((n, m, k))
             alpha[0] = e[:, 0] / e[:, 0].sum(-1, keepdims=True)
@@ -169,7 +210,7 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
                 beta[t - 1] /= beta[t - 1].sum(-1, keepdims=True)
             p = (alpha * beta).transpose(1, 0, 2)
             p /= p.sum(-1, keepdims=True)
-            gap = (p - np.eye(k)[gold]) * shrink[words][..., None] / m
+            gap = (p - np.eye(k)[gold]) * small[words][..., None] / m
             flat, each_gap = table[words].ravel(), np.repeat(gap.reshape(-1, k), width, axis=0)
             grad = np.stack([np.bincount(flat, each_gap[:, c], minlength=blank + 1) for c in range(k)], 1) + 1e-7 * weights
             grad[blank] = 0
@@ -179,7 +220,7 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
             grad = (expected - true) / m
             moved += grad**2
             moves -= 0.3 * grad / np.sqrt(moved)
-    chain.weights, chain.moves = weights[:blank].astype(np.float32), moves
+    chain.weights, chain.moves = weights.astype(np.float32), moves
     return chain
 
 
@@ -221,7 +262,7 @@ def predict(df: DataFrame, chain: Chain | None, text: str = "text", spans: bool
             words = [w for x in each for w in x]
             new = [w for w in dict.fromkeys(words) if w not in known]
             if new:
-                letter = np.array([any(map(str.isalpha, w)) for w in new])
+                letter = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in new])
                 added = np.c_[model.scores(new) * letter[:, None], letter]
                 rows = np.r_[rows[: len(known)], added] if known else added
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
