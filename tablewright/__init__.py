@@ -16,7 +16,8 @@ from tablewright.operators.generate import add_generated, generate
 from tablewright.operators.joins import anti_join, join, lookup
 from tablewright.operators.ordering import deduplicate, head, sort, top_groups, with_position
 from tablewright.operators.profile import profile, require_schema, schema_check
-from tablewright.operators.reshape import explode_column, merge, partition_by, pivot, split_by, unpivot
+from tablewright.operators.reshape import (explode_column, merge, partition_by, pivot, read_partitioned, split_by,
+                                           unpivot)
 from tablewright.operators.template import render_template
 from tablewright.operators.text_columns import extract_fields, extract_links, map_text
 from tablewright.operators.validate import (flag_valid, observe_rows, observe_validation, validate,

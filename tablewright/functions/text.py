@@ -78,10 +78,18 @@ def date_text(c: Column, fmt: str) -> Column:
     return F.nullif(F.regexp_extract(c.cast("string"), pattern, 0), F.lit(""))
 
 
+# What an XML name may begin with, and what else it may hold; colons, which mark
+# name spaces, and full stops are left out.
+XML_BEGIN = ("A-Z_a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c-\u200d\u2070-\u218f"
+             "\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd\U00010000-\U000effff")
+XML_MORE = "0-9\u00b7\u0300-\u036f\u203f-\u2040-"
+
+
 def tag_name(name: str) -> str:
-    """A column name made fit to be an XML element name."""
-    clean = "".join(ch if ch.isalnum() or ch in "_-" else "_" for ch in name)
-    return clean if clean and not clean[0].isdigit() else f"col_{clean}"
+    """An XML element name for a column: what a name may not hold becomes ``_``, and ``col_``
+    goes before what a name may not begin with."""
+    legal = re.sub(f"[^{XML_BEGIN}{XML_MORE}]", "_", name)
+    return legal if re.match(f"[{XML_BEGIN}]", legal) else "col_" + legal
 
 
 def quoted(name: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.operators.drift import union_with_drift
-from tablewright.operators.joins import anti_join, any_null
+from tablewright.operators.joins import anti_join, any_null, spread_join
 from tablewright.operators.ordering import deduplicate
 
 
@@ -40,32 +40,28 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by:
     extra = [c for c in source.columns if c not in target.columns]
     if extra and not schema_drift:
         raise ValueError(f"columns not in the target: {extra}")
-    keyless = source.filter(any_null(keys))
-    # Laid out by keys and a hash, the source is shuffled again by the join below: the
-    # adaptive planner splits a hot key of the target only between two plain shuffles.
-    spread = source.filter(~any_null(keys)).withColumn("__spread", F.xxhash64(*[col(k) for k in keys]))
-    latest = deduplicate(spread, [*keys, "__spread"], keep="last", order_by=order_by).drop("__spread")
+    # Null keys are all kept and others once each; no row of the source is in both branches.
+    latest = deduplicate(source.filter(~any_null(keys)), keys, keep="last", order_by=order_by)
+    rows = latest.unionByName(source.filter(any_null(keys)))
     changes = [c for c in source.columns if c not in keys]
-    # The source has each key once, so a key repeated in the target sits on the left.
-    tagged = latest.select(*[col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
-                           F.struct(F.lit(True), *[col(c) for c in changes]).alias("__new"))
-    joined = target.join(tagged, [col(k) == F.col(f"__k_{i}") for i, k in enumerate(keys)], "left")
-    hit = F.col("__new").isNotNull()
+    tagged = rows.select(*[col(k).alias(f"__k_{i}") for i, k in enumerate(keys)],
+                         F.struct(F.lit(True).alias("__is"), *[col(c) for c in changes]).alias("__new"))
+    joined = spread_join(target, tagged, keys, [f"__k_{i}" for i in range(len(keys))], "outer")
     names = [*target.columns, *extra]
     types = {**{f.name: f.dataType for f in source.schema.fields},
              **{f.name: f.dataType for f in target.schema.fields}}
 
     def merged(name: str) -> Column:
-        old = col(name) if name in target.columns else F.lit(None).cast(types[name])
-        if name not in changes:
-            return old.alias(name)
-        return F.when(hit, F.col("__new")[name].cast(types[name])).otherwise(old).alias(name)
-
-    updated = joined.select(*[merged(c) for c in names])
-    inserts = anti_join(latest, target, keys).unionByName(keyless)
-    fitted = inserts.select(*[(col(c).cast(types[c]) if c in source.columns else F.lit(None).cast(types[c])).alias(c)
-                              for c in names])
-    return updated.unionByName(fitted)
+        if name in keys:
+            new, taken = F.col(f"__k_{list(keys).index(name)}"), F.col("__in_left").isNull()
+        elif name in changes:
+            new, taken = F.col("__new")[name], F.col("__in_right").isNotNull()
+        else:
+            return col(name).alias(name)
+        old = col(name) if name in target.columns else F.lit(None)
+        return F.when(taken, new.cast(types[name])).otherwise(old.cast(types[name])).alias(name)
+
+    return joined.select(*[merged(c) for c in names])
 
 
 def sync(target: DataFrame, source: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:

@@ -132,19 +132,27 @@ def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
         for name, target in casts.items()})
 
 
-# The same when types are inferred, with integers that surely fit.
-TYPE_TEXTS = {**CAST_TEXTS, "bigint": r"^[+-]?\d{1,18}$"}
+def _kind(c: Column) -> Column:
+    """What a filled cell reads as: ``i`` an integer, ``w`` one too wide for bigint, ``d`` a
+    number, ``b`` a truth value, ``t`` text."""
+    whole = F.when(c.try_cast("bigint").isNotNull(), "i").otherwise("w")
+    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole).when(c.rlike(CAST_TEXTS["double"]), "d")
+            .when(c.rlike(CAST_TEXTS["boolean"]), "b").when(c.isNotNull(), "t"))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns turned to integer, float or boolean where every filled cell fits, in one
-    pass over the rows. Dates stay text."""
+    pass over the rows. Integers too wide for bigint, and dates, stay text."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    fits = df.agg(*[F.struct(F.count_if(col(n) != "").alias("filled"),
-                             *[F.count_if((col(n) != "") & col(n).rlike(p)).alias(t) for t, p in TYPE_TEXTS.items()])
-                    .alias(n) for n in names]).first()
-    kinds = {n: next((t for t in TYPE_TEXTS if fits[n]["filled"] and fits[n][t] == fits[n]["filled"]), None)
-             for n in names}
-    return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in kinds.items() if t})
+    kinds = df.select(*[_kind(col(n)).alias(f"k{i}") for i, n in enumerate(names)])
+    found = kinds.agg(*[F.collect_set(f"k{i}").alias(f"k{i}") for i in range(len(names))]).first()
+
+    def target(seen: set[str]) -> str | None:
+        if not seen or seen & {"w", "t"} or len(seen) > 1 and "b" in seen:
+            return None
+        return "boolean" if "b" in seen else "double" if "d" in seen else "bigint"
+
+    targets = {n: target(set(found[f"k{i}"])) for i, n in enumerate(names)}
+    return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in targets.items() if t})

@@ -1,7 +1,8 @@
 """Equi joins and dictionary lookups.
 
-No broadcast hint is set anywhere: Spark broadcasts a side only when its own size
-estimate, or the size seen at run time, is under ``autoBroadcastJoinThreshold``.
+No broadcast hint is set on data: Spark broadcasts a side only when its own size estimate, or
+the size seen at run time, is under ``autoBroadcastJoinThreshold``. The hinted sides list the
+hot keys, of which there is one for every ``HOT_ROWS`` rows of a table at most.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import col
-from tablewright.sources.scratch import plan_size
 
+# Rows of one key that go to one task of an outer join; a key with more is dealt over several.
+HOT_ROWS = 1_000_000
 KEY = "__key_{}"
 
 
@@ -22,14 +25,6 @@ def _as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def _fits_broadcast(df: DataFrame) -> bool:
-    """Whether the planner's size estimate lets Spark broadcast ``df`` on its own."""
-    size = plan_size(df)
-    if size is None:
-        return False
-    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-
-
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys once each: the partial step of the aggregate folds a hot key before the shuffle.
 
@@ -45,18 +40,61 @@ def any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
 
 
+def _hot(df: DataFrame, keys: Sequence[str], names: Sequence[str], count: str) -> DataFrame:
+    """Keys with more than ``HOT_ROWS`` rows and how many tasks they take. Reads the keys only."""
+    cols = [col(k).alias(n) for k, n in zip(keys, names)]
+    counted = df.select(*cols).groupBy(*names).agg(F.count("*").alias(count)).filter(F.col(count) > HOT_ROWS)
+    return F.broadcast(counted.withColumn(count, F.ceil(F.col(count) / HOT_ROWS).cast("int")))
+
+
+def _drawn(df: DataFrame) -> Column:
+    """A hash of the whole row, the same whenever a task runs again."""
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
+def spread_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str) -> DataFrame:
+    """A left or outer join of frames without common columns; ``__in_left`` and ``__in_right``
+    are true where the side has the row, else null.
+
+    Spark splits a hot key on the left of a left join by itself, but on no other side of these
+    joins. So a hot key's rows are dealt over several tasks by a hash, and the other side's rows
+    of that key go to each of them; where such a copy finds nothing, it is the others that
+    count. Both inputs are read once, and their keys once more.
+    """
+    outer, names = how != "left", [f"__h_{i}" for i in range(len(left_on))]
+    sides = []
+    for df, on, other, other_on, own, far, dealt, mark in (
+            (left, left_on, right, right_on, "__ls", "__rs", outer, "__in_left"), (right, right_on, left, left_on, "__rs", "__ls", True, "__in_right")):
+        here = df.withColumn(mark, F.lit(True))
+        keyless = any_null(on)
+        draw = _drawn(df)
+        same = [col(k) == F.col(n) for k, n in zip(on, names)]
+        if dealt:
+            here = here.join(_hot(df, on, names, "__n"), same, "left").withColumn(
+                own, F.when(keyless, F.pmod(draw, F.lit(1024))).otherwise(F.pmod(draw, F.coalesce("__n", F.lit(1)))).cast("int")).drop("__n", *names)
+        else:
+            here = here.withColumn(own, F.lit(0))
+        if outer or mark == "__in_left":
+            here = here.join(_hot(other, other_on, names, f"{mark}_n"), same, "left").drop(*names).withColumn(
+                far, F.explode(F.sequence(F.lit(0), F.coalesce(f"{mark}_n", F.lit(1)) - 1)))
+        else:
+            here = here.withColumns({far: F.lit(0), f"{mark}_n": F.lit(None).cast("int")})
+        sides.append(here.withColumnsRenamed({"__ls": f"__ls{mark}", "__rs": f"__rs{mark}"}))
+    a, b = sides
+    condition = [col(x) == col(y) for x, y in zip(left_on, right_on)]
+    condition += [F.col(f"{s}__in_left") == F.col(f"{s}__in_right") for s in ("__ls", "__rs")]
+    joined = a.join(b, condition, "full" if outer else "left")
+    useless = (F.col("__in_right").isNull() & F.col("__in_left_n").isNotNull()) | (F.col("__in_left").isNull() & F.col("__in_right_n").isNotNull())
+    return joined.filter(~useless).select(*[col(c) for c in [*left.columns, *right.columns]], "__in_left", "__in_right")
+
+
 def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
          right_on: str | Sequence[str] | None = None, how: str = "inner") -> DataFrame:
     """Join on equal keys; null keys never match and an unknown ``how`` means inner.
 
     The right key columns are dropped, other clashing right columns get the suffix
-    ``_right``, and an outer join fills the key column from either side.
-
-    The adaptive planner splits a hot key on either side of an inner join and on the left
-    of an anti join, but never in a full outer one, and not on the right of a left one. So
-    a left join against a right side too big to broadcast is an inner and an anti join over
-    one shuffle of the left rows, which both of them read; rows with a null key are added
-    without a shuffle. An outer join adds the right rows without a match in the same way.
+    ``_right``, and an outer join fills the key column from either side. A hot key is dealt
+    over several tasks: by the adaptive planner in an inner join, else by :func:`spread_join`.
     """
     lk = _as_list(left_on)
     rk = _as_list(right_on) if right_on is not None else lk
@@ -65,31 +103,13 @@ def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],
     names = {c: f"{c}_right" if c in left.columns else c for c in values}
     slim = right.select(*[col(k).alias(key) for k, key in zip(rk, keys)],
                         *[col(c).alias(names[c]) for c in values])
-    condition = [col(k) == F.col(key) for k, key in zip(lk, keys)]
-    outputs = [*left.columns, *names.values()]
-
-    def result(df: DataFrame) -> DataFrame:
-        return df.select(*[col(c) for c in outputs])
-
     if how not in ("left", "outer", "full"):
-        return result(left.join(slim, condition, "inner"))
-    if _fits_broadcast(slim):
-        kept = result(left.join(slim, condition, "left"))
-    else:
-        keyless = any_null(lk)
-        keyed = left.filter(~keyless)
-        alone = keyed.join(distinct_keys(slim, keys), condition, "left_anti")
-        kept = (result(keyed.join(slim, condition, "inner")).unionByName(alone, allowMissingColumns=True)
-                .unionByName(left.filter(keyless), allowMissingColumns=True))
-    if how == "left":
-        return kept
-    renamed = [f"{key}_left" for key in keys]
-    left_keys = distinct_keys(left.select(*[col(k).alias(n) for k, n in zip(lk, renamed)]), renamed)
-    unmatched = slim.filter(~any_null(keys)).join(left_keys, [F.col(k) == F.col(n) for k, n in zip(keys, renamed)],
-                                                   "left_anti")
-    extra = unmatched.unionByName(slim.filter(any_null(keys))).select(
-        *[F.col(key).alias(k) for k, key in zip(lk, keys)], *[col(c) for c in names.values()])
-    return kept.unionByName(extra, allowMissingColumns=True)
+        joined = left.join(slim, [col(k) == F.col(key) for k, key in zip(lk, keys)], "inner")
+        return joined.select(*[col(c) for c in [*left.columns, *names.values()]])
+    joined = spread_join(left, slim, lk, keys, how)
+    from_right = dict(zip(lk, keys)) if how != "left" else {}
+    return joined.select(*[(F.when(F.col("__in_left"), col(c)).otherwise(F.col(from_right[c])) if c in from_right else col(c)).alias(c)
+                           for c in left.columns], *[col(c) for c in names.values()])
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, source_key: str, lookup_key: str,

@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from tablewright.functions.text import col
 from tablewright.sources.scratch import cut_lineage, with_place
 
-TAKE_LIMIT = 100_000
-
 
 def sort(df: DataFrame, by: str, descending: bool = False) -> DataFrame:
     """Order by one column, nulls last both ways. Equal values go by all other columns, so a
@@ -35,33 +33,35 @@ def total_order(df: DataFrame, order_by: Sequence[str | Column]) -> list[Column]
 
 
 def with_position(df: DataFrame, order_by: Sequence[str | Column], position: str = "position") -> DataFrame:
-    """Number the rows 1, 2, … in a global order without a single-task window.
+    """Number the rows 1, 2, … in a global order without a single-task window."""
+    # Equal copies of a row are told apart by their input place and so can be split too.
+    return numbered(with_place(df, "__place").orderBy(*total_order(df, order_by), "__place").drop("__place"), position)
+
+
+def numbered(ordered: DataFrame, position: str = "position") -> DataFrame:
+    """Number the rows of a sorted frame 1, 2, … in its order.
 
     The sorted rows are checkpointed, which fixes their partitions; a row's position is
     its place in its partition plus the sizes of the partitions before it. The only table
     broadcast holds one row per partition.
     """
-    # Equal copies of a row are told apart by their input place and so can be split too.
-    ordered = cut_lineage(with_place(df, "__place").orderBy(*total_order(df, order_by), "__place").drop("__place"))
     spot = F.monotonically_increasing_id()
-    placed = ordered.withColumn("__spot", spot)
+    placed = cut_lineage(ordered).withColumn("__spot", spot)
     part = F.shiftright("__spot", 33)
     sizes = placed.groupBy(part.alias("__part")).count().collect()
     starts, total = [], 0
     for row in sorted(sizes, key=lambda r: r["__part"]):
         starts.append((row["__part"], total))
         total += row["count"]
-    offsets = df.sparkSession.createDataFrame(starts, "__part long, __start long")
+    offsets = ordered.sparkSession.createDataFrame(starts, "__part long, __start long")
     return (placed.withColumn("__part", part).join(F.broadcast(offsets), "__part")
             .withColumn(position, F.col("__start") + F.col("__spot").bitwiseAND((1 << 33) - 1) + 1)
             .drop("__spot", "__part", "__start"))
 
 
 def head(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows of an order. A short list is taken by a distributed top-n; a long
-    one is cut by position, so that it never passes through one task."""
-    if n <= TAKE_LIMIT:
-        return df.orderBy(*total_order(df, order_by)).limit(n)
+    """The first ``n`` rows of an order, cut by position: no task takes more than its share of
+    them, however many they are."""
     return with_position(df, order_by, "__position").filter(F.col("__position") <= n).drop("__position")
 
 

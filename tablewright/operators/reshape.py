@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,9 @@ def explode_column(df: DataFrame, column: str, delimiter: str | None = None) ->
     return df.withColumn(column, F.explode_outer(items))
 
 
+FOLDER = "by_{}"
+
+
 def split_by(df: DataFrame, column: str, path: str, fmt: str = "parquet", **options) -> None:
     """One folder per value of a column, in one pass over the input."""
     partition_by(df, [column], path, fmt, **options)
@@ -70,7 +73,16 @@ def split_by(df: DataFrame, column: str, path: str, fmt: str = "parquet", **opti
 
 def partition_by(df: DataFrame, columns: Sequence[str], path: str, fmt: str = "parquet",
                  mode: str = "overwrite", **options) -> None:
-    """Folders ``column=value/…``. The rebalance hint gathers each value's rows into few files
-    and lets the adaptive planner cut a value that is too big for one task."""
-    rebalanced = df.hint("rebalance", *columns)
-    rebalanced.write.format(fmt).mode(mode).options(**options).partitionBy(*columns).save(path)
+    """Folders ``by_column=value/…`` with whole rows in the files, so that types, empty texts
+    and nulls read back as they were; see :func:`read_partitioned`. The rebalance hint gathers
+    each value's rows into few files and lets the adaptive planner cut a value that is too big
+    for one task."""
+    folders = [FOLDER.format(c) for c in columns]
+    copied = df.withColumns({f: col(c).cast("string") for f, c in zip(folders, columns)})
+    copied.hint("rebalance", *folders).write.format(fmt).mode(mode).options(**options).partitionBy(*folders).save(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+    """The rows that :func:`partition_by` wrote, without the folders' names."""
+    df = spark.read.format(fmt).options(**options).load(path)
+    return df.drop(*[c for c in df.columns if c.startswith(FOLDER.format("")) and c[len(FOLDER.format("")):] in df.columns])

@@ -15,26 +15,42 @@ from tablewright.functions.text import col
 
 # Fixed value: printable ASCII that a URL keeps as it is.
 URL_SAFE = "!#$%&'()*+,/:;=?@[]~|^\\"
+# What is put behind the base's site as it stands: an absolute path of safe characters only,
+# without an empty, ``.`` or ``..`` step.
+PLAIN_PATH = r"^/(?!/)(?!.*/\.{1,2}(/|$|[?#]))[A-Za-z0-9_.\-~!#$%&'()*+,/:;=?@|^]*$"
+SITE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9_.\-~:@]+"
 
 
 def resolve_urls(base: pd.Series, link: pd.Series) -> pd.Series:
-    joined = [None if b is None or u is None else quote(urljoin(b, u.strip()), safe=URL_SAFE)
-              for b, u in zip(base, link)]
-    return pd.Series(joined, index=link.index, dtype=object)
+    """Each link against its base; the link itself where the two make no URL."""
+    def one(b: str | None, u: str | None) -> str | None:
+        if b is None or u is None:
+            return u
+        try:
+            return quote(urljoin(b, u.strip()), safe=URL_SAFE)
+        except ValueError:
+            return u
+
+    return pd.Series([one(b, u) for b, u in zip(base, link)], index=link.index, dtype=object)
 
 
 def extract_links(df: DataFrame, body: str, pattern: str, base_url: str | None = None, out: str = "link") -> DataFrame:
     """One row per match of the pattern's first group in the whole body. With ``base_url`` a
-    match that starts with ``/`` or has no ``://`` is resolved against that column."""
+    match that starts with ``/`` or has no ``://`` is resolved against that column; one that
+    cannot be resolved stays as it was matched."""
     found = df.select(*[col(c) for c in df.columns if c != body],
                       F.explode(F.regexp_extract_all(col(body), F.lit(pattern), F.lit(1))).alias(out))
     if base_url is None:
         return found
-    link = col(out)
+    link, base = col(out), col(base_url)
     relative = link.startswith("/") | ~link.contains("://")
+    plain = link.rlike(PLAIN_PATH) & base.rlike(SITE + "([/?#]|$)")
+    hard = F.coalesce(relative & ~plain, F.lit(False))
     resolve = F.pandas_udf(resolve_urls, T.StringType())
-    resolved = found.withColumn("__url", resolve(col(base_url), link))
-    return resolved.withColumn(out, F.when(relative, F.col("__url")).otherwise(link)).drop("__url")
+    # Python gets nulls, which it passes over, for links that need no work.
+    resolved = found.withColumn("__url", resolve(F.when(hard, base), F.when(hard, link)))
+    joined = F.when(hard, F.coalesce("__url", link)).when(relative & plain, F.concat(F.regexp_extract(base, SITE, 0), link)).otherwise(link)
+    return resolved.withColumn(out, joined).drop("__url")
 
 
 def _answers(texts: pd.Series, complete: Callable[[str], str], pool: ThreadPoolExecutor) -> pd.Series:

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tablewright.operators.generate import add_generated, generate
+from tablewright.operators.generate import add_generated
+from tablewright.operators.ordering import with_position
 from tablewright.operators.reshape import partition_by
 from tablewright.plans.registry import query, table
 from tablewright.sources.files import (convert, csv_to_json, file_inventory, json_to_csv, json_to_xml, read_any,
@@ -43,8 +44,8 @@ for _kind in ("csv", "json", "jsonl"):
 def _(spark, folder):
     path = scratch_path(spark, "types") + ".csv"
     events = table(spark, folder, "events")
-    write_any(events.select("event_id", "value", "ts", (F.col("value") >= 50).alias("big"), "props"), path, escape='"')
-    back = read_any(spark, path, escape='"')
+    write_any(events.select("event_id", "value", "ts", (F.col("value") >= 50).alias("big"), "props"), path)
+    back = read_any(spark, path)
     kinds = [F.lit(kind).alias(name) for name, kind in back.dtypes]
     return back.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count_if("big").alias("n_big")).select(
         *kinds, "n", "ids", "n_big")
@@ -64,12 +65,36 @@ def _(spark, folder):
     notes = table(spark, folder, "orders").select(
         "o_orderkey", F.concat("o_orderpriority", F.lit(', "x"')).alias("note"),
         F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")).alias("o_orderstatus"))
-    notes.write.csv(source, header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False,
-                    ignoreTrailingWhiteSpace=False)
+    write_any(notes, source, sep=";")
     csv_to_json(spark, source, target, delimiter=";")
     return read_any(spark, target).select("o_orderkey", "note", "o_orderstatus")
 
 
+@query("roundtrip_csv_documents", "select doc_id, text, lang, source, n_chars from documents")
+def _(spark, folder):
+    path = scratch_path(spark, "prose") + ".csv"
+    write_any(table(spark, folder, "documents"), path)
+    return read_any(spark, path)
+
+
+@query("csv_to_json_documents", """
+    select cast(doc_id as varchar) as doc_id, text || chr(10) || '"quoted", ' || source as text, cast(n_chars as varchar) as n_chars from documents""")
+def _(spark, folder):
+    source, target = scratch_path(spark, "prose") + ".csv", scratch_path(spark, "prose") + ".jsonl"
+    quoted = F.concat("text", F.lit('\n"quoted", '), "source").alias("text")
+    write_any(table(spark, folder, "documents").select("doc_id", quoted, "n_chars"), source)
+    csv_to_json(spark, source, target)
+    return read_any(spark, target).select("doc_id", "text", "n_chars")
+
+
+@query("wide_integers", "select o_orderkey + 9223372036850000000 as id, '9' || (o_orderkey + 9223372036850000000)::varchar as wide from orders")
+def _(spark, folder):
+    path = scratch_path(spark, "wide") + ".csv"
+    ids = (F.col("o_orderkey") + F.lit(9223372036850000000)).alias("id")
+    write_any(table(spark, folder, "orders").select(ids, F.concat(F.lit("9"), ids.cast("string")).alias("wide")), path)
+    return read_any(spark, path)
+
+
 @query("json_to_csv", """
     select cast(o_orderkey as varchar) as o_orderkey, coalesce(nullif(o_orderstatus, 'P'), '') as status,
            '{"by":' || o_custkey || ',"level":"' || o_orderpriority || '"}' as who from orders""")
@@ -80,7 +105,7 @@ def _(spark, folder):
         F.struct(F.col("o_custkey").alias("by"), F.col("o_orderpriority").alias("level")).alias("who"))
     write_any(nested, source)
     json_to_csv(spark, source, target, delimiter="\\t")
-    cells = spark.read.csv(target, sep="\t", header=True, escape='"')
+    cells = read_any(spark, target, schema="o_orderkey string, status string, who string", sep="\t")
     return cells.select("o_orderkey", F.coalesce("status", F.lit("")).alias("status"), "who")
 
 
@@ -199,9 +224,10 @@ for _name, _sql in SQL.items():
 
 # --- generated rows ------------------------------------------------------------------
 
-@query("generate_ids", "select 10 + 5 * (row_number() over () - 1) as id from orders")
+@query("generate_ids", "select o_orderkey, 10 + 5 * (row_number() over (order by o_orderkey) - 1) as id from orders")
 def _(spark, folder):
-    return generate(spark, table(spark, folder, "orders").count(), [{"name": "id", "type": "id", "start": 10, "step": 5}])
+    placed = with_position(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], "place")
+    return add_generated(placed, F.col("place") - 1, [{"name": "id", "type": "id", "start": 10, "step": 5}]).drop("place")
 
 
 # Each generated column with the shape its texts must have.
@@ -216,11 +242,11 @@ SHAPES = {
     "n_first": ({"type": "prenom"}, r"^\p{Lu}\p{Ll}+$"),
     "n_last": ({"type": "last_name"}, r"^\p{Lu}\p{Ll}+$"),
     "n_full": ({"type": "full_name"}, r"^\p{L}+ \p{L}+$"),
-    "n_email": ({"type": "email"}, r"^[a-z]+[._-]?[a-z]+\d{0,3}@[a-z.]+$"),
-    "n_phone": ({"type": "phone", "prefix": "+33"}, r"^\+33\d{8}$"),
+    "n_email": ({"type": "email"}, r"^[a-z]+\d\d@[a-z.]+$"),
+    "n_phone": ({"type": "phone", "prefix": "+33"}, r"^\+33 \d{3} \d{4}$"),
     "n_country": ({"type": "country", "format": "code"}, "^[A-Z]{2}$"),
     "n_city": ({"type": "city"}, r"^\p{L}+$"),
-    "n_address": ({"type": "address"}, r"^\d{1,3}, [\p{L} ]+, \p{L}+$"),
+    "n_address": ({"type": "address"}, r"^[\p{L} ]+ \d{1,3}, \p{L}+$"),
     "n_postal": ({"type": "postal_code", "country": "CA"}, r"^[A-Z]\d[A-Z] \d[A-Z]\d$"),
     "n_text": ({"type": "text", "minWords": 2, "maxWords": 4}, r"^[a-z]+( [a-z]+){1,3}$"),
     "n_pattern": ({"type": "pattern", "pattern": "##-Aa-X?x/"}, r"^\d\d-[A-Z][a-z]-[0-9A-Z][A-Za-z][0-9a-z]/$"),
@@ -228,16 +254,15 @@ SHAPES = {
 }
 
 
-@query("generate_shapes", "select count(*) as n_rows, " + ", ".join(f"count(*) as {n}" for n in SHAPES) + " from customer")
+@query("generate_shapes", "select c_custkey, " + ", ".join(f"true as {n}" for n in SHAPES) + " from customer")
 def _(spark, folder):
     spec = [{"name": name, **rule} for name, (rule, _) in SHAPES.items()]
-    made = generate(spark, table(spark, folder, "customer").count(), spec, seed=7)
-    return made.agg(F.count("*").alias("n_rows"), *[
-        F.count_if(F.col(name).cast("string").rlike(shape)).alias(name) for name, (_, shape) in SHAPES.items()])
+    made = add_generated(table(spark, folder, "customer").select("c_custkey"), F.col("c_custkey"), spec, seed=7)
+    return made.select("c_custkey", *[F.col(name).cast("string").rlike(shape).alias(name) for name, (_, shape) in SHAPES.items()])
 
 
-@query("generate_beside", "select c_custkey, 8 as width from customer")
+@query("generate_beside", "select c_custkey, 8 as width, true as fits from customer")
 def _(spark, folder):
     buyers = table(spark, folder, "customer").select("c_custkey")
-    return add_generated(buyers, F.col("c_custkey"), [{"name": "code", "type": "pattern", "pattern": "AAAA####"}]).select(
-        "c_custkey", F.length("code").alias("width"))
+    made = add_generated(buyers, F.col("c_custkey"), [{"name": "code", "type": "pattern", "pattern": "AAAA####"}])
+    return made.select("c_custkey", F.length("code").alias("width"), F.col("code").rlike("^[A-Z]{4}[0-9]{4}$").alias("fits"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.aggregates import count_by, groupby, histogram, histogram_quantiles, metric
 from tablewright.operators.joins import join, lookup
-from tablewright.operators.ordering import deduplicate, head, top_groups, with_position
+from tablewright.operators.ordering import deduplicate, head, numbered, sort, top_groups
 from tablewright.operators.profile import profile, schema_check
 from tablewright.plans.registry import query, table
 
@@ -204,12 +204,12 @@ SORT_SQL = """with t as (select l_orderkey, l_linenumber, l_extendedprice, l_shi
 
 @query("sort_asc", SORT_SQL.format("asc"))
 def _(spark, folder):
-    return with_position(_sortable(spark, folder), [F.col("q").asc_nulls_last()])
+    return numbered(sort(_sortable(spark, folder), "q"))
 
 
 @query("sort_desc", SORT_SQL.format("desc"))
 def _(spark, folder):
-    return with_position(_sortable(spark, folder), [F.col("q").desc_nulls_last()])
+    return numbered(sort(_sortable(spark, folder), "q", descending=True))
 
 
 @query("preview_topn", """

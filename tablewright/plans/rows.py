@@ -77,6 +77,21 @@ def _(spark, folder):
     return filter_rows(flag_without_n(spark, folder), "is_not_empty", column="flag")
 
 
+@query("filter_gt_date", "select o_orderkey, o_orderdate from orders where o_orderdate >= timestamp '1995-06-17'")
+def _(spark, folder):
+    return filter_rows(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), "gt", "1995-06-17", column="o_orderdate")
+
+
+@query("filter_equals_int", "select o_orderkey, o_custkey from orders where o_custkey = 7")
+def _(spark, folder):
+    return filter_rows(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "equals", "7", column="o_custkey")
+
+
+@query("filter_not_in_int", "select o_orderkey, o_custkey from orders where o_custkey not in (7, 8, 11)")
+def _(spark, folder):
+    return filter_rows(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), "not_in", "7, 8,11,x,08", column="o_custkey")
+
+
 @query("filter_in", "select * from orders where o_orderstatus in ('F', 'P')")
 def _(spark, folder):
     return filter_rows(table(spark, folder, "orders"), "in", "F, P", column="o_orderstatus")

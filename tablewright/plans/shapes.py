@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators.chunks import chunk_cumulative
-from tablewright.operators.reshape import explode_column, merge, partition_by, pivot, split_by, unpivot
+from tablewright.operators.reshape import (explode_column, merge, partition_by, pivot, read_partitioned, split_by,
+                                           unpivot)
 from tablewright.plans.registry import query, table
 from tablewright.sources.scratch import scratch_path
 
@@ -82,7 +83,7 @@ def _(spark, folder):
     path = scratch_path(spark, "split")
     split_by(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"),
              "o_orderstatus", path)
-    return spark.read.parquet(path)
+    return read_partitioned(spark, path)
 
 
 @query("partition_by_columns", """
@@ -90,7 +91,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = scratch_path(spark, "partition")
     partition_by(table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"], path)
-    return (spark.read.parquet(path).groupBy("o_orderstatus", "o_orderpriority")
+    return (read_partitioned(spark, path).groupBy("o_orderstatus", "o_orderpriority")
             .agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")))
 
 

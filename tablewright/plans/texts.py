@@ -21,6 +21,19 @@ def _(spark, folder):
     return extract_links(table(spark, folder, "pages"), "html", 'href="([^"]+)"', base_url="url")
 
 
+SITE_SQL = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+
+
+# Links that are whole, malformed, from the root, and up some steps.
+@query("extract_links_odd", f"""
+    select page_id, unnest(['http://[bad/p', 'ftp://x.org/a b', '//[bad/x', {SITE_SQL} || '/root/p?q=1#f', {SITE_SQL} || '/up.html']) as link
+    from pages""")
+def _(spark, folder):
+    odd = F.lit("".join(f'<a href="{u}">' for u in ("http://[bad/p", "ftp://x.org/a b", "//[bad/x", "/root/p?q=1#f", "/a/b/../../up.html")))
+    pages = table(spark, folder, "pages").select("page_id", "url", odd.alias("html"))
+    return extract_links(pages, "html", 'href="([^"]+)"', base_url="url").select("page_id", "link")
+
+
 @query("extract_matches", """
     select page_id, url, unnest(regexp_extract_all(html, '<li>(<[^>]+>)?([^<]*)', 2)) as item from pages""")
 def _(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -13,9 +13,12 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import col, tag_name
 from tablewright.operators.clean import infer_types
+from tablewright.operators.drift import union_with_drift
 
 # Fixed value: delimiters in the order they are looked for.
 DELIMITERS = (";", ",", "\t", "|")
+# Fixed value: characters in which a delimiter is looked for.
+SNIFFED = 2048
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".jsonl": "jsonl", ".ndjson": "jsonl"}
 
 
@@ -26,10 +29,37 @@ def file_format(path: str) -> str:
     return FORMATS[suffix]
 
 
-def _holds_arrays(spark: SparkSession, path: str) -> bool:
-    """Whether a JSON file starts with ``[`` and so is one array, not one object per line."""
-    start = spark.read.text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).filter("c <> ''").head(1)
-    return bool(start) and start[0]["c"] == "["
+# Cells with quotes, delimiters or line breaks stand in quotes, a quote in them doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of a CSV runs over a line break: a line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def json_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``kind`` of JSON files: ``lines`` of one object each, an ``array``, or one
+    ``object`` over several lines. Told by each file's first line that is not blank."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        F.ltrim("value").alias("value")).filter("value <> ''")
+    first = lines.groupBy("file").agg(F.min_by(F.when(F.startswith("value", F.lit("[")), "[").otherwise(F.col("value")), "at").alias("value"))
+    return first.select("file", F.when(F.col("value") == "[", "array").when(F.try_parse_json("value").isNotNull(), "lines").otherwise("object").alias("kind"))
+
+
+def _read_json(spark: SparkSession, path: str, schema: T.StructType | str | None, options: dict) -> DataFrame:
+    def reader():
+        chosen = spark.read.options(**options)
+        return chosen if schema is None else chosen.schema(schema)
+
+    kinds = json_kinds(spark, path)
+    found = {r["kind"] for r in kinds.select("kind").distinct().collect()}
+    if found <= {"lines"} or "lines" not in found:
+        return reader().json(path, multiLine=bool(found) and "lines" not in found)
+    files = {lines: [r["file"] for r in kinds.filter((F.col("kind") == "lines") == lines).select("file").collect()] for lines in (True, False)}
+    return union_with_drift(reader().json(files[True]), reader().json(files[False], multiLine=True))
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -37,20 +67,26 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
     Without a schema CSV and JSON are read once more to infer it; give one for large data.
     CSV cells become integers, floats or booleans where a whole column fits, else text.
-    A JSON array cannot be cut, so each such file is one task; JSON Lines has no such limit.
+
+    A CSV in which a quoted cell runs over a line break is found by a pass over its lines and
+    read as one task per file, as it cannot be cut; ``multiLine`` given either way saves the
+    pass. So is a JSON file that is an array or one object over several lines; each file is
+    looked at. JSON Lines and Parquet have no such limit.
     """
     kind = file_format(path)
-    reader = spark.read.options(**options)
+    if kind == "json":
+        return _read_json(spark, path, schema, options)
+    reader = spark.read
+    if kind == "csv":
+        options = {**CSV, **options}
+        if "multiLine" not in options:
+            options["multiLine"] = spans_lines(spark, path)
+    reader = reader.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     if kind == "csv":
-        cells = reader.option("header", True).csv(path)
-        return infer_types(cells) if schema is None else cells
-    if kind == "json":
-        return reader.json(path, multiLine=_holds_arrays(spark, path))
-    if kind == "jsonl":
-        return reader.json(path)
-    return reader.parquet(path)
+        return infer_types(reader.csv(path)) if schema is None else reader.csv(path)
+    return reader.json(path) if kind == "jsonl" else reader.parquet(path)
 
 
 def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +109,12 @@ def write_any(df: DataFrame, path: str, mode: str = "overwrite", **options) -> N
     """Write in the format told by the extension. The path is a folder of part files; a
     ``.json`` part file is a JSON array."""
     kind = file_format(path)
+    if kind == "csv":
+        # Cells are written as they are, white space at their ends too.
+        options = {**CSV, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, **options}
     writer = df.write.mode(mode).options(**options)
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.csv(path)
     elif kind == "parquet":
         writer.parquet(path)
     elif kind == "jsonl":
@@ -86,22 +125,24 @@ def write_any(df: DataFrame, path: str, mode: str = "overwrite", **options) -> N
         objects.mapInArrow(_as_array, "value string").write.mode(mode).options(**options).text(path)
 
 
-def convert(spark: SparkSession, source: str, destination: str, schema: T.StructType | str | None = None) -> None:
-    """Read any format, write any other."""
-    write_any(read_any(spark, source, schema), destination)
+def convert(spark: SparkSession, source: str, destination: str, schema: T.StructType | str | None = None,
+            read_options: Mapping | None = None, write_options: Mapping | None = None) -> None:
+    """Read any format, write any other; the options go to the reader and the writer."""
+    write_any(read_any(spark, source, schema, **(read_options or {})), destination, **(write_options or {}))
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The first of ``; , tab |`` found in the first 2,048 characters; a comma if none is."""
-    lines = spark.read.text(path).select(F.left("value", F.lit(2048)).alias("value")).head(64)
-    start = "\n".join(r["value"] for r in lines)[:2048]
+    # Every line has at least its line break, so so many lines hold so many characters.
+    lines = spark.read.text(path).select(F.left("value", F.lit(SNIFFED)).alias("value")).head(SNIFFED)
+    start = "\n".join(r["value"] for r in lines)[:SNIFFED]
     return next((d for d in DELIMITERS if d in start), ",")
 
 
 def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with whatever delimiter it has: text cells, trimmed, quotes taken off the header."""
-    df = spark.read.csv(path, sep=sniff_delimiter(spark, path), header=True, ignoreLeadingWhiteSpace=True,
-                        ignoreTrailingWhiteSpace=True)
+    df = spark.read.csv(path, sep=sniff_delimiter(spark, path), ignoreLeadingWhiteSpace=True,
+                        ignoreTrailingWhiteSpace=True, multiLine=spans_lines(spark, path), **CSV)
     return df.toDF(*[c.strip().replace('"', "").replace("'", "") for c in df.columns])
 
 
@@ -116,20 +157,24 @@ def _delimiter(text: str) -> str:
 
 def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",", has_headers: bool = True,
                   width: int | None = None) -> DataFrame:
-    """All cells of a CSV as trimmed text.
+    """All cells of a CSV as trimmed text; quoted cells may hold line breaks.
 
     Without a header the columns are ``0``, ``1``, …; cells beyond the header come as
     ``column_<i>``, null where a row has none. Unless ``width``, the most cells of a row, is
-    given, the file is read once first to find it: delimiters outside quotes on every line.
+    given, the file is read once first to find it, by the rows that do not fit the header.
     """
     sep = _delimiter(delimiter)
-    if width is None:
-        bare = F.regexp_replace("value", r'"([^"]|"")*"', "")
-        count = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
-        width = spark.read.text(path).agg(F.max(count).alias("w")).first()["w"] or 0
-    common = {"sep": sep, "header": has_headers, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
-              "escape": '"'}
+    common = {**CSV, "sep": sep, "header": has_headers, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
+              "multiLine": spans_lines(spark, path)}
     named = [c.strip() for c in spark.read.csv(path, **common).columns] if has_headers else []
+    if width is None:
+        cells = [T.StructField(f"c{i}", T.StringType()) for i in range(max(len(named), 1))]
+        rows = spark.read.schema(T.StructType([*cells, T.StructField("__row", T.StringType())])).options(
+            columnNameOfCorruptRecord="__row", columnPruning=False, enforceSchema=True, **common).csv(path)
+        bare = F.regexp_replace("__row", '"[^"]*"', "")
+        counted = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+        found = rows.select("c0", counted.alias("n")).agg(F.max("n").alias("n"), F.count("c0").alias("rows")).first()
+        width = max(found["n"] or 0, len(named) or (1 if found["rows"] else 0))
     names = named + [f"column_{i}" if has_headers else str(i) for i in range(len(named), width)]
     if not names:
         raise ValueError(f"'{path}' is empty")
@@ -206,3 +251,13 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*", max_age
         if bound is not None:
             files = files.filter(condition(float(bound)))
     return files
+
+
+def path_info(spark: SparkSession, path: str) -> dict:
+    """``exists``, ``is_dir``, ``size_bytes`` and ``modified`` (milliseconds) of one path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return {"exists": False, "is_dir": False, "size_bytes": None, "modified": None}
+    status = system.getFileStatus(place)
+    return {"exists": True, "is_dir": status.isDirectory(), "size_bytes": status.getLen(), "modified": status.getModificationTime()}

@@ -37,12 +37,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def plan_size(df: DataFrame) -> int | None:
-    """The planner's estimate of the bytes of ``df``; None where it cannot be asked."""
+# Steps of a plan that leave rows in the order and the partitions in which they were read.
+IN_PLACE = {"Project", "Filter", "SubqueryAlias", "View", "Generate", "LogicalRelation", "Relation", "LocalRelation", "Range",
+            "MapInArrow", "MapInPandas", "ArrowEvalPython", "Deserialize", "Serialize"}
+
+
+def keeps_places(df: DataFrame) -> bool:
+    """Whether each step of the plan leaves the rows where they were read; False if it cannot be asked."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        steps = [df._jdf.queryExecution().optimizedPlan()]
+        while steps:
+            step = steps.pop()
+            if step.nodeName().split(" ")[0] not in IN_PLACE:
+                return False
+            below = step.children()
+            steps += [below.apply(i) for i in range(below.size())]
     except AttributeError:
-        return None
+        return False
+    return True
 
 
 def with_place(df: DataFrame, place: str) -> DataFrame:
@@ -52,8 +64,4 @@ def with_place(df: DataFrame, place: str) -> DataFrame:
     the numbers are then fixed on disk before anything is partitioned by them.
     """
     numbered = df.withColumn(place, F.monotonically_increasing_id())
-    try:
-        shuffled = "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-    except AttributeError:
-        shuffled = True
-    return cut_lineage(numbered) if shuffled else numbered
+    return numbered if keeps_places(df) else cut_lineage(numbered)

@@ -11,10 +11,18 @@ from tablewright.sources.scratch import scratch_path
 
 
 def sql_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A SELECT over frames known by name."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    """A SELECT over frames known by name. Views of the session with these names stay as they are."""
+    before = {name: spark.table(name) for name in tables if any(t.isTemporary and t.name == name for t in spark.catalog.listTables())}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(query)  # resolved here and now, so the views may go
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def _create(df: DataFrame, table: str, path: str | None) -> None:

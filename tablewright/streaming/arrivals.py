@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.operators.reshape import partition_by
 from tablewright.operators.validate import flag_valid
 
 Handler = Callable[[DataFrame, int], None]
@@ -41,9 +42,9 @@ def append_to(path: str, step: Callable[[DataFrame], DataFrame] = lambda df: df)
 
 
 def route_valid(rules: list[dict], path: str) -> Handler:
-    """Valid and quarantined rows in one pass, as ``is_valid=true`` and ``is_valid=false``."""
+    """Valid and quarantined rows in one pass, as ``by_is_valid=true`` and ``by_is_valid=false``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        flag_valid(batch, rules).write.mode("overwrite").partitionBy("is_valid").parquet(f"{path}/batch={batch_id}")
+        partition_by(flag_valid(batch, rules), ["is_valid"], f"{path}/batch={batch_id}")
 
     return handle
 

@@ -2,7 +2,7 @@ import pytest
 from conftest import plan_of, tuples
 from pyspark.errors import PySparkException
 
-from tablewright import (delta, explode_column, merge, partition_by, pivot, scd2, schema_drift_upsert, split_by, sync,
+from tablewright import (delta, explode_column, merge, partition_by, pivot, read_partitioned, scd2, schema_drift_upsert, split_by, sync,
                          sync_counts, union_with_drift, unpivot, upsert)
 
 
@@ -145,8 +145,15 @@ def test_explode_golden(spark):
 def test_split_and_partition(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 10), ("b", 2, 11), ("a", 3, 10), (None, 4, 10)], "cat string, val int, n int")
     split_by(df, "cat", str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s" / "cat=a")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "s" / "by_cat=a")).count() == 2
     partition_by(df, ["cat", "n"], str(tmp_path / "p"), "csv", header=True)
-    back = spark.read.csv(str(tmp_path / "p"), header=True)
-    assert back.count() == 4 and back.filter("cat is null").count() == 1
+    back = read_partitioned(spark, str(tmp_path / "p"), "csv", header=True)
+    assert back.columns == df.columns and back.count() == 4 and back.filter("cat is null").count() == 1
     assert back.filter("cat = 'a' and n = 10").count() == 2
+
+
+def test_partitions_keep_values_and_types(spark, tmp_path):
+    df = spark.createDataFrame([("01", 1), ("1", 2), ("", 3), (None, 4), ("a=b/c", 5)], "code string, v long")
+    partition_by(df, ["code"], str(tmp_path / "p"))
+    back = read_partitioned(spark, str(tmp_path / "p"))
+    assert back.schema == df.schema and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)

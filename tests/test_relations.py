@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tablewright import (anti_join, count_by, deduplicate, groupby, head, histogram, histogram_quantiles, join, lookup, metric,
                          partition_by, profile, require_schema, schema_check, sort, top_groups, upsert, with_position)
-from tablewright.operators import ordering
+from tablewright.operators import joins
+from tablewright.operators.text_columns import map_text
 
 
 def brute_join(left, right, how):
@@ -45,10 +47,40 @@ def test_join_small_side(spark, how):
     assert join(a, b, "k", how="sideways").count() == len(brute_join(LEFT, RIGHT, "inner"))
 
 
-def test_no_join_is_planned_as_full_outer_when_large(spark, shuffled_joins):
-    a, b = spark.createDataFrame(LEFT, "k int, v string"), spark.createDataFrame(RIGHT, "k int, w string")
-    plan = plan_of(join(a, b, "k", how="outer"))
-    assert "FullOuter" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+@pytest.mark.parametrize("how", ["left", "outer"])
+def test_hot_keys_of_either_side_are_dealt_out(spark, shuffled_joins, monkeypatch, how):
+    monkeypatch.setattr(joins, "HOT_ROWS", 7)
+    a = [(k, f"v{i}") for i, k in enumerate([1] * 60 + [2] * 3 + [None] * 20 + [4] * 30 + [5])]
+    b = [(k, f"w{i}") for i, k in enumerate([1] * 40 + [3] * 50 + [None] * 25 + [4] + [5] * 30)]
+    out = join(spark.createDataFrame(a, "k int, v string").repartition(3), spark.createDataFrame(b, "k int, w string").repartition(3), "k", how=how)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute_join(a, b, how)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = out.filter("k = 1").select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1 and "Cartesian" not in plan_of(out)
+
+
+def test_joins_read_each_input_once(spark, shuffled_joins, tmp_path):
+    for name, rows, schema in (("a", LEFT, "k int, v string"), ("b", RIGHT, "k int, w string")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def answer(text):
+            calls.add(1)
+            return text
+
+        return answer
+
+    answered = map_text(a, "v", model, "said")
+    assert len(join(answered, b, "k", how="left").collect()) == len(brute_join(LEFT, RIGHT, "left"))
+    assert calls.value == sum(1 for r in LEFT if r[1])
+    for how in ("left", "outer"):
+        scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan_of(join(a, b, "k", how=how)))
+        assert sum("v#" in s for s in scans) == sum("w#" in s for s in scans) == 1
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan_of(upsert(a, b.withColumnRenamed("w", "v"), ["k"])))
+    assert sum("v#" in s for s in scans) == 1
 
 
 def test_lookup_golden(spark):
@@ -133,11 +165,11 @@ def test_positions_number_every_row_once(spark, source):
     assert [r["g"] for r in sorted(out, key=lambda r: r["position"])] == sorted(r["g"] for r in out)
 
 
-def test_head_short_and_long(spark, monkeypatch):
+def test_head_short_and_long(spark):
     df = spark.range(100).select((100 - F.col("id")).alias("v"))
     short = sorted(r["v"] for r in head(df, 7, ["v"]).collect())
-    monkeypatch.setattr(ordering, "TAKE_LIMIT", 5)
-    assert short == sorted(r["v"] for r in head(df, 7, ["v"]).collect()) == list(range(1, 8))
+    assert short == list(range(1, 8)) and head(df, 1_000_000, ["v"]).count() == 100
+    assert "TakeOrdered" not in plan_of(head(df, 7, ["v"]))
     assert tuples(top_groups(df.select((F.col("v") % 3).alias("m")), ["m"], 1)) == [(1, 34)]
 
 
@@ -187,7 +219,7 @@ def executed(df):
     return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_hot_keys_are_split_on_either_side(spark, touchy_skew, tmp_path):
+def test_hot_keys_are_split_on_either_side(spark, touchy_skew, tmp_path, monkeypatch):
     big = hot(spark, tmp_path, "big", 0.34)
     few = spark.range(0, 4000, 1, 4).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("w"))
     few.write.parquet(str(tmp_path / "few"))
@@ -196,21 +228,25 @@ def test_hot_keys_are_split_on_either_side(spark, touchy_skew, tmp_path):
     rows, plan = executed(join(big, few, "k", how="left"))
     assert len(rows) == 40_000 and sum(r["w"] is None for r in rows) == expected[4000]
     assert plan.count("SortMergeJoin(skew=true)") >= 1
-    assert "ReusedExchange" in plan
-    rows, plan = executed(join(few, big, "k", how="outer"))
-    assert len(rows) == 40_000 + sum(k not in expected for k in range(4000))
-    assert plan.count("SortMergeJoin(skew=true)") == 2
+    monkeypatch.setattr(joins, "HOT_ROWS", 2000)
+    joined = join(few, big, "k", how="outer")
+    assert len(joined.collect()) == 40_000 + sum(k not in expected for k in range(4000))
+    sizes = [r["count"] for r in joined.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == expected[7] and max(sizes) < 0.5 * expected[7]
 
 
-def test_hot_target_keys_are_split_in_change_capture(spark, touchy_skew, tmp_path):
+def test_hot_target_keys_are_split_in_change_capture(spark, touchy_skew, tmp_path, monkeypatch):
     target = hot(spark, tmp_path, "t", 0.34)
     source = spark.range(0, 3000, 1, 4).select(F.col("id").alias("k"), F.lit("new").alias("v_t"))
     source.write.parquet(str(tmp_path / "s"))
     source = spark.read.parquet(str(tmp_path / "s"))
     rows, plan = executed(anti_join(target, source.filter("k <> 7"), ["k"]))
     assert "SortMergeJoin(skew=true)" in plan and sum(r["k"] == 7 for r in rows) >= 13_600
-    rows, plan = executed(upsert(target, source, ["k"]))
-    assert "SortMergeJoin(skew=true)" in plan
+    monkeypatch.setattr(joins, "HOT_ROWS", 2000)
+    changed = upsert(target, source, ["k"])
+    rows = changed.collect()
+    sizes = [r["count"] for r in changed.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 0.5 * sum(sizes)
     assert sum(r["v_t"] == "new" for r in rows) == target.filter("k < 3000").count() + \
         source.join(target, "k", "left_anti").count()
 
