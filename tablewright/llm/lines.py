@@ -71,11 +71,12 @@ def later_blocks(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
     blocks = with_blocks(named, "text", least).filter("size(blocks) > 0")
     placed = scratch.keep(blocks.select("doc_id", "print", F.explode("blocks").alias("b")).select("doc_id", "print", "b.*"))
+    # joined by sorted merges at every size: Spark splits their hot keys, and nothing that grows is broadcast
     often = placed.filter("fresh").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    near = scratch.keep(placed.drop("fresh").join(scratch.keep(often), "mark", "left_semi").drop("mark"))
+    near = scratch.keep(placed.drop("fresh").join(scratch.keep(often).hint("merge"), "mark", "left_semi").drop("mark"))
     here = F.struct("doc_id", "print", "first", "end")
     firsts = near.groupBy("high", "low").agg(F.min(here).alias("f"), F.max(here).alias("l")).filter("f <> l").drop("l")
-    found = near.join(scratch.keep(firsts), ["high", "low"]).filter(here != F.col("f"))
+    found = near.join(scratch.keep(firsts).hint("merge"), ["high", "low"]).filter(here != F.col("f"))
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("print") == F.col("f.print"))
     found = found.withColumn("begin", F.when(same, F.greatest("first", "f.end")).otherwise(F.col("first"))).filter("begin < end")
     return found.groupBy("doc_id", "print").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
@@ -107,7 +108,7 @@ def dedup_lines(docs: DataFrame, runs: str = "runs", least: int = LEAST_WORDS) -
         mark, an_id, a_print, gone = (fresh(docs, c) for c in ("text_print", "run_id", "run_print", "run_spans"))
         found = scratch.keep(later_blocks(docs, scratch, least=least).select(F.col("doc_id").alias(an_id), F.col("print").alias(a_print), F.col("spans").alias(gone)))
         hashed = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-        joined = hashed.join(found, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(mark) == F.col(a_print)), "left")
+        joined = hashed.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(mark) == F.col(a_print)), "left")
         kept = [c for c in docs.columns if c.lower() != runs.lower()]
         schema = StructType([docs.schema[c] for c in kept] + list(StructType.fromDDL(f"`{runs}` {RUNS}")))
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
