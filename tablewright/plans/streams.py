@@ -70,6 +70,6 @@ def _(spark, folder):
         rows = orders.filter(F.col("o_orderstatus") == status).select(
             F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("price"), "o_orderkey")
         land(rows, f"{base}/in")
-        run_available(arriving_files(spark, f"{base}/in", rows.schema), maintain(f"{base}/table", apply),
+        run_available(arriving_files(spark, f"{base}/in", rows.schema), maintain(f"{base}/table", apply, keys=["id"], buckets=16),
                       f"{base}/checkpoint")
     return latest_version(spark, f"{base}/table").select("id", "price")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tablewright.functions.text import col, tag_name
 from tablewright.operators.clean import infer_types
 from tablewright.operators.drift import union_with_drift
+from tablewright.sources.scratch import file_system
 
 # Fixed value: delimiters in the order they are looked for.
 DELIMITERS = (";", ",", "\t", "|")
@@ -255,8 +256,7 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*", max_age
 
 def path_info(spark: SparkSession, path: str) -> dict:
     """``exists``, ``is_dir``, ``size_bytes`` and ``modified`` (milliseconds) of one path."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system, place = file_system(spark, path)
     if not system.exists(place):
         return {"exists": False, "is_dir": False, "size_bytes": None, "modified": None}
     status = system.getFileStatus(place)

@@ -31,6 +31,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tablewright/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system a path is on, and the path as it takes it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it; nothing happens if it is not there."""
+    system, place = file_system(spark, path)
+    system.delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint: the rows and their partitions stay as they are, whatever is lost later."""
     shared_folder(df.sparkSession)

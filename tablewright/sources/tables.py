@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.operators.drift import conform, union_with_drift, widened_schema
-from tablewright.sources.scratch import scratch_path
+from tablewright.sources.scratch import file_system, remove
 
 
 def sql_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -25,17 +26,59 @@ def sql_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame])
                 spark.catalog.dropTempView(name)
 
 
-def _create(df: DataFrame, table: str, path: str | None) -> None:
-    df.write.format("parquet").option("path", path or scratch_path(df.sparkSession, table)).saveAsTable(table)
+# Properties that the catalog sets by itself.
+OWN_PROPERTIES = ("transient_lastDdlTime", "numFiles", "totalSize", "numRows", "rawDataSize")
+
+
+def _create(df: DataFrame, table: str, path: str | None, partitions: Sequence[str] = ()) -> None:
+    """A managed table in the warehouse, or one whose files are at ``path``."""
+    writer = df.write.format("parquet").partitionBy(*partitions)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def _rewrite(rows: DataFrame, table: str) -> None:
+    """Put rows of another shape in a table's place, with its partition columns, its properties
+    and, for a table with its own path, a path beside that. All rows are written first; only
+    when that is done does the old table go and the new folder take its place."""
+    spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
+    partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").select("col_name", "data_type").collect()}
+    properties = [(r["key"], r["value"]) for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect() if r["key"] not in OWN_PROPERTIES]
+    place = about["Location"].rstrip("/")
+    written = f"{place}-{tag}"
+    try:
+        rows.write.partitionBy(*partitions).parquet(written)
+    except Exception:
+        remove(spark, written)
+        raise
+
+    def text(value: str) -> str:
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    parts = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in partitions)})" if partitions else ""
+    listed = f" TBLPROPERTIES ({', '.join(f'{text(k)} = {text(v)}' for k, v in properties)})" if properties else ""
+    outside = about.get("Type", "").upper() == "EXTERNAL"
+    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{parts}{f' LOCATION {text(written)}' if outside else ''}{listed}")
+    if not outside:
+        remove(spark, place)
+        system, target = file_system(spark, place)
+        system.rename(file_system(spark, written)[1], target)
+    if partitions:
+        spark.sql(f"MSCK REPAIR TABLE {table}")
+    spark.catalog.refreshTable(table)
 
 
 def write_table(df: DataFrame, table: str, mode: str = "insert", schema_drift: bool = False,
                 path: str | None = None) -> None:
-    """Write to a catalog table, made with the frame's types if it does not exist.
+    """Write to a catalog table, made with the frame's types if it does not exist: in the
+    warehouse, or with its files at ``path``.
 
     ``insert`` or ``append`` adds the rows and ``replace`` puts them in place of all others;
     both keep the table's columns and types. With ``schema_drift`` new columns are added
-    and types widened first: new columns in place, wider types by writing the table anew.
+    and types widened first: new columns in place, wider types by writing the table anew
+    beside the old one, which is swapped out once that is done.
     """
     if mode not in ("insert", "append", "replace"):
         raise ValueError("mode is 'insert', 'append' or 'replace'")
@@ -49,10 +92,7 @@ def write_table(df: DataFrame, table: str, mode: str = "insert", schema_drift: b
         wide = widened_schema(schema, df.schema)
         if [f.dataType for f in wide.fields[:len(schema)]] != [f.dataType for f in schema.fields]:
             rows = conform(df, wide) if mode == "replace" else union_with_drift(current, df)
-            fresh = scratch_path(spark, table)
-            rows.write.parquet(fresh)
-            spark.sql(f"DROP TABLE {table}")
-            spark.catalog.createTable(table, path=fresh, source="parquet")
+            _rewrite(rows, table)
             return
         added = [f for f in wide.fields if f.name not in schema.names]
         if added:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.functions.text import col
 from tablewright.operators.reshape import partition_by
 from tablewright.operators.validate import flag_valid
+from tablewright.sources.scratch import file_system, remove
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -49,18 +52,63 @@ def route_valid(rules: list[dict], path: str) -> Handler:
     return handle
 
 
-def maintain(path: str, apply: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Handler:
+Apply = Callable[[DataFrame | None, DataFrame], DataFrame]
+
+
+def maintain(path: str, apply: Apply, keys: Sequence[str] = (), buckets: int = 64) -> Handler:
     """Keep a table by ``apply(table, batch)``: delta, upsert or history. Every batch writes
-    the next version from the one before, so a batch run twice gives the same version."""
+    the next version from the one before, so a batch run twice gives the same version; versions
+    that neither of the last two batches needs are removed.
+
+    With ``keys`` the rows lie in buckets by a hash of them, and a batch reads and writes only
+    the buckets its keys fall into. ``apply`` must then go key by key, as an upsert does.
+    """
+    def bucketed(df: DataFrame) -> DataFrame:
+        draw = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int") if keys else F.lit(0)
+        return df.withColumn(BUCKET, draw)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}") if batch_id else None
-        apply(before, batch).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark = batch.sparkSession
+        before, earlier = _manifest(spark, path, batch_id - 1), _manifest(spark, path, batch_id - 2)
+        # One number for each bucket at most; without keys there is one bucket.
+        touched = [r[0] for r in bucketed(batch).select(BUCKET).distinct().collect()] if keys else [0]
+        old = [_folder(path, before[b], b) for b in touched if b in before]
+        result = apply(spark.read.parquet(*old) if old else None, batch)
+        bucketed(result).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/version={batch_id}")
+        system, _ = file_system(spark, path)
+        there = spark._jvm.org.apache.hadoop.fs.Path
+        now = {b: v for b, v in before.items() if b not in touched}
+        now |= {b: batch_id for b in touched if system.exists(there(_folder(path, batch_id, b)))}
+        if not now:  # a table without rows has its columns still
+            result.limit(0).write.mode("overwrite").parquet(_folder(path, batch_id, 0))
+            now = {0: batch_id}
+        spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest={batch_id}")
+        for b, v in earlier.items():
+            if v not in (before.get(b), now.get(b)):
+                remove(spark, _folder(path, v, b))
+        remove(spark, f"{path}/manifest={batch_id - 2}")
 
     return handle
 
 
+BUCKET = "__bucket"
+
+
+def _folder(path: str, version: int, bucket: int) -> str:
+    return f"{path}/version={version}/{BUCKET}={bucket}"
+
+
+def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    """The version of each bucket after a batch; nothing before the first."""
+    system, place = file_system(spark, f"{path}/manifest={batch_id}")
+    if not system.exists(place):
+        return {}
+    return {int(b): v for b, v in json.loads(spark.read.text(f"{path}/manifest={batch_id}").first()[0]).items()}
+
+
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
     """The table after the last batch handled by :func:`maintain`."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-             .load(path).select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("long").alias("v")))
-    return spark.read.parquet(f"{path}/version={files.agg(F.max('v')).first()[0]}")
+    system, place = file_system(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(place)]
+    last = max(int(n.partition("=")[2]) for n in names if n.startswith("manifest="))
+    return spark.read.parquet(*[_folder(path, v, b) for b, v in sorted(_manifest(spark, path, last).items())])

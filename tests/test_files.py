@@ -10,7 +10,7 @@ from tablewright import (convert, csv_to_json, file_inventory, generate, json_to
                          read_sniffed, read_xml, sql_query, write_any, write_table, xml_to_json)
 from tablewright.operators.generate import parse_spec
 from tablewright.operators.text_columns import extract_fields, extract_links, map_text
-from tablewright.sources.files import file_format, read_csv_text, sniff_delimiter
+from tablewright.sources.files import file_format, path_info, read_csv_text, sniff_delimiter
 from tablewright.sources.scratch import shared_folder
 from tablewright.streaming import (append_to, arriving_files, latest_version, maintain, route_valid, run_available)
 from tablewright import upsert
@@ -203,3 +203,95 @@ def test_streams_take_each_file_once_and_resume(spark, tmp_path):
         (1, 1.0): "true", (2, -1.0): "false", (2, 5.0): "true", (3, None): "false"}
     assert tuples(latest_version(spark, f"{base}/table")) == [(1, 1.0), (2, 5.0), (3, None)]
     assert spark.read.parquet(f"{base}/out").filter(F.col("event_file_name").endswith(".parquet")).count() == 4
+
+
+def test_tables_lie_in_the_warehouse_and_widen_in_place(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string")
+    rows.write.partitionBy("p").option("compression", "zstd").saveAsTable("kept_parts")
+    spark.sql("alter table kept_parts set tblproperties ('owner_note' = 'mine')")
+    write_table(spark.createDataFrame([(2.5, "c")], "v double, p string"), "kept_parts", schema_drift=True)
+    assert tuples(spark.table("kept_parts").select("v", "p")) == [(1.0, "a"), (2.0, "b"), (2.5, "c")]
+    assert [c.name for c in spark.catalog.listColumns("kept_parts") if c.isPartition] == ["p"]
+    assert ("owner_note", "mine") in {(r["key"], r["value"]) for r in spark.sql("show tblproperties kept_parts").collect()}
+
+    def place(name):
+        return {r[0]: r[1] for r in spark.sql(f"describe table extended {name}").collect()}["Location"]
+
+    assert spark.conf.get("spark.sql.warehouse.dir").rstrip("/") in place("kept_parts")
+    write_table(rows, "outside", path=str(tmp_path / "outside"))
+    assert str(tmp_path / "outside") in place("outside")
+    bad = spark.createDataFrame([("x", "d")], "v string, p string").withColumn("v", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        write_table(bad, "kept_parts", schema_drift=True)
+    assert spark.table("kept_parts").count() == 3
+    assert not [t.name for t in spark.catalog.listTables() if "__wide_" in t.name or "__old_" in t.name]
+    for name in ("kept_parts", "outside"):
+        spark.sql(f"drop table {name}")
+
+
+def test_sql_leaves_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    assert sql_query(spark, "select count(*) as n from numbers join more using (id)", {"numbers": spark.range(5), "more": spark.range(4)}).first()["n"] == 4
+    assert spark.table("numbers").count() == 3 and not spark.catalog.tableExists("more")
+    spark.catalog.dropTempView("numbers")
+
+
+def test_kept_tables_touch_their_buckets_only(spark, tmp_path):
+    base = str(tmp_path)
+    apply = lambda before, batch: upsert(batch.limit(0) if before is None else before, batch, ["id"], order_by=["v"])
+    handle = maintain(f"{base}/t", apply, keys=["id"], buckets=8)
+    for batch_id, rows in enumerate([[(i, 0.0) for i in range(40)], [(3, 1.0)], [(3, 2.0)], [(3, 3.0), (50, 3.0)]]):
+        for _ in range(2):  # a batch may come again
+            handle(spark.createDataFrame(rows, "id int, v double"), batch_id)
+    assert tuples(latest_version(spark, f"{base}/t")) == sorted(((i, 3.0 if i in (3, 50) else 0.0) for i in [*range(40), 50]), key=str)
+    folders = {p.parent.name: sorted(x.name for x in p.parent.glob("__bucket=*")) for p in tmp_path.glob("t/version=*/__bucket=*")}
+    assert len(folders["version=2"]) == 1 and "version=1" not in folders and len(folders["version=0"]) >= 6
+
+
+def test_rfc_4180(spark, tmp_path):
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines\r\nthree"), (3, "  edges "), (4, None), (5, ""), (6, 'q"')]
+    df = spark.createDataFrame(rows, "id long, t string")
+    path = str(tmp_path / "t.csv")
+    write_any(df, path)
+    # an empty cell reads as null
+    assert sorted(map(tuple, read_any(spark, path).collect())) == [(i, t or None) for i, t in rows]
+    (tmp_path / "one.csv").write_text('a,b\n"x ""y"", z","1\n2"\n')
+    assert tuples(read_any(spark, str(tmp_path / "one.csv"))) == [('x "y", z', "1\n2")]
+    csv_to_json(spark, str(tmp_path / "one.csv"), str(tmp_path / "one.jsonl"))
+    assert tuples(read_any(spark, str(tmp_path / "one.jsonl"))) == [('x "y", z', "1\n2")]
+    (tmp_path / "semi.csv").write_text("a;b\n1;x\n")
+    convert(spark, str(tmp_path / "semi.csv"), str(tmp_path / "semi.jsonl"), read_options={"sep": ";"})
+    assert tuples(read_any(spark, str(tmp_path / "semi.jsonl"))) == [(1, "x")]
+
+
+def test_json_of_each_kind_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (folder / "b.json").write_text('\n[\n {"id": 3},\n {"id": 4, "t": "x"}\n]\n')
+    (folder / "c.json").write_text('{\n "id": 5\n}\n')
+    assert sorted(r["id"] for r in read_any(spark, str(folder)).collect()) == [1, 2, 3, 4, 5]
+    assert [r["id"] for r in read_any(spark, str(folder / "c.json")).collect()] == [5]
+
+
+def test_late_delimiters_and_wide_integers(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("\n".join(["x"] * 70 + ["a;b"]))
+    assert sniff_delimiter(spark, str(tmp_path / "late.csv")) == ";"
+    (tmp_path / "ids.csv").write_text("id,wide\n1234567890123456789,12345678901234567890\n1234567890123456788,1\n")
+    df = read_any(spark, str(tmp_path / "ids.csv"))
+    assert dict(df.dtypes) == {"id": "bigint", "wide": "string"} and df.select("id").distinct().count() == 2
+
+
+def test_paths(spark, tmp_path):
+    (tmp_path / "f").write_text("abc")
+    assert path_info(spark, str(tmp_path / "f")) | {"modified": 0} == {"exists": True, "is_dir": False, "size_bytes": 3, "modified": 0}
+    assert path_info(spark, str(tmp_path))["is_dir"] and not path_info(spark, str(tmp_path / "no"))["exists"]
+
+
+def test_python_sees_hard_links_only(spark):
+    from tablewright.operators import text_columns
+    links = ["http://[bad/p", "/root", "//[bad/x", "../up", "x\ty", "/a/./b"]
+    df = spark.createDataFrame([("https://a.org/x/y", "".join(f'<a href="{u}">' for u in links))], "url string, html string")
+    got = [r["link"] for r in extract_links(df, "html", 'href="([^"]+)"', "url").collect()]
+    assert got == ["http://[bad/p", "https://a.org/root", "//[bad/x", "https://a.org/up", "https://a.org/x/xy", "https://a.org/a/b"]
+    assert text_columns.resolve_urls(__import__("pandas").Series([None]), __import__("pandas").Series([None])).tolist() == [None]
