@@ -24,7 +24,7 @@ from tablewright.llm import bpe, jaccard, language, lines, mixing
 from tablewright.llm.common import fresh
 from tablewright.sources.scratch import scratch_path
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

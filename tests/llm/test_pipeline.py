@@ -30,7 +30,7 @@ def stages(spark, tmp_path_factory):
 def test_language(spark, stages):
     before, after = stages["language"]
     chain = language.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
-    want = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(before), chain).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    want = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(before), chain).collect() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SHARE}
     assert {r.doc_id: r.lang for r in after} == want and len(after) > 0.95 * len(before)
     assert {r.doc_id: r.text for r in after} == {r.doc_id: r.text for r in before if r.doc_id in want}
 
