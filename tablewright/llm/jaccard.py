@@ -264,23 +264,24 @@ def link(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str =
     classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()))
     banded = classes.select("id", F.explode("bands").alias("band"))
     shared = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = banded.join(shared, "band").join(classes.select("id", "grams", "sketch"), "id")
+    # sorted merges at every size: Spark splits their hot keys, and nothing is broadcast that grows
+    members = banded.join(shared.hint("merge"), "band").join(classes.select("id", "grams", "sketch").hint("merge"), "id")
     groups = scratch.keep(components(near_in_buckets(in_blocks(members, "band", "n", "id")), scratch).select(F.col("node").alias("id"), F.col("root").alias("comp")))
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.keep(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")))
     chosen = groups.join(sizes, "comp").join(classes.select("id", "copies", "rep"), "id")
     chosen = scratch.keep(chosen.select("id", "comp", "n", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.print").alias("rep_print")))
-    texts = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("print") == F.col("rep_print")))
+    texts = named.join(chosen.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("print") == F.col("rep_print")))
     texts = texts.groupBy("id").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.first("copies").alias("copies"), F.first("text").alias("text"))
     found = scratch.keep(verified(in_blocks(shingle_sets(texts, "text"), "comp", "n", "id", BLOCK // 2)))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     reps = classes.select("id", "key", "rep", "least", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left")
     reps = scratch.keep(reps.withColumn("root", F.coalesce("root", "id")))
-    heads = reps.groupBy("root").agg(F.min("least").alias("class_id"), F.min("rep").alias("head"))
+    heads = scratch.keep(reps.groupBy("root").agg(F.min("least").alias("class_id"), F.min("rep").alias("head")))
     resolved = scratch.keep(reps.join(heads, "root").select(F.col("key").alias("_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), "class_id", "head"))
     # a row without n-grams gets a key of its own, so that these rows do not meet in one task
     alone = F.coalesce("key", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    rows = signed.select("doc_id", "print", alone.alias("key")).join(resolved, F.col("key") == F.col("_key"), "left")
+    rows = signed.select("doc_id", "print", alone.alias("key")).join(resolved.hint("merge"), F.col("key") == F.col("_key"), "left")
     first = F.coalesce(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("print") == F.col("head.print")), F.lit(True))
     return rows.select("doc_id", "print", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
                        F.when(F.col("_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), first.alias("first"),
