@@ -137,20 +137,23 @@ def sign(df: DataFrame, text: str) -> DataFrame:
     return add_columns(df, text, "key string, grams int, bands array<bigint>, sketch binary", factory)
 
 
-def grouped(batches, names: list[str], work):
-    """Call ``work`` on runs of whole groups (rows equal in ``names``, which stand together), as Arrow tables."""
+def grouped(batches, names: list[str], work, most: int = 1024):
+    """Call ``work`` on Arrow tables of whole groups (rows equal in ``names``, which stand together):
+    as many groups as have ``most`` rows, or one larger one."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([rest, table]) if rest is not None else table
+        table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
         columns = [table.column(c).to_numpy() for c in names]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if table.num_rows else []
-        cut = int(change[-1]) if len(change) else 0
-        if cut:
-            yield from work(table.slice(0, cut))
-        rest = table.slice(cut).combine_chunks()
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1 if table.num_rows else np.zeros(0, int)
+        at = 0
+        while len(change) and at < change[-1]:
+            to = int(change[max(np.searchsorted(change, at + most, side="right") - 1, np.searchsorted(change, at, side="right"))])
+            yield from work(table.slice(at, to - at))
+            at = to
+        rest = table.slice(at)
     if rest is not None and rest.num_rows:
-        yield from work(rest)
+        yield from work(rest.combine_chunks())
 
 
 def in_blocks(df: DataFrame, key: str, size: str, by: str, block: int = BLOCK) -> DataFrame:
