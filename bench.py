@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from tablewright.operators.anonymize import anonymize
 from tablewright.operators.filters import filter_rows
+from tablewright.operators.changes import upsert
 from tablewright.operators.joins import join
 from tablewright.plans import QUERIES
 from tablewright.plans.flagship import mean_tax
 from tablewright.plans.registry import table
+from tablewright.sources.files import read_any, write_any
 from tablewright.sources.scratch import scratch_path
 
 # Fixed value: rows per second published for the four-step chain on CSV.
@@ -31,7 +34,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "flagship_mean_tax", "filter_gt", "filter_gt_text", "validate_counts", "derive_arith", "clean_all_steps", "type_cast",
     "anon_hash", "anon_mask_email", "join_inner", "join_outer", "lookup", "groupby_sum", "groupby_multi", "metric_n_unique",
-    "histogram_buckets", "latency_quantiles", "profile", "sort_asc", "preview_topn", "dedup_first", "dedup_all",
+    "histogram_buckets", "latency_quantiles", "profile", "filter_gt_date", "roundtrip_csv_documents", "sort_asc", "preview_topn", "dedup_first", "dedup_all",
     "merge_union_all", "pivot_sum", "pivot_first", "unpivot_mixed", "explode_delim", "partition_by_columns",
     "chunk_cumulative", "chunk_cumulative_whole", "delta_sync", "table_upsert", "sync_counts", "scd2_result",
     "roundtrip_csv", "convert_parquet_jsonl", "csv_to_json", "extract_links", "text_map", "json_extract_columns",
@@ -43,12 +46,38 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def csv_chain(spark):
-    """The published chain: CSV in, derive, filter, mean."""
+def csv_chain(spark, schema=True):
+    """The published chain: CSV in, derive, filter, mean; as a user reads a CSV, without a schema."""
     path = scratch_path(spark, "bench") + ".csv"
     lines = table(spark, FOLDER, "lineitem")
-    lines.repartition(int(CPUS)).write.option("header", True).csv(path)
-    return lambda: mean_tax(spark.read.csv(path, header=True, schema=lines.schema), "l_extendedprice", "l_quantity")
+    write_any(lines.repartition(int(CPUS)), path)
+    known = {"schema": lines.schema, "multiLine": False} if schema else {}
+    return lambda: mean_tax(read_any(spark, path, **known), "l_extendedprice", "l_quantity")
+
+
+def shuffled(spark, make):
+    """With no side broadcast, as when both are large."""
+    def run_so():
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            path = scratch_path(spark, "bench")
+            make().write.parquet(path)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        return spark.read.parquet(path).agg(F.count("*"))
+
+    return run_so
+
+
+def left_join(spark):
+    return lambda: join(table(spark, FOLDER, "lineitem"), table(spark, FOLDER, "orders"), "l_orderkey", "o_orderkey", "left")
+
+
+def upsert_orders(spark):
+    orders = table(spark, FOLDER, "orders")
+    source = orders.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return lambda: upsert(orders, source, ["o_orderkey"])
 
 
 def load_chain(spark):
@@ -76,12 +105,15 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.sql.warehouse.dir", "/tmp/tablewright-warehouse")
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="bench-warehouse-"))
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     rows = table(spark, FOLDER, "lineitem").count()
     queries = {}
-    for name, make in {"csv_mean_tax": csv_chain(spark), "join_filter_mask_load": load_chain(spark),
+    for name, make in {"csv_mean_tax": csv_chain(spark, schema=False), "csv_mean_tax_schema": csv_chain(spark),
+                       "join_filter_mask_load": load_chain(spark), "join_left_shuffled": shuffled(spark, left_join(spark)),
+                       "upsert_shuffled": shuffled(spark, upsert_orders(spark)),
                        **{n: (lambda n=n: QUERIES[n](spark, FOLDER)) for n in HEADLINE}}.items():
         queries[name] = timed(make)
         print(f"{name}: {queries[name]}", file=sys.stderr, flush=True)

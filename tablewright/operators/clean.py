@@ -132,12 +132,15 @@ def type_cast(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
         for name, target in casts.items()})
 
 
+# Bits for what a filled cell reads as.
+INTEGER, WIDE, NUMBER, TRUTH, TEXT = 1, 2, 4, 8, 16
+
+
 def _kind(c: Column) -> Column:
-    """What a filled cell reads as: ``i`` an integer, ``w`` one too wide for bigint, ``d`` a
-    number, ``b`` a truth value, ``t`` text."""
-    whole = F.when(c.try_cast("bigint").isNotNull(), "i").otherwise("w")
-    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole).when(c.rlike(CAST_TEXTS["double"]), "d")
-            .when(c.rlike(CAST_TEXTS["boolean"]), "b").when(c.isNotNull(), "t"))
+    """The bit of a cell: an integer, one too wide for bigint, a number, a truth value or text."""
+    whole = F.when(c.try_cast("bigint").isNotNull(), INTEGER).otherwise(WIDE)
+    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole).when(c.rlike(CAST_TEXTS["double"]), NUMBER)
+            .when(c.rlike(CAST_TEXTS["boolean"]), TRUTH).when(c.isNotNull(), TEXT))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -146,13 +149,7 @@ def infer_types(df: DataFrame) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    kinds = df.select(*[_kind(col(n)).alias(f"k{i}") for i, n in enumerate(names)])
-    found = kinds.agg(*[F.collect_set(f"k{i}").alias(f"k{i}") for i in range(len(names))]).first()
-
-    def target(seen: set[str]) -> str | None:
-        if not seen or seen & {"w", "t"} or len(seen) > 1 and "b" in seen:
-            return None
-        return "boolean" if "b" in seen else "double" if "d" in seen else "bigint"
-
-    targets = {n: target(set(found[f"k{i}"])) for i, n in enumerate(names)}
-    return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in targets.items() if t})
+    found = df.agg(*[F.bit_or(_kind(col(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
+    targets = {INTEGER: "bigint", NUMBER: "double", INTEGER | NUMBER: "double", TRUTH: "boolean"}
+    kinds = {n: targets.get(found[f"k{i}"]) for i, n in enumerate(names)}
+    return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in kinds.items() if t})
