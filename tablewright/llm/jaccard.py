@@ -310,3 +310,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
         same = F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(mark) == F.col(a_print))
         some = hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark])
         return scratch.result(some.unionByName(hashed.filter(blank)).select(*docs.columns))
+
+
+#: The same rows in DuckDB's SQL, by comparing all pairs that share an n-gram; for small tables with unique doc_ids.
+SQL = f"""
+with recursive d as materialized (select row_number() over () as r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') as w from documents),
+s as materialized (select distinct r, unnest(case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) end) as g from d),
+n as materialized (select r, count(*) as n from s group by r),
+c as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by all),
+links as materialized (select a, b from c join n x on x.r = a join n y on y.r = b where {LEAST[1]} * c >= {LEAST[0]} * (x.n + y.n - c)),
+reach as (select r as a, r as b from d union select reach.a, links.b from reach join links on reach.b = links.a),
+m as (select a, count(*) as n from links group by a),
+k as (select reach.a, min(d.doc_id) as class_id from reach join d on d.r = reach.b group by reach.a)
+select doc_id, coalesce(m.n, 0) as n_links, class_id, doc_id is not distinct from class_id as kept
+from d left join m on m.a = d.r left join k on k.a = d.r
+"""

@@ -197,3 +197,18 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFram
     """vec_id, n_links, component_id and kept for each row of vec_id, embedding and label."""
     with Scratch(vectors.sparkSession) as scratch:
         return scratch.result(link(vectors, scratch, least).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+
+
+#: The same rows in DuckDB's SQL, by comparing all pairs; for small tables.
+SQL = f"""
+with recursive e as materialized (select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings),
+able as materialized (select * from e where label is not null and v is not null
+  and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as materialized (select a.r as a, b.r as b from able a join able b on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r
+  where list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= {LEAST_COSINE}),
+reach as (select r as a, r as b from e union select reach.a, links.b from reach join links on reach.b = links.a),
+n as (select a, count(*) as n from links group by a),
+c as (select reach.a, min(e.vec_id) as component_id from reach join e on e.r = reach.b group by reach.a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from e left join n on n.a = e.r left join c on c.a = e.r
+"""

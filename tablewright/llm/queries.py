@@ -68,7 +68,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
-@query("op8_jaccard")
+@query("op8_jaccard", jaccard.SQL)
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between near copies among all documents, and each document's class."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
@@ -80,7 +80,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-@query("op3_near_vectors")
+@query("op3_near_vectors", near_vectors.SQL)
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between embeddings of one label, and each one's component."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 
-from tablewright.llm import QUERIES
+from tablewright.llm import ORACLE, QUERIES
 from tablewright.llm import jaccard
 from tablewright.llm.components import components
 from tablewright.llm.jaccard import BANDS, RECALL, ROWS, keep_one, near_duplicates
@@ -67,6 +68,9 @@ def test_whole_table_like_brute_force(spark):
     rows = QUERIES["op8_jaccard"](spark, folder).collect()
     assert sorted(((r.doc_id, r.n_links, r.class_id) for r in rows), key=str) == brute(docs)
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    assert sorted(db.execute(ORACLE["op8_jaccard"]).fetchall()) == sorted(tuple(r) for r in rows)
 
 
 def test_large_groups_are_dealt_in_blocks(spark, monkeypatch):

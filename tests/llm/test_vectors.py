@@ -1,9 +1,10 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
-from tablewright.llm import QUERIES, near_vectors
+from tablewright.llm import ORACLE, QUERIES, near_vectors
 from tablewright.llm.near_vectors import near_duplicates
 from tablewright.llm.search import search
 from pyspark.sql import functions as F
@@ -74,6 +75,9 @@ def test_links_whole_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in QUERIES["op3_near_vectors"](spark, folder).collect()), key=str)
     assert got == brute_links(rows)
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    assert sorted((r[:3] for r in db.execute(ORACLE["op3_near_vectors"]).fetchall()), key=str) == got
 
 
 ODD = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, float("nan")], 1), (5, [1.0, None], 1), (6, [float("inf"), 1.0], 1), (7, [1.0, 2.0], None), (8, [1.0, 2.0], None),
