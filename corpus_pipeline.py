@@ -51,17 +51,17 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    boxed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
-    mixed = mixing.mix(boxed, keep=["row"])
+    mixed = mixing.mix(docs)
     whole = F.floor(F.coalesce(F.try_divide(F.col("taken"), F.col("size")), F.lit(0))).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
-    rows = mixed.filter("taken > 0").withColumn("part", part).withColumn("whole", whole)
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0))))
-    begin = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), F.col("part")), "")
-    text = F.when(F.col("copy") > F.col("whole"), begin).otherwise(F.col("row.text"))
-    rows = rows.select("row", text.alias("new_text"))
-    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    times = whole + F.when(part > 0, 1).otherwise(0)
+    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.lit(1), part), "")
+    # first the whole text as often as it is taken whole, then the part
+    copies = F.filter(F.transform(F.sequence(F.lit(1), times), lambda i: F.when(i > whole, begin).otherwise(F.col("text"))), lambda x: x.isNotNull())
+    rows = mixed.filter("taken > 0").withColumn(fresh(mixed, "new_text"), F.explode(copies))
+    text = rows.columns[-1]
+    new = {"text": F.col(text), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

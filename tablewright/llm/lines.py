@@ -106,7 +106,7 @@ def dedup_lines(docs: DataFrame, runs: str = "runs", least: int = LEAST_WORDS) -
     """``docs``, their text without the later copies of runs of lines, and a column of the runs (begin, end) that went."""
     with Scratch(docs.sparkSession) as scratch:
         mark, an_id, a_print, gone = (fresh(docs, c) for c in ("text_print", "run_id", "run_print", "run_spans"))
-        found = scratch.keep(later_blocks(docs, scratch, least=least).select(F.col("doc_id").alias(an_id), F.col("print").alias(a_print), F.col("spans").alias(gone)))
+        found = scratch.result(later_blocks(docs, scratch, least=least).select(F.col("doc_id").alias(an_id), F.col("print").alias(a_print), F.col("spans").alias(gone)))
         hashed = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
         joined = hashed.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(mark) == F.col(a_print)), "left")
         kept = [c for c in docs.columns if c.lower() != runs.lower()]
@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, runs: str = "runs", least: int = LEAST_WORDS) -
                     rows = pa.array([[{"begin": a, "end": z} for a, z in r] for r in each], kind)
                     yield pa.RecordBatch.from_arrays([texts if c == "text" else part.column(c) for c in kept] + [rows], names=schema.names)
 
-        return scratch.result(joined.select(*kept, gone).mapInArrow(work, schema))
+        return joined.select(*kept, gone).mapInArrow(work, schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import fresh
-from tablewright.sources.scratch import cut_lineage
+from tablewright.sources.scratch import cut_lineage, with_place
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -93,10 +93,11 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
     """
     new = {"size", "source_size", "target", "taken"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and c not in ("doc_id", "source")]
-    boxed = fresh(docs, "rest")
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-                        *([F.struct(*kept).alias(boxed)] if kept else []))
-    sized = sized if kept else cut_lineage(sized)
+    mark = fresh(docs, "mix_place")
+    # Texts stay where they are until the end: a row is known by the place it is read from.
+    docs = with_place(docs, mark) if kept else docs
+    size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
+    sized = cut_lineage(docs.select("doc_id", "source", size, *([F.col(mark).alias("_place")] if kept else [])))
     narrow = sized.select("doc_id", "source", "size")
     by_source = cut_lineage(targets(narrow, share, most))
     drawn = seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -120,7 +121,12 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
 
     taken = F.when(F.col("_words") > 0, passed(F.col("_first") + F.col("_take")) - passed(F.col("_first"))).otherwise(0)
     placed = placed.withColumn("taken", taken.cast("long"))
-    return placed.select("doc_id", "source", *[F.col(f"{boxed}.`{c}`") for c in kept], "size", "source_size", "target", "taken")
+    if not kept:
+        return placed.select("doc_id", "source", *sorted(new, key=["size", "source_size", "target", "taken"].index))
+    at = fresh(docs, "mix_at")
+    found = placed.select(F.col("_place").alias(at), "size", "source_size", "target", "taken")
+    whole = docs.select(mark, "doc_id", "source", *kept)
+    return whole.join(found.hint("merge"), F.col(mark) == F.col(at)).drop(mark, at)
 
 
 #: The same rows in DuckDB's SQL.
