@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import fresh
-from tablewright.sources.scratch import cut_lineage, with_place
+from tablewright.llm.scratch import Scratch
+from tablewright.sources.scratch import cut_lineage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -94,10 +95,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
     new = {"size", "source_size", "target", "taken"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and c not in ("doc_id", "source")]
     mark = fresh(docs, "mix_place")
-    # Texts stay where they are until the end: a row is known by the place it is read from.
-    docs = with_place(docs, mark) if kept else docs
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
-    sized = cut_lineage(docs.select("doc_id", "source", size, *([F.col(mark).alias("_place")] if kept else [])))
+    if kept:
+        # Texts stay where they are until the end. Rows are numbered once, on disk: numbers drawn again in
+        # a second read would be others if its partitions were cut differently.
+        docs = Scratch(docs.sparkSession).result(docs.select("doc_id", "source", *kept, size, F.monotonically_increasing_id().alias(mark)))
+        sized = docs.select("doc_id", "source", "size", F.col(mark).alias("_place"))
+    else:
+        sized = cut_lineage(docs.select("doc_id", "source", size))
     narrow = sized.select("doc_id", "source", "size")
     by_source = cut_lineage(targets(narrow, share, most))
     drawn = seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -109,7 +114,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
     first = F.pmod(number(seeded(F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), F.greatest("_words", F.lit(1)))
     quotas = quotas.withColumn("_first", F.floor(first / F.col("block")) * F.col("block"))
     quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_of"), "_words", "_take", "_first")
-    order = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size")
+    order = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size", *(["_place"] if kept else []))
     placed = rows.withColumn("_begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_of")))
 

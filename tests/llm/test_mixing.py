@@ -72,6 +72,22 @@ def test_edges(spark):
     assert [(r.taken, r.target) for r in mix(spark.createDataFrame(docs[:2], SCHEMA)).collect()] == [(0, 0.0)] * 2
 
 
+def test_reads_cut_differently(spark, tmp_path):
+    docs = [(i, f"d{i} " * (1 + i % 7), "ab"[i % 2], "x", "l") for i in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, SCHEMA).repartition(8).write.parquet(path)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    mixed = mix(spark.read.parquet(path))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "16k")
+        rows = mixed.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sorted((r.doc_id, r.size, r.text) for r in rows) == [(i, 1 + i % 7, t) for i, t, *_ in docs]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 10_000), min_size=1, max_size=12), st.integers(0, 500))
 def test_apportionment_like_the_definition(spark, weights, seats):
