@@ -6,8 +6,8 @@ lines: later copies of runs of lines of 50 words are cut out of the texts. A doc
   nothing is left goes.
 near copies: one document of each group linked by n-gram similarity stays.
 mix: sources are mixed to their target weights. A document the mix takes twice is there twice,
-  one it does not take is not; where a shard's quota begins or ends within a document, as many
-  words from its beginning stand for the words taken.
+  one it does not take is not. One document of a source is cut at most, the one in which its
+  quota ends; the words taken of it, its first ones, are there.
 tokens: the ids of each text; the text they decode to is checked against it.
 
 All but the last stage return the columns of the documents they get, which are written as
@@ -51,7 +51,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, one_run=True)
     whole = F.floor(F.coalesce(F.try_divide(F.col("taken"), F.col("size")), F.lit(0))).cast("int")
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     times = whole + F.when(part > 0, 1).otherwise(0)

@@ -87,10 +87,12 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     return each.select("source", "source_size", "target", "block", "shards", "blocks")
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text", keep: list[str] | None = None, one_run: bool = False) -> DataFrame:
     """``docs`` (``keep``: only these columns, their sizes being counted in one pass) with size, source_size, target and taken.
 
     ``docs`` needs doc_id, source and the text column; new columns replace those of the same name.
+    ``one_run``: a source's shards follow one another, and all its blocks are one run from the first
+    document on, round and round. One document of a source is cut at most, and what is taken of it is its head.
     """
     new = {"size", "source_size", "target", "taken"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and c not in ("doc_id", "source")]
@@ -109,19 +111,25 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
     rows = sized.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_draw", drawn).withColumn("_shard", F.pmod(number(F.col("_draw")), "shards"))
     cells = rows.groupBy("source", "_shard", "block", "blocks").agg(F.sum("size").alias("_words"))
-    quotas = apportion(cells, ["source", "blocks"], "_shard", "_words", "blocks", "_quota")
-    quotas = quotas.withColumn("_take", F.least(F.col("_quota") * F.col("block"), most * F.col("_words")))
-    first = F.pmod(number(seeded(F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), F.greatest("_words", F.lit(1)))
-    quotas = quotas.withColumn("_first", F.floor(first / F.col("block")) * F.col("block"))
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_of"), "_words", "_take", "_first")
+    if one_run:
+        source = Window.partitionBy("source").orderBy("_shard")
+        quotas = cells.withColumn("_before", F.sum("_words").over(source) - F.col("_words"))
+        quotas = quotas.withColumn("_words", F.sum("_words").over(Window.partitionBy("source"))).withColumn("_first", F.lit(0))
+        quotas = quotas.withColumn("_take", F.least(F.col("blocks") * F.col("block"), most * F.col("_words")))
+    else:
+        quotas = apportion(cells, ["source", "blocks"], "_shard", "_words", "blocks", "_quota")
+        quotas = quotas.withColumn("_take", F.least(F.col("_quota") * F.col("block"), most * F.col("_words")))
+        first = F.pmod(number(seeded(F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), F.greatest("_words", F.lit(1)))
+        quotas = quotas.withColumn("_first", F.floor(first / F.col("block")) * F.col("block")).withColumn("_before", F.lit(0))
+    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_of"), "_words", "_take", "_first", "_before")
     order = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size", *(["_place"] if kept else []))
     placed = rows.withColumn("_begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_of")))
 
     def passed(place: Column) -> Column:
-        """Words of the document among the first ``place`` words of the shard, repeated without end."""
+        """Words of the document among the first ``place`` words of the shard (``one_run``: of the source), repeated without end."""
         rounds = F.floor(F.try_divide(place, F.col("_words")))
-        inside = place - rounds * F.col("_words") - F.col("_begin")
+        inside = place - rounds * F.col("_words") - F.col("_before") - F.col("_begin")
         return rounds * F.col("size") + F.greatest(F.lit(0), F.least(inside, F.col("size")))
 
     taken = F.when(F.col("_words") > 0, passed(F.col("_first") + F.col("_take")) - passed(F.col("_first"))).otherwise(0)

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -64,6 +65,26 @@ def test_mix(stages):
         assert abs(got[s] - t) <= 0.005 * t, (s, got[s], t)
 
 
+def test_mix_cuts_one_document_of_a_source(stages):
+    before, after = stages["mix"]
+    size = {r.doc_id: len(r.text.split()) for r in before}
+    shards = max(64, -(-sum(size.values()) // 4_000_000))
+    for source in {r.source for r in before}:
+        draws = {r.doc_id: hashlib.md5(f"mix-7|{r.doc_id}".encode()).hexdigest() for r in before if r.source == source}
+        order = sorted(draws, key=lambda d: (int(draws[d][:15], 16) % shards, draws[d], d))
+        got = defaultdict(int)
+        for r in after:
+            if r.source == source:
+                got[r.doc_id] += len(r.text.split())
+        # the run of the words taken, round by round from the first document on
+        left, want = sum(got.values()), defaultdict(int)
+        for d in order * 2:
+            want[d] += min(left, size[d])
+            left -= min(left, size[d])
+        assert left == 0 and got == {d: n for d, n in want.items() if n}
+        assert sum(n % size[d] > 0 for d, n in got.items()) <= 1
+
+
 def test_tokens(stages):
     before, after = stages["tokens"]
     assert len(after) == len(before) and all(r.exact and r.n_tokens == len(r.ids) > 0 for r in after)
