@@ -1,7 +1,8 @@
 """Signatures of licences, one to a line: priority, label, keyword, pattern.
 
 Patterns run over the words of a text: lower case, everything that is no word character made
-one space. A rule is tried only where its keyword occurs. Priority 4: the words of the
+one space. A rule is tried only where one of its keywords (parted by |) occurs; whatever the
+pattern matches must hold one. Priority 4: the words of the
 licence itself or an SPDX line, 3: a notice, 2: the name with its version, 1: a loose mention.
 """
 
@@ -14,7 +15,7 @@ RULES = r"""
 4 apache-2.0 spdx spdx license identifier apache 2 0
 4 apache-2.0 licensed licensed under the apache license version 2 0 the license you may not use this file
 4 apache-2.0 perpetual perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
-4 apache-1.1 acknowledgment this product includes software developed by the apache software foundation
+4 apache-1.1 apache this product includes software developed by the apache software foundation
 4 gpl-2.0-only spdx spdx license identifier gpl 2 0( only)?(?! or)
 4 gpl-2.0-or-later spdx spdx license identifier gpl 2 0 (or later|\+)
 4 gpl-3.0-only spdx spdx license identifier gpl 3 0( only)?(?! or)
@@ -88,13 +89,13 @@ RULES = r"""
 4 cc-by-nc-4.0 spdx spdx license identifier cc by nc 4 0
 4 cc-by-nd-4.0 spdx spdx license identifier cc by nd 4 0
 4 odbl-1.0 spdx spdx license identifier odbl 1 0
-4 proprietary confidential this (document|file|software) contains (confidential|proprietary) (and proprietary )?information
+4 proprietary confidential|proprietary this (document|file|software) contains (confidential|proprietary) (and proprietary )?information
 4 proprietary unauthorized unauthorized (copying|use|distribution|reproduction)( of this (file|document|software))? .{0,40}strictly prohibited
 3 mit released released under (the )?mit licen[cs]e
 3 mit licensed licensed under (the )?(terms of the )?mit licen[cs]e
 3 mit distributed distributed under (the )?(terms of the )?mit licen[cs]e
 3 mit available available under (the )?(terms of the )?mit licen[cs]e
-3 mit copying see (the )?(copying|license|licence)( file)? .{0,30}mit licen[cs]e
+3 mit copying|license|licence see (the )?(copying|license|licence)( file)? .{0,30}mit licen[cs]e
 3 apache-2.0 licensed licensed under (the )?apache licen[cs]e (version |v)?2( 0)?
 3 apache-2.0 released released under (the )?apache (licen[cs]e )?(version |v)?2( 0)?
 3 apache-2.0 distributed distributed under (the )?(terms of the )?apache (licen[cs]e )?(version |v)?2( 0)?
@@ -165,7 +166,7 @@ RULES = r"""
 3 perl perl (same terms as perl itself|under the same terms as perl)
 3 ms-pl microsoft (licensed|released|distributed|available) under (the )?microsoft public licen[cs]e
 3 ms-rl microsoft (licensed|released|distributed|available) under (the )?microsoft reciprocal licen[cs]e
-3 ofl-1.1 ofl (licensed|released|distributed|available) under (the )?(sil )?(ofl|open font licen[cs]e)
+3 ofl-1.1 ofl|font (licensed|released|distributed|available) under (the )?(sil )?(ofl|open font licen[cs]e)
 3 ofl-1.1 sil scripts sil org ofl
 3 eupl eupl (licensed|released|distributed|available) under (the )?eupl
 3 eupl european (licensed|released|distributed|available) under (the )?european union public licen[cs]e
@@ -173,9 +174,9 @@ RULES = r"""
 3 gfdl gnu (licensed|released|distributed|available) under (the )?gnu free documentation licen[cs]e
 3 odbl open (licensed|released|made available) under (the )?open database licen[cs]e
 3 odc-by open (licensed|released|made available) under (the )?open data commons attribution licen[cs]e
-3 pddl open (licensed|released|made available) under (the )?(open data commons )?public domain dedication and licen[cs]e
+3 pddl dedication (licensed|released|made available) under (the )?(open data commons )?public domain dedication and licen[cs]e
 3 ogl open contains public sector information licensed under the open government licen[cs]e
-3 sspl-1.0 sspl (licensed|released|distributed|available) under (the )?(server side public licen[cs]e|sspl)
+3 sspl-1.0 sspl|server (licensed|released|distributed|available) under (the )?(server side public licen[cs]e|sspl)
 3 busl-1.1 business (licensed|released|distributed|available) under (the )?business source licen[cs]e
 3 elastic-2.0 elastic (licensed|released|distributed|available) under (the )?elastic licen[cs]e
 3 commons-clause clause the software is provided to you .{0,60}commons clause
@@ -192,7 +193,7 @@ RULES = r"""
 2 gpl-3.0 general general public licen[cs]e (version |v)?3( 0)?
 2 gpl-2.0 gpl gpl ?(version |v)?2( 0)?
 2 gpl-3.0 gpl gpl ?(version |v)?3( 0)?
-2 lgpl-2.1 lesser (lesser|library) general public licen[cs]e (version |v)?2 1
+2 lgpl-2.1 lesser|library (lesser|library) general public licen[cs]e (version |v)?2 1
 2 lgpl-3.0 lesser lesser general public licen[cs]e (version |v)?3( 0)?
 2 lgpl lesser lesser general public licen[cs]e
 2 lgpl-2.1 lgpl lgpl ?(version |v)?2 1
@@ -212,12 +213,12 @@ RULES = r"""
 2 cddl development common development and distribution licen[cs]e
 2 cc-by-4.0 attribution creative commons attribution 4 0
 2 cc-by-3.0 attribution creative commons attribution 3 0
-2 cc-by-sa-4.0 sharealike creative commons attribution share ?alike 4 0
-2 cc-by-sa-3.0 sharealike creative commons attribution share ?alike 3 0
-2 cc-by-nc-4.0 noncommercial creative commons attribution non ?commercial 4 0
-2 cc-by-nc-sa-4.0 noncommercial creative commons attribution non ?commercial share ?alike 4 0
-2 cc-by-nd-4.0 noderivatives creative commons attribution no ?derivatives 4 0
-2 cc-by-nc-nd-4.0 noncommercial creative commons attribution non ?commercial no ?derivatives 4 0
+2 cc-by-sa-4.0 attribution creative commons attribution share ?alike 4 0
+2 cc-by-sa-3.0 attribution creative commons attribution share ?alike 3 0
+2 cc-by-nc-4.0 attribution creative commons attribution non ?commercial 4 0
+2 cc-by-nc-sa-4.0 attribution creative commons attribution non ?commercial share ?alike 4 0
+2 cc-by-nd-4.0 attribution creative commons attribution no ?derivatives 4 0
+2 cc-by-nc-nd-4.0 attribution creative commons attribution non ?commercial no ?derivatives 4 0
 2 cc-by-4.0 cc cc by 4 0
 2 cc-by-sa-4.0 cc cc by sa 4 0
 2 cc-by-nc-4.0 cc cc by nc 4 0
@@ -231,7 +232,7 @@ RULES = r"""
 2 ofl-1.1 sil sil open font licen[cs]e
 2 wtfpl wtfpl wtfpl
 2 gfdl gnu gnu free documentation licen[cs]e
-2 python-2.0 python (python software foundation licen[cs]e|psf licen[cs]e)
+2 python-2.0 python|psf (python software foundation licen[cs]e|psf licen[cs]e)
 2 postgresql postgresql postgresql licen[cs]e
 2 ncsa illinois university of illinois ncsa open source licen[cs]e
 2 openssl openssl openssl licen[cs]e

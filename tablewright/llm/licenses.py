@@ -38,8 +38,9 @@ def rules():
     """The automaton from keywords to rule numbers, and the rules in order."""
     table, by_keyword = [], {}
     for line in RULES.strip().splitlines():
-        priority, label, keyword, pattern = line.split(" ", 3)
-        by_keyword.setdefault(keyword, []).append(len(table))
+        priority, label, keywords, pattern = line.split(" ", 3)
+        for keyword in keywords.split("|"):
+            by_keyword.setdefault(keyword, []).append(len(table))
         table.append((int(priority), label, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)")))
     automaton = ahocorasick.Automaton()
     for keyword, numbers in by_keyword.items():

@@ -1,7 +1,11 @@
 import re
+from itertools import product
 
-from tablewright.llm import QUERIES
-from tablewright.llm.licenses import resolve, rules, scan_licenses
+import pytest
+
+from tablewright.llm import QUERIES, licenses
+from tablewright.llm.license_rules import RULES
+from tablewright.llm.licenses import resolve, rules, scan_licenses, scan_text
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -52,3 +56,57 @@ def test_empty_and_query(spark):
     for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
         r = rows[d.doc_id]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(d.text)
+
+
+def branches(parsed):
+    """A sample of each way through a parsed pattern."""
+    ways = []
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                ways.append([chr(arg)])
+            case "ANY":
+                ways.append(["x"])
+            case "IN":
+                ways.append([chr(a) if str(o) == "LITERAL" else "4" for o, a in arg])
+            case "SUBPATTERN":
+                ways.append(branches(arg[3]))
+            case "BRANCH":
+                ways.append([w for b in arg[1] for w in branches(b)])
+            case "MAX_REPEAT":
+                once = branches(arg[2])
+                ways.append([*([""] if arg[0] == 0 else []), *once])
+            case "ASSERT_NOT":
+                pass
+            case _:
+                raise ValueError(op)
+    return ["".join(w) for w in product(*ways)]
+
+
+class Everywhere:
+    """A gate that lets every rule run."""
+
+    def iter(self, text):
+        return [(0, range(len(rules()[1])))]
+
+
+def test_the_gate_hides_no_branch(monkeypatch):
+    texts = []
+    for n, line in enumerate(RULES.strip().splitlines()):
+        pattern = line.split(" ", 3)[3]
+        for sample in branches(re._parser.parse(pattern)):
+            assert n in {i for _, numbers in rules()[0].iter(sample) for i in numbers}, (line, sample)
+            texts.append(sample)
+    gated = [scan_text(t.encode()) for t in texts]
+    monkeypatch.setattr(licenses, "rules", lambda table=rules()[1]: (Everywhere(), table))
+    assert len(texts) > 2000 and gated == [scan_text(t.encode()) for t in texts]
+
+
+@pytest.mark.parametrize("text, label", [
+    ("licensed under the Server Side Public License", "sspl-1.0"), ("released under the Open Font License", "ofl-1.1"), ("PSF License", "python-2.0"),
+    ("This software contains proprietary information", "proprietary"), ("Creative Commons Attribution-Non-Commercial 4.0", "cc-by-nc-4.0"),
+    ("Creative Commons Attribution-Share Alike 3.0", "cc-by-sa-3.0"), ("Library General Public License version 2.1", "lgpl-2.1"),
+    ("see the license file: MIT license", "mit"), ("released under the Public Domain Dedication and License", "pddl"),
+    ("Creative Commons Attribution No Derivatives 4.0", "cc-by-nd-4.0")])
+def test_branches_without_the_first_keyword(text, label):
+    assert label in {d[3] for d in scan_text(text.encode())[2]}
