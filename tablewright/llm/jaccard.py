@@ -304,12 +304,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         mark, an_id, a_print = (fresh(docs, c) for c in ("text_print", "kept_id", "kept_print"))
-        kept = scratch.result(link(docs, scratch).filter("first and able").select(F.col("doc_id").alias(an_id), F.col("print").alias(a_print)).distinct())
+        # whether a text has words is decided in one place, by its n-grams
+        found = scratch.result(link(docs, scratch).filter("first or not able").select(F.col("doc_id").alias(an_id), F.col("print").alias(a_print), "able").distinct())
+        kept, wordless = found.filter("able").drop("able"), found.filter("not able").drop("able")
         hashed = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-        blank = F.coalesce(F.length(F.trim(F.regexp_replace("text", "\\s+", " "))), F.lit(0)) == 0
         same = F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(mark) == F.col(a_print))
         some = hashed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", mark])
-        return some.unionByName(hashed.filter(blank)).select(*docs.columns)
+        # a text with visible ASCII has words and need not be moved
+        rest = hashed.filter(~F.coalesce(F.col("text").rlike("[!-~]"), F.lit(False))).join(wordless.hint("merge"), same, "left_semi")
+        return some.unionByName(rest).select(*docs.columns)
 
 
 #: The same rows in DuckDB's SQL, by comparing all pairs that share an n-gram; for small tables with unique doc_ids.

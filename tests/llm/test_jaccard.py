@@ -102,6 +102,13 @@ def test_edges(spark):
         [(1, None), (2, ""), (3, " \n"), (None, None), (None, "one two"), (6, "one two three"), (7, "same"), (7, "other text"), (8, long), (10, docs[13][1])], key=str)
 
 
+def test_texts_without_words_stay(spark):
+    blank = ["\u00a0", "\u3000 ", "\x1c\x1f", "\x85", " \n", "", None]
+    docs = [(i, t) for i, t in enumerate([*blank, *blank[:2], "\u4e2d\u6587", "\u00a0one two"])] + [(0, blank[0]), (None, "\u2003"), (None, "\u2003")]
+    kept = keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(docs, "doc_id long, text string").collect()))
+
+
 def test_components(spark):
     rnd = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rnd.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2001 + i) for i in range(300)] + [(5, 5)]
