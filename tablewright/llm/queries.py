@@ -1,4 +1,4 @@
-"""The ten operators applied to the whole tables, each with the SQL that says the same if SQL can."""
+"""The operators applied to the whole tables, each with the SQL that says the same if SQL can."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, jaccard, language, licenses, lines, mixing, near_vectors, quality, search, secrets
+from tablewright.llm import bpe, jaccard, language, licenses, lines, mixing, near_vectors, packing, quality, search, secrets
 from tablewright.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of each one whose vec_id is divisible by 20."""
     return search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 4,096 ids and the sequences they are packed into."""
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"], ids=False)
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
