@@ -80,11 +80,15 @@ class ByteBPE:
             at = hit.end()
         return out + self.find(text[at:])
 
+    def symbols(self, raw: bytes, sizes: np.ndarray) -> np.ndarray:
+        """The symbol that each byte of the words begins with."""
+        return self.first[np.frombuffer(raw, np.uint8)]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each word has."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
-        ids = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        ids = self.symbols(b"".join(raw), sizes)
         word = np.repeat(np.arange(len(words)), sizes)
         done_ids, done_words = [], []
         while len(ids):

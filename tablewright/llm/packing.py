@@ -19,6 +19,7 @@ gives no pieces. Columns of the input named like a new one are replaced.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from itertools import chain
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablewright.llm.common import fresh, text_slices
+from tablewright.llm.bpe import ByteBPE, byte_symbols
+from tablewright.llm.common import fresh, gather, text_slices
 from tablewright.llm.patterns import plan
 from tablewright.llm.scratch import Scratch
 
@@ -40,13 +42,32 @@ MOST_CAPACITY = 1 << 16
 #: Distinct words a task remembers before it starts anew.
 WORDS_KEPT = 300_000
 STOPS = ".,;:!?"
+#: Words by which the batched merges are held against the library.
+PROBE = ["a", "ab", "aaaaaaa", "straße", "être", "niño", "unbelievably", "zzzqqq", "thething", "ŵƿ"]
+
+
+class EndedWords(ByteBPE):
+    """A vocabulary whose words end in a mark: the last byte of a word is a symbol of its own."""
+
+    def __init__(self, path: str, mark: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as file:
+            vocab = json.load(file)["model"]["vocab"]
+        self.last = np.array([vocab[c + mark] for c, _ in sorted(byte_symbols().items(), key=lambda x: x[1])], np.int64)
+
+    def symbols(self, raw: bytes, sizes: np.ndarray) -> np.ndarray:
+        ids = super().symbols(raw, sizes)
+        ends = np.cumsum(sizes) - 1
+        ids[ends] = self.last[np.frombuffer(raw, np.uint8)[ends]]
+        return ids
 
 
 class WordIds:
-    """Ids by the tokenizers library, which sees each distinct word of a task once.
+    """Ids as the tokenizers library gives them, each distinct word of a task encoded once.
 
     Where the vocabulary drops white space a text is cut at spaces and line breaks, and a stop
-    after a letter is a word of its own; else a word is the whole text.
+    after a letter is a word of its own; else a word is the whole text. Words of Latin letters are
+    merged in batches where that is found to give the library's ids; the library sees the others.
     """
 
     def __init__(self, path: str):
@@ -56,54 +77,77 @@ class WordIds:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        one = self.ids_of(["Ab'a. 1"])[0]
-        parts = self.ids_of(["Ab'a", ".", "1"])
         added = self.tool.get_added_tokens_decoder().values()
-        self.cuts = one == [*chain(*parts)] and not any(t.lstrip or t.rstrip or " " in t.content or "\n" in t.content for t in added)
+        parts = self.ids_of(["Ab'a", ".", "1"])
+        self.cuts = self.ids_of(["Ab'a. 1"])[0] == [*chain(*parts)] and not any(t.lstrip or t.rstrip or " " in t.content or "\n" in t.content for t in added)
         self.lowers = self.cuts and self.ids_of(["Ab'S"]) == self.ids_of(["ab's"])
-        self.special = [t.content for t in added]
+        with open(path, encoding="utf-8") as file:
+            mark = json.load(file)["model"].get("end_of_word_suffix")
+        self.merges = EndedWords(path, mark) if mark and self.lowers else None
+        if self.merges and not np.array_equal(self.merges.merge(PROBE)[0], [*chain(*self.ids_of(PROBE))]):
+            self.merges = None
         self.forget()
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.index, self.parts = {"": 0}, {}
+        # a word is one or two parts; part 0 is empty
+        self.index, self.words, self.parts = {"": 0}, np.zeros((1, 2), np.int64), {"": 0}
         self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def split(self, word: str) -> tuple[str, ...]:
-        """Parts of a word that are encoded alone and give the same ids."""
-        if not self.cuts or not word.isascii():
-            return (word,)
+    def split(self, word: str) -> tuple[str, str]:
+        """The parts of a word, which are encoded alone and give the same ids; words beyond Latin stay whole."""
+        if not self.cuts or not (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+            return word, ""
         if self.lowers and "<" not in word:
             word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in STOPS and word[-2:-1].isalpha() else (word,)
+        return (word[:-1], word[-1]) if word[-1] in STOPS and word[-2:-1].isalpha() else (word, "")
+
+    def lowered(self, text: str) -> str:
+        """A text of the first 256 characters in lower case, as the vocabulary makes it; others are left to their words."""
+        if not self.lowers or "<" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
+    def add(self, parts: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts.update(zip(parts, range(len(self.sizes), len(self.sizes) + len(parts)), strict=True))
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.flat, self.sizes = np.r_[self.flat, flat], np.r_[self.sizes, sizes]
 
     def learn(self, words: list[str]) -> None:
-        split = [self.split(w) for w in words]
-        new = list(set(chain(*split)).difference(self.parts))
-        self.parts.update(zip(new, self.ids_of(new), strict=True))
-        ids = [[*chain(*map(self.parts.__getitem__, s))] if len(s) > 1 else self.parts[s[0]] for s in split]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-        self.flat = np.r_[self.flat, np.fromiter(chain(*ids), np.int64, int(sizes.sum()))]
-        self.sizes = np.r_[self.sizes, sizes]
+        split = [*chain(*map(self.split, words))]
+        new = set(split).difference(self.parts)
+        if self.merges:
+            plain = [w for w in new if w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w))]
+            if plain:
+                self.add(plain, *self.merges.merge(plain))
+            new.difference_update(plain)
+        if new:
+            ids = self.ids_of(rest := list(new))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.add(rest, np.fromiter(chain(*ids), np.int64, int(sizes.sum())), sizes)
+        self.index.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.words = np.r_[self.words, np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split)).reshape(-1, 2)]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, ``end`` behind each, and the row offsets."""
         if len(self.index) > WORDS_KEPT:
             self.forget()
-        each = [t.replace("\n", " ").split(" ") for t in texts] if self.cuts else [[t] for t in texts]
+        each = [self.lowered(t).replace("\n", " ").split(" ") for t in texts] if self.cuts else [[t] for t in texts]
         words = [*chain(*each)]
         new = list(set(words).difference(self.index))
         if new:
             self.learn(new)
-        row = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[row]
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.repeat(self.starts[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.r_[0, ends][np.r_[0, np.cumsum([len(ws) for ws in each], dtype=np.int64)]]
+        pairs = self.words[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+        part = pairs.ravel()
+        part = part[part > 0]
+        flat = gather(self.flat, self.starts[part], self.sizes[part])
+        offsets = np.r_[0, np.cumsum(self.sizes[pairs].sum(1))][np.r_[0, np.cumsum([len(ws) for ws in each], dtype=np.int64)]]
         return np.insert(flat, offsets[1:], end), offsets + np.arange(len(offsets))
 
 
