@@ -139,17 +139,32 @@ INTEGER, WIDE, NUMBER, TRUTH, TEXT = 1, 2, 4, 8, 16
 def _kind(c: Column) -> Column:
     """The bit of a cell: an integer, one too wide for bigint, a number, a truth value or text."""
     whole = F.when(c.try_cast("bigint").isNotNull(), INTEGER).otherwise(WIDE)
-    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole).when(c.rlike(CAST_TEXTS["double"]), NUMBER)
+    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole)
+            .when(c.rlike(r"^-?\d+\.\d+$"), NUMBER).when(c.rlike(CAST_TEXTS["double"]), NUMBER)
             .when(c.rlike(CAST_TEXTS["boolean"]), TRUTH).when(c.isNotNull(), TEXT))
 
 
+#: Rows that are looked at first: a column with a text cell there is text, and is not looked at again.
+FIRST_LOOK = 1000
+
+
+def _kinds(df: DataFrame, names: Sequence[str]) -> dict[str, int | None]:
+    if not names:
+        return {}
+    found = df.agg(*[F.bit_or(_kind(col(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
+    return {n: found[f"k{i}"] for i, n in enumerate(names)}
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns turned to integer, float or boolean where every filled cell fits, in one
-    pass over the rows. Integers too wide for bigint, and dates, stay text."""
+    pass over the rows. Integers too wide for bigint, and dates, stay text.
+
+    The pass reads only the columns that the first ``FIRST_LOOK`` rows do not show to be text.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not names:
-        return df
-    found = df.agg(*[F.bit_or(_kind(col(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
     targets = {INTEGER: "bigint", NUMBER: "double", INTEGER | NUMBER: "double", TRUTH: "boolean"}
-    kinds = {n: targets.get(found[f"k{i}"]) for i, n in enumerate(names)}
+    seen = _kinds(df.limit(FIRST_LOOK), names)
+    # a mixture that no type takes stays one, whatever else comes
+    open_yet = [n for n in names if seen[n] is None or seen[n] in targets]
+    kinds = {n: targets.get(k) for n, k in _kinds(df.select(*[col(n) for n in open_yet]), open_yet).items()}
     return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in kinds.items() if t})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
+from functools import reduce
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -11,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.functions.text import col, tag_name
+from tablewright.functions.text import col, quoted, tag_name
 from tablewright.operators.clean import infer_types
 from tablewright.operators.drift import union_with_drift
-from tablewright.sources.scratch import file_system
+from tablewright.sources.records import array_elements, csv_records
+from tablewright.sources.scratch import file_system, scratch_path
 
 # Fixed value: delimiters in the order they are looked for.
 DELIMITERS = (";", ",", "\t", "|")
@@ -34,20 +37,91 @@ def file_format(path: str) -> str:
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell of a CSV runs over a line break: a line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def _char(options: Mapping, name: str) -> str:
+    """The quote or escape character that options name, the standard ones if they name none."""
+    given = {k.lower(): v for k, v in options.items()}
+    return str(given.get(name, CSV[name]))
+
+
+def _separator(options: Mapping) -> str:
+    given = {k.lower(): v for k, v in options.items()}
+    return {"\\t": "\t"}.get(sep := str(given.get("sep", given.get("delimiter", ","))), sep)
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of a file that one task takes at most."""
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+
+
+def spanning_files(spark: SparkSession, path: str | list[str], options: Mapping = CSV) -> tuple[bool, int]:
+    """Whether a quoted cell of a CSV runs over a line break, and the size of the largest file in which one does.
+
+    A line then has an odd number of quotes, escaped ones left aside.
+    """
+    quote, escape = _char(options, "quote"), _char(options, "escape")
+    if not quote or quote == "\0":
+        return False, 0
+    value = F.col("value") if escape == quote else F.regexp_replace("value", re.escape(escape) + ".", "")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))) % 2 == 1
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_size").alias("size"))
+    largest = lines.filter(odd).agg(F.max("size")).first()[0]
+    return largest is not None, largest or 0
+
+
+#: CSV options that a record parsed by itself takes as well; with any other a file that spans lines is one task.
+RECORD_OPTIONS = {"header", "sep", "delimiter", "quote", "escape", "ignoreleadingwhitespace", "ignoretrailingwhitespace", "nullvalue",
+                  "emptyvalue", "nanvalue", "positiveinf", "negativeinf", "dateformat", "timestampformat", "timestampntzformat", "locale",
+                  "enforceschema", "columnnameofcorruptrecord"}
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None, options: Mapping) -> DataFrame:
+    """A CSV with a schema, or with text columns named by its header.
+
+    Unless ``multiLine`` is given, a pass over the lines tells whether quoted cells run over line
+    breaks. If so, and if such a file is larger than a split, it is cut at true record borders
+    by many tasks (:mod:`records`); small ones are read by a task each.
+    """
+    options = {**CSV, **options}
+    known = {k.lower(): v for k, v in options.items()}
+    large = False
+    if "multiline" not in known:
+        spans, size = spanning_files(spark, path, options)
+        options["multiLine"] = spans
+        large = spans and size > split_bytes(spark) and set(known) <= RECORD_OPTIONS and len(_separator(options)) == 1
+    plain = spark.read.options(**options)
+    if not large:
+        return (plain if schema is None else plain.schema(schema)).csv(path)
+    named = schema if schema is not None else plain.csv(path).schema
+    rows = csv_records(spark, path, _separator(options), _char(options, "quote"), _char(options, "escape"))
+    if str(known["header"]).lower() == "true":
+        rows = rows.filter(~F.col("first"))
+    parse = {k: str(v) if not isinstance(v, bool) else str(v).lower() for k, v in options.items() if k.lower() not in ("header", "multiline", "enforceschema")}
+    plainly = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in named.fields)
+    return rows.select(F.from_csv("value", plainly, parse).alias("row")).select(*[F.col("row").getField(f.name).alias(f.name) for f in named.fields])
+
+
+#: Bytes of a file that may be one JSON object over several lines.
+OBJECT_BYTES = 64 << 20
 
 
 def json_kinds(spark: SparkSession, path: str) -> DataFrame:
-    """``file`` and ``kind`` of JSON files: ``lines`` of one object each, an ``array``, or one
-    ``object`` over several lines. Told by each file's first line that is not blank."""
+    """``file``, ``kind`` and ``size`` of JSON files: ``lines`` of one object each, an ``array``, or one
+    ``object`` over several lines.
+
+    Told by each file's first line that is not blank. If that line is no whole object, the
+    file is one object only if all of its text is; else it has lines, of which some are damaged.
+    """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        F.ltrim("value").alias("value")).filter("value <> ''")
-    first = lines.groupBy("file").agg(F.min_by(F.when(F.startswith("value", F.lit("[")), "[").otherwise(F.col("value")), "at").alias("value"))
-    return first.select("file", F.when(F.col("value") == "[", "array").when(F.try_parse_json("value").isNotNull(), "lines").otherwise("object").alias("kind"))
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.ltrim("value").alias("value")).filter("value <> ''")
+    first = lines.groupBy("file").agg(F.min_by(F.when(F.startswith("value", F.lit("[")), "[").otherwise(F.col("value")), "at").alias("value"), F.max("size").alias("size"))
+    told = first.select("file", "size", F.when(F.col("value") == "[", "array").when(F.try_parse_json("value").isNotNull(), "lines").alias("kind"))
+    doubtful = [r["file"] for r in told.filter(F.col("kind").isNull() & (F.col("size") <= OBJECT_BYTES)).select("file").collect()]
+    if not doubtful:
+        return told.select("file", F.coalesce("kind", F.lit("lines")).alias("kind"), "size")
+    whole = spark.read.text(doubtful, wholetext=True).filter(F.try_parse_json("value").isNotNull()).select(F.col("_metadata.file_path").alias("_file"))
+    return told.join(whole, F.col("file") == F.col("_file"), "left").select(
+        "file", F.coalesce("kind", F.when(F.col("_file").isNotNull(), "object"), F.lit("lines")).alias("kind"), "size")
 
 
 def _read_json(spark: SparkSession, path: str, schema: T.StructType | str | None, options: dict) -> DataFrame:
@@ -56,11 +130,24 @@ def _read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
         return chosen if schema is None else chosen.schema(schema)
 
     kinds = json_kinds(spark, path)
+    # An array larger than a split is cut into its elements by many tasks; it is then lines.
+    group = F.when(F.col("kind") == "lines", "lines").when((F.col("kind") == "array") & (F.col("size") > split_bytes(spark)), "long").otherwise("short")
+    kinds = kinds.withColumn("kind", group)
     found = {r["kind"] for r in kinds.select("kind").distinct().collect()}
-    if found <= {"lines"} or "lines" not in found:
-        return reader().json(path, multiLine=bool(found) and "lines" not in found)
-    files = {lines: [r["file"] for r in kinds.filter((F.col("kind") == "lines") == lines).select("file").collect()] for lines in (True, False)}
-    return union_with_drift(reader().json(files[True]), reader().json(files[False], multiLine=True))
+    if found <= {"lines"}:
+        return reader().json(path)
+    if found == {"short"}:
+        return reader().json(path, multiLine=True)
+    parts = []
+    for kind in ("lines", "short", "long"):
+        if kind in found:
+            files = [r["file"] for r in kinds.filter(F.col("kind") == kind).select("file").collect()]
+            if kind == "long":
+                lines = scratch_path(spark, "array-elements")
+                array_elements(spark, files).write.text(lines)
+                files = [lines]
+            parts.append(reader().json(files, multiLine=kind == "short"))
+    return reduce(union_with_drift, parts)
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
@@ -69,24 +156,21 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     Without a schema CSV and JSON are read once more to infer it; give one for large data.
     CSV cells become integers, floats or booleans where a whole column fits, else text.
 
-    A CSV in which a quoted cell runs over a line break is found by a pass over its lines and
-    read as one task per file, as it cannot be cut; ``multiLine`` given either way saves the
-    pass. So is a JSON file that is an array or one object over several lines; each file is
-    looked at. JSON Lines and Parquet have no such limit.
+    Whether quoted cells of a CSV run over line breaks is found by a pass over its lines, which
+    ``multiLine`` given either way saves. Such files, and JSON files that are an array, are cut into their
+    records by many tasks if they are larger than a split; a JSON array's elements are written
+    as lines once for that. Every JSON file is looked at; lines that are damaged come as null rows.
     """
     kind = file_format(path)
     if kind == "json":
         return _read_json(spark, path, schema, options)
-    reader = spark.read
     if kind == "csv":
-        options = {**CSV, **options}
-        if "multiLine" not in options:
-            options["multiLine"] = spans_lines(spark, path)
-    reader = reader.options(**options)
+        if schema is None:
+            return infer_types(read_csv(spark, path, None, options))
+        return read_csv(spark, path, T.StructType.fromDDL(schema) if isinstance(schema, str) else schema, options)
+    reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
-    if kind == "csv":
-        return infer_types(reader.csv(path)) if schema is None else reader.csv(path)
     return reader.json(path) if kind == "jsonl" else reader.parquet(path)
 
 
@@ -142,8 +226,7 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 def read_sniffed(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with whatever delimiter it has: text cells, trimmed, quotes taken off the header."""
-    df = spark.read.csv(path, sep=sniff_delimiter(spark, path), ignoreLeadingWhiteSpace=True,
-                        ignoreTrailingWhiteSpace=True, multiLine=spans_lines(spark, path), **CSV)
+    df = read_csv(spark, path, None, {"sep": sniff_delimiter(spark, path), "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True})
     return df.toDF(*[c.strip().replace('"', "").replace("'", "") for c in df.columns])
 
 
@@ -165,13 +248,15 @@ def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",", has_head
     given, the file is read once first to find it, by the rows that do not fit the header.
     """
     sep = _delimiter(delimiter)
-    common = {**CSV, "sep": sep, "header": has_headers, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True,
-              "multiLine": spans_lines(spark, path)}
-    named = [c.strip() for c in spark.read.csv(path, **common).columns] if has_headers else []
+    common = {**CSV, "sep": sep, "header": has_headers, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    spans, size = spanning_files(spark, path, common)
+    if not (spans and size > split_bytes(spark)):
+        common["multiLine"] = spans
+    named = [c.strip() for c in spark.read.csv(path, **{"multiLine": True, **common}).columns] if has_headers else []
     if width is None:
         cells = [T.StructField(f"c{i}", T.StringType()) for i in range(max(len(named), 1))]
-        rows = spark.read.schema(T.StructType([*cells, T.StructField("__row", T.StringType())])).options(
-            columnNameOfCorruptRecord="__row", columnPruning=False, enforceSchema=True, **common).csv(path)
+        rows = read_csv(spark, path, T.StructType([*cells, T.StructField("__row", T.StringType())]), {
+            **common, "columnNameOfCorruptRecord": "__row", "enforceSchema": True, **({"columnPruning": False} if "multiLine" in common else {})})
         bare = F.regexp_replace("__row", '"[^"]*"', "")
         counted = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
         found = rows.select("c0", counted.alias("n")).agg(F.max("n").alias("n"), F.count("c0").alias("rows")).first()
@@ -180,7 +265,7 @@ def read_csv_text(spark: SparkSession, path: str, delimiter: str = ",", has_head
     if not names:
         raise ValueError(f"'{path}' is empty")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    cells = spark.read.schema(schema).csv(path, enforceSchema=True, **common)
+    cells = read_csv(spark, path, schema, {**common, "enforceSchema": True})
     certain = named or names[:1]
     return cells.withColumns({n: F.coalesce(col(n), F.lit("")) for n in certain})
 
