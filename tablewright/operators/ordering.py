@@ -3,6 +3,7 @@ every operator here names the columns that give it; ties go by all remaining col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,10 +60,83 @@ def numbered(ordered: DataFrame, position: str = "position") -> DataFrame:
             .drop("__spot", "__part", "__start"))
 
 
+#: Rows that each partition may hand on to one task.
+HANDED_ON = 64
+#: One row in so many is looked at to find how far the first rows of an order reach.
+SAMPLED = 1024
+
+
+def _comparable(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _at(df: DataFrame, n: int, keys: Sequence[str]) -> list | None:
+    """The ``n``-th row of ``df`` (its columns ``keys``) in order; None if there are fewer rows."""
+    rows = df.select(*[col(k) for k in keys])
+    if n <= HANDED_ON:
+        found = rows.orderBy(*[col(k) for k in keys]).limit(n).collect()
+        return list(found[-1]) if len(found) == n else None
+    placed = with_position(_reaching(rows, n, keys), keys, "__position")
+    found = placed.filter(F.col("__position") == n).drop("__position").collect()
+    return list(found[0]) if found else None
+
+
+def _up_to(schema: T.StructType, keys: Sequence[str], bound: Sequence) -> tuple[Column, Column]:
+    """Whether a row comes before the bound in the order of ``keys``, and whether it is equal to it."""
+    before, equal = F.lit(False), F.lit(True)
+    for key, value in reversed(list(zip(keys, bound, strict=True))):
+        c = col(key)
+        if isinstance(schema[key].dataType, T.TimestampType):
+            c = F.unix_micros(c)
+        v = F.lit(value)
+        less = F.lit(False) if value is None else c.isNull() | (c < v)
+        before, equal = less | (c.eqNullSafe(v) & before), c.eqNullSafe(v) & equal
+    return before, equal
+
+
+def _bound(df: DataFrame, n: int, keys: Sequence[str]) -> list | None:
+    """A value of ``keys`` that about ``n`` rows do not pass, or some more, told by a sample of one row in ``SAMPLED``."""
+    share = n / SAMPLED
+    reach = math.ceil(share + 4 * math.sqrt(share) + 8)
+    drawn = df.withColumn("__draw", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SAMPLED))).filter("__draw = 0")
+    exact = [F.unix_micros(col(k)).alias(k) if isinstance(df.schema[k].dataType, T.TimestampType) else col(k) for k in keys]
+    return _at(drawn.select(*exact), reach, keys)
+
+
+def _reaching(df: DataFrame, n: int, keys: Sequence[str], done: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df`` up to a bound that holds the first ``n``; ties at the bound are cut by the other columns in turn."""
+    told = []
+    for k in keys:  # what Spark sorts by, but Python cannot hand back, ends the bound
+        if not _comparable(df.schema[k].dataType):
+            break
+        told.append(k)
+    bound = _bound(df, n, told) if told else None
+    if bound is None:
+        return df
+    before, equal = _up_to(df.schema, told, bound)
+    counts = df.agg(F.count_if(before).alias("before"), F.count_if(equal).alias("equal")).first()
+    if counts["before"] + counts["equal"] < n:
+        return df  # the sample fell short
+    done = [*done, *told]
+    rest = [k for k in orderable(df) if k not in done]
+    if counts["before"] >= n or counts["equal"] <= max(n, SAMPLED) or not rest:
+        return df.filter(before | equal)
+    return df.filter(before).unionByName(_reaching(df.filter(equal), n - counts["before"], rest, done))
+
+
 def head(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
-    """The first ``n`` rows of an order, cut by position: no task takes more than its share of
-    them, however many they are."""
-    return with_position(df, order_by, "__position").filter(F.col("__position") <= n).drop("__position")
+    """The first ``n`` rows of an order; ties go by all other columns.
+
+    Up to ``HANDED_ON`` rows each partition hands on its own first ones, and nothing is
+    written. For more, a sample of the order columns tells a bound that a few more rows than ``n`` do
+    not pass, itself found in this way; counts make sure of it. Only rows up to the bound are sorted,
+    over all tasks, and cut by position, so neither the table nor ``n`` rows of each partition move.
+    An order given as column expressions has no such bound; all rows are sorted.
+    """
+    if n <= HANDED_ON:
+        return df.orderBy(*total_order(df, order_by)).limit(max(n, 0))
+    near = _reaching(df, n, list(dict.fromkeys(order_by))) if all(isinstance(c, str) for c in order_by) and order_by else df
+    return with_position(near, order_by, "__position").filter(F.col("__position") <= n).drop("__position")
 
 
 def top_groups(df: DataFrame, by: Sequence[str], k: int, out: str = "n") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright import (anti_join, count_by, deduplicate, groupby, head, histogram, histogram_quantiles, join, lookup, metric,
                          partition_by, profile, require_schema, schema_check, sort, top_groups, upsert, with_position)
-from tablewright.operators import joins
+from tablewright.operators import joins, ordering
 from tablewright.operators.text_columns import map_text
 
 
@@ -169,10 +169,36 @@ def test_head_short_and_long(spark):
     df = spark.range(100).select((100 - F.col("id")).alias("v"))
     short = sorted(r["v"] for r in head(df, 7, ["v"]).collect())
     assert short == list(range(1, 8)) and head(df, 1_000_000, ["v"]).count() == 100
-    assert "TakeOrdered" not in plan_of(head(df, 7, ["v"]))
+    assert "TakeOrdered" not in plan_of(head(df, 700, ["v"]))
     assert tuples(top_groups(df.select((F.col("v") % 3).alias("m")), ["m"], 1)) == [(1, 34)]
 
 
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 100, 5000, 59_000, 200_000])
+def test_head_takes_the_first_rows(spark, monkeypatch, n):
+    monkeypatch.setattr(ordering, "SAMPLED", 16)
+    rows = [(None if i % 11 == 0 else (i * 7919) % 1000, i % 5, f"t{i % 300}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "v int, w int, t string").repartition(6)
+    first = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))[:n]
+    assert sorted(map(str, map(tuple, head(df, n, ["v"]).collect()))) == sorted(map(str, first))
+    last = sorted(rows, key=lambda r: (r[2], r[0] is not None, r[0] or 0, r[1]))[:n]
+    assert sorted(map(str, map(tuple, head(df, n, ["t"]).collect()))) == sorted(map(str, last))
+
+
+def test_head_moves_only_what_it_must(spark, monkeypatch):
+    """A third of the rows share the first value; the bound then goes by the other columns."""
+    monkeypatch.setattr(ordering, "SAMPLED", 16)
+    df = spark.range(60_000).select((F.greatest(F.col("id"), F.lit(20_000)) - 20_000).alias("v"), "id", F.timestamp_micros(-F.col("id")).alias("at"))
+    moved = []
+    plain = ordering.with_position
+    monkeypatch.setattr(ordering, "with_position", lambda rows, *a: moved.append(rows.count()) or plain(rows, *a))
+    assert sorted(r["id"] for r in head(df, 1000, ["v"]).collect()) == list(range(1000))
+    assert max(moved) < 3000
+    assert sorted(r["id"] for r in head(df, 1000, ["at"]).collect()) == list(range(59_000, 60_000))
+    assert max(moved) < 3000
+    assert sorted(r["id"] for r in head(df, 300, [F.col("id").desc()]).collect()) == list(range(59_700, 60_000))
+    assert head(df.select(F.lit(1).alias("one")), 30_000, ["one"]).count() == 30_000
+
+
 def test_deduplicate(spark):
     rows = [(1, "a", 1), (2, "b", 2), (1, "c", 3), (3, "d", 4), (None, "e", 5), (None, "f", 6)]
     df = spark.createDataFrame(rows, "id int, val string, n int")
