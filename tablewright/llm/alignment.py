@@ -6,9 +6,9 @@ compressed rows. A·Bᵀ, row by row, has an entry for each pair of tokens that
 Where tokens of both sides end together the text is cut into groups; the product of the
 incidence matrices of tokens and groups has the pairs that share a group.
 
-Neither vocabulary has a token that runs from a non-space into white space, so a text is
+Hardly a token runs from a non-space into white space, so a text is
 cut before each run of white space, and each distinct word of a block of texts is encoded and
-multiplied once. (Where a vocabulary has such tokens the word is the whole text.)
+multiplied once. (Tokens that run into a carriage return do exist: a text with white space of that kind is one word.)
 
 How often two ids are linked in the whole corpus is counted in two passes. The first writes for each
 block of texts its documents, as numbers of words, and the pairs of ids linked in it with their
@@ -42,12 +42,12 @@ from tablewright.llm.common import fresh, gather, text_slices
 from tablewright.llm.scratch import Scratch
 from tablewright.llm.sparse import Rows, incidence, product, reach
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 6 << 20
 # White space of the byte-level pattern, which the control characters 1C to 1F are not.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 SPACE = re.compile(r"[^\S\x1c-\x1f]")
-#: A token that runs from a non-space into white space, or from the space put first into other white space.
-CROSSES = re.compile(r"[^\s▁][\s▁]|^▁(?=[^\S ])")
+#: White space that a token runs into, from a non-space or from the space put first.
+CROSSES = re.compile(r"(?<=[^\s▁])[\s▁]|(?<=^▁)[^\S ]")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
@@ -85,13 +85,15 @@ class Vocabularies:
         self.a = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a[i] = bytes(symbols.get(c, 63) for c in token)
-        self.b, cuts = [], True
+        self.b, crossed = [], set()
         for i in range(self.piece.get_piece_size()):
             token = self.piece.id_to_piece(i)
-            cuts &= self.piece.is_control(i) or self.piece.is_unknown(i) or not CROSSES.search(token)
+            if not (self.piece.is_control(i) or self.piece.is_unknown(i)):
+                crossed.update(CROSSES.findall(token))
             self.b.append(bytes([int(token[3:5], 16)]) if self.piece.is_byte(i) else token.replace("▁", " ").encode())
         self.space = self.piece.piece_to_id("▁")
-        self.cuts = cuts
+        self.cuts = "▁" not in crossed
+        self.crossed = re.compile(f"[{re.escape(''.join(sorted(crossed)))}]") if crossed else None
         self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a, self.b))
         self.a_text, self.b_text = ([*map(str, range(len(x)))] for x in (self.a, self.b))
         ends = [[t + e for t in texts] for texts, e in ((self.a_text, ","), (self.a_text, "|"), (self.b_text, ","), (self.b_text, ";"))]
@@ -133,7 +135,7 @@ class Block:
 
     def split(self, text: str) -> list[str]:
         """A text with uncommon white space, cut before each run of it."""
-        if not self.tools.cuts:
+        if not self.tools.cuts or self.tools.crossed and self.tools.crossed.search(text):
             return ["\0 " + text]
         found = CHUNK.findall(" " + text)
         return [c[1:] if c[0] == " " and len(c) > 1 and not SPACE.match(c[1]) else c if c[0] == "\n" and len(c) > 1 and not SPACE.match(c[1]) else "\0" + c for c in found]
@@ -204,7 +206,9 @@ class Block:
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of linked ids and how often each is linked; for each word its links, as places among the pairs, and where they start."""
         flat = np.concatenate(self.pairs) if self.pairs else np.zeros(0, np.int64)
-        pairs, links = np.unique(flat, return_inverse=True)
+        pairs = np.sort(flat)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+        links = np.searchsorted(pairs, flat)
         sizes = self.counts[:, COUNTS.index("n_links")]
         word = np.repeat(np.arange(len(sizes)), sizes)
         times = np.bincount(links, weights=self.seen[word], minlength=len(pairs)).astype(np.int64)

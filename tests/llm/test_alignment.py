@@ -106,7 +106,7 @@ def rows_of(df):
     return {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256, r.n_shared) for r in df.collect()}
 
 
-TEXTS = [None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a\nb", "a\n\nb \n c\n", "\ta\x1cb \x1c!\x1d\x85z　y", "x\0y \0", "a▁b", "▁", "<|endoftext|> <s></s><unk><0x41>",
+TEXTS = [None, "", " ", "  ", "\n", "a", " a", "a ", "a  b", "a\nb", "a\n\nb \n c\n", "\ta\x1cb \x1c!\x1d\x85z　y", "x\0y \0", "a);\r\nb {\r x\r", "\r", "a▁b", "▁", "<|endoftext|> <s></s><unk><0x41>",
          "naïve 北京 🙂🙂 Straße", "same text", "same text", "q" * 5000, "word, " * 3000 + "\nEnd", "İ́ é"]
 
 
