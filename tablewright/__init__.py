@@ -5,7 +5,8 @@ import sys
 from pyspark import cloudpickle
 
 from tablewright.functions import fnv1a64, mask, mask_email
-from tablewright.operators.aggregates import (count_by, groupby, histogram, histogram_quantiles, metric)
+from tablewright.operators.aggregates import (count_by, groupby, histogram, histogram_quantiles, merge_sketches, metric, sketched_counts,
+                                              unique_sketch)
 from tablewright.operators.anonymize import anonymize
 from tablewright.operators.changes import delta, scd2, schema_drift_upsert, sync, sync_counts, upsert
 from tablewright.operators.chunks import chunk_cumulative

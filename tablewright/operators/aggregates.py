@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.text import col
 from tablewright.operators.ordering import head
@@ -48,6 +49,8 @@ def metric(df: DataFrame, column: str, operation: str, pattern: str | None = Non
         value = F.count_if(c.isNull())
     elif op == "n_unique":
         value = F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))
+    elif op == "approx_n_unique":
+        value = F.hll_sketch_estimate(F.hll_sketch_agg(_sketchable(df, column), F.lit(SKETCH_BITS))) + F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))
     elif op in ("match_regex", "non_match_regex"):
         if not pattern:
             raise ValueError(f"'{op}' needs a pattern")
@@ -58,6 +61,31 @@ def metric(df: DataFrame, column: str, operation: str, pattern: str | None = Non
     return df.agg(value.alias("value"))
 
 
+#: Two to this power are the counters of a sketch; an estimate is off by about 1.04 / sqrt(counters), 0.4 %.
+SKETCH_BITS = 16
+
+
+def _sketchable(df: DataFrame, column: str) -> Column:
+    kind = df.schema[column].dataType
+    return col(column) if isinstance(kind, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else col(column).cast("string")
+
+
+def unique_sketch(df: DataFrame, column: str, by: Sequence[str] = (), out: str = "sketch") -> DataFrame:
+    """A sketch of the distinct values of ``column`` for each group: of one size, whatever the number of rows.
+    Keep sketches of parts, such as days, and put them together with :func:`merge_sketches`. Nulls do not count."""
+    return df.groupBy(*[col(b) for b in by]).agg(F.hll_sketch_agg(_sketchable(df, column), F.lit(SKETCH_BITS)).alias(out))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = (), sketch: str = "sketch") -> DataFrame:
+    """Sketches of parts put together for each group, as if made from all their rows at once."""
+    return sketches.groupBy(*[col(b) for b in by]).agg(F.hll_union_agg(col(sketch)).alias(sketch))
+
+
+def sketched_counts(sketches: DataFrame, sketch: str = "sketch", out: str = "n_unique") -> DataFrame:
+    """The estimated number of distinct values in place of each sketch."""
+    return sketches.withColumn(out, F.hll_sketch_estimate(col(sketch))).drop(sketch)
+
+
 def count_by(df: DataFrame, labels: Sequence[str], out: str = "n") -> DataFrame:
     return df.groupBy(*[col(c) for c in labels]).agg(F.count("*").alias(out))
 

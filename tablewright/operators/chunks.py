@@ -310,6 +310,8 @@ def _deepest_fall(borders: DataFrame) -> int:
     swing = Swing()
     for row in sorted(borders.select("pid", *Swing._fields).collect(), key=lambda r: r["pid"]):
         swing = swing.and_then(Swing(*row[1:]))
+        if max(swing.peak, -swing.trough) >= LIMIT:
+            raise OverflowError("the running total grows beyond what fits; use a smaller scale")
     return swing.fall
 
 

@@ -80,6 +80,12 @@ def _compare_typed(kind: str, c: Column, value: str, dtype: T.DataType) -> Colum
         hit = compare("gte" if kind in ("gt", "gte") else "lt", c, F.lit(f"{value} 00:00:00").cast(dtype))
     elif isinstance(dtype, T.TimestampNTZType) and _canonical(value, dtype) is not None:
         hit = compare(kind, c, _canonical(value, dtype))
+    elif isinstance(dtype, T.TimestampType) and any(_canonical(value, t) is not None for t in (T.DateType(), T.TimestampNTZType())):
+        # Texts are in the session's zone and go back an hour once a year; a day around the bound reaches the scan.
+        bound, day = F.lit(value).cast(dtype), F.expr("interval 1 day")
+        near = c >= bound - day if kind in ("gt", "gte") else c <= bound + day
+        exact = compare(kind, c.cast("string"), F.lit(value))
+        return (near | c.isNull()) & F.coalesce(exact, F.lit(True)) if kind in ("lt", "lte") else near & exact
     else:
         return None
     empty_hit = "" < value if kind == "lt" else "" <= value if kind == "lte" else False

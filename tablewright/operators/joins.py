@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.text import col
+from tablewright.sources.scratch import cut_lineage
 
 # Rows of one key that go to one task of an outer join; a key with more is dealt over several.
 HOT_ROWS = 1_000_000
@@ -40,11 +41,17 @@ def any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [col(k).isNull() for k in keys])
 
 
-def _hot(df: DataFrame, keys: Sequence[str], names: Sequence[str], count: str) -> DataFrame:
-    """Keys with more than ``HOT_ROWS`` rows and how many tasks they take. Reads the keys only."""
+def _hot(df: DataFrame, keys: Sequence[str], names: Sequence[str], count: str) -> DataFrame | None:
+    """Keys with more than ``HOT_ROWS`` rows and how many tasks they take, null if there are none.
+
+    Reads the keys only. The list is worked out once and kept, so that both sides of a join go by the same one.
+    """
+    if df.isStreaming:
+        return None
     cols = [col(k).alias(n) for k, n in zip(keys, names)]
     counted = df.select(*cols).groupBy(*names).agg(F.count("*").alias(count)).filter(F.col(count) > HOT_ROWS)
-    return F.broadcast(counted.withColumn(count, F.ceil(F.col(count) / HOT_ROWS).cast("int")))
+    kept = cut_lineage(counted.withColumn(count, F.ceil(F.col(count) / HOT_ROWS).cast("int")))
+    return None if kept.isEmpty() else F.broadcast(kept)
 
 
 def _drawn(df: DataFrame) -> Column:
@@ -59,33 +66,38 @@ def spread_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right
     Spark splits a hot key on the left of a left join by itself, but on no other side of these
     joins. So a hot key's rows are dealt over several tasks by a hash, and the other side's rows
     of that key go to each of them; where such a copy finds nothing, it is the others that
-    count. Both inputs are read once, and their keys once more.
+    count. The hot keys are found first, from the keys of the side alone; without any the join is Spark's own.
     """
     outer, names = how != "left", [f"__h_{i}" for i in range(len(left_on))]
+    marked = left.withColumn("__in_left", F.lit(True)), right.withColumn("__in_right", F.lit(True))
+    condition = [col(x) == col(y) for x, y in zip(left_on, right_on)]
+    shown = [*[col(c) for c in [*left.columns, *right.columns]], "__in_left", "__in_right"]
+    hot_left = _hot(left, left_on, names, "__n") if outer else None
+    hot_right = _hot(right, right_on, names, "__n")
+    if hot_left is None and hot_right is None:
+        return marked[0].join(marked[1], condition, "full" if outer else "left").select(*shown)
     sides = []
-    for df, on, other, other_on, own, far, dealt, mark in (
-            (left, left_on, right, right_on, "__ls", "__rs", outer, "__in_left"), (right, right_on, left, left_on, "__rs", "__ls", True, "__in_right")):
-        here = df.withColumn(mark, F.lit(True))
+    for df, here, on, own_hot, far_hot, own, far, mark in (
+            (left, marked[0], left_on, hot_left, hot_right, "__ls", "__rs", "__in_left"), (right, marked[1], right_on, hot_right, hot_left, "__rs", "__ls", "__in_right")):
         keyless = any_null(on)
-        draw = _drawn(df)
         same = [col(k) == F.col(n) for k, n in zip(on, names)]
-        if dealt:
-            here = here.join(_hot(df, on, names, "__n"), same, "left").withColumn(
-                own, F.when(keyless, F.pmod(draw, F.lit(1024))).otherwise(F.pmod(draw, F.coalesce("__n", F.lit(1)))).cast("int")).drop("__n", *names)
+        dealt = F.when(keyless, F.pmod(_drawn(df), F.lit(1024))).cast("int") if outer or mark == "__in_right" else F.lit(None).cast("int")
+        if own_hot is not None:
+            here = here.join(own_hot, same, "left").withColumn(
+                own, F.coalesce(dealt, F.pmod(_drawn(df), F.coalesce("__n", F.lit(1))).cast("int"))).drop("__n", *names)
         else:
-            here = here.withColumn(own, F.lit(0))
-        if outer or mark == "__in_left":
-            here = here.join(_hot(other, other_on, names, f"{mark}_n"), same, "left").drop(*names).withColumn(
+            here = here.withColumn(own, F.coalesce(dealt, F.lit(0)))
+        if far_hot is not None:
+            here = here.join(far_hot.withColumnRenamed("__n", f"{mark}_n"), same, "left").drop(*names).withColumn(
                 far, F.explode(F.sequence(F.lit(0), F.coalesce(f"{mark}_n", F.lit(1)) - 1)))
         else:
             here = here.withColumns({far: F.lit(0), f"{mark}_n": F.lit(None).cast("int")})
         sides.append(here.withColumnsRenamed({"__ls": f"__ls{mark}", "__rs": f"__rs{mark}"}))
     a, b = sides
-    condition = [col(x) == col(y) for x, y in zip(left_on, right_on)]
     condition += [F.col(f"{s}__in_left") == F.col(f"{s}__in_right") for s in ("__ls", "__rs")]
     joined = a.join(b, condition, "full" if outer else "left")
     useless = (F.col("__in_right").isNull() & F.col("__in_left_n").isNotNull()) | (F.col("__in_left").isNull() & F.col("__in_right_n").isNotNull())
-    return joined.filter(~useless).select(*[col(c) for c in [*left.columns, *right.columns]], "__in_left", "__in_right")
+    return joined.filter(~useless).select(*shown)
 
 
 def join(left: DataFrame, right: DataFrame, left_on: str | Sequence[str],

@@ -13,26 +13,38 @@ from tablewright.functions.text import col, looks_numeric, strip
 
 # A column's texts are ranked in so many parts first, each giving its smallest.
 RANK_PARTS = 256
+# Rows that tell how far the smallest texts of a column may reach.
+FIRST_LOOK = 1000
 
 
 def profile(df: DataFrame, samples: int = 5) -> DataFrame:
     """One row per column: rows, nulls, distinct texts, number statistics, sample values.
 
     Counts and number statistics fold to one row per column before their shuffle. Distinct
-    texts are shuffled once, spread by (column, text), for their number and for the samples,
-    which are the smallest texts, ranked in parts and then among the parts' smallest. A table
-    without rows has a row of zeros for each column.
+    texts are counted by digests of 128 bits. The samples are the smallest texts: the first rows show
+    a text that as many do not pass, and only texts up to it are folded and shuffled. Where they show too
+    few, all of the column's are: it has few texts, or a rare value besides. A table without
+    rows has a row of zeros for each column.
     """
     text = [F.coalesce(col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
-    cells = df.select(*text).unpivot([], [col(c) for c in df.columns], "column", "cell")
+
+    def cells_of(rows: DataFrame) -> DataFrame:
+        return rows.select(*text).unpivot([], [col(c) for c in df.columns], "column", "cell")
+
+    cells = cells_of(df)
     trimmed = strip(F.col("cell"))
     number = F.when(looks_numeric(trimmed), trimmed.try_cast("double"))
     x = F.col("number")
     stats = cells.select("column", (trimmed == "").alias("blank"), number.alias("number")).groupBy("column").agg(
         F.count("*").alias("total_rows"), F.count_if("blank").alias("nulls"), F.count(x).alias("__n"),
         F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("__mean"), F.stddev_pop(x).alias("__std"))
-    distinct = cells.distinct().withColumn("__part", F.pmod(F.xxhash64("cell"), F.lit(RANK_PARTS)))
-    uniques = distinct.groupBy("column").agg(F.count("cell").alias("uniques"))
+    digests = cells.select("column", F.xxhash64("cell").alias("a"), F.xxhash64(F.lit(1), "cell").alias("b")).distinct()
+    uniques = digests.groupBy("column").agg(F.count("a").alias("uniques"))
+    look = cells_of(df.limit(FIRST_LOOK)).distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("cell"))
+    bounds = look.withColumn("__rank", rank).filter(F.col("__rank") == samples).select("column", F.col("cell").alias("__bound"))
+    near = cells.join(F.broadcast(bounds), "column", "left").filter(F.col("__bound").isNull() | (F.col("cell") <= F.col("__bound")))
+    distinct = near.select("column", "cell").distinct().withColumn("__part", F.pmod(F.xxhash64("cell"), F.lit(RANK_PARTS)))
 
     def smallest(rows: DataFrame, *within: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("column", *within).orderBy("cell"))

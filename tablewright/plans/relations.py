@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.operators.aggregates import count_by, groupby, histogram, histogram_quantiles, metric
+from tablewright.operators.aggregates import (count_by, groupby, histogram, histogram_quantiles, merge_sketches, metric, sketched_counts,
+                                              unique_sketch)
 from tablewright.operators.joins import join, lookup
 from tablewright.operators.ordering import deduplicate, head, numbered, sort, top_groups
 from tablewright.operators.profile import profile, schema_check
 from tablewright.plans.registry import query, table
+from tablewright.sources.files import preview
 
 # --- joins ---------------------------------------------------------------------------
 
@@ -218,6 +220,33 @@ def _(spark, folder):
     return head(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 10, ["o_totalprice"])
 
 
+@query("first_rows_long", """
+    select l_orderkey, l_linenumber, l_returnflag, l_partkey, l_suppkey from lineitem
+    order by l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 5000""")
+def _(spark, folder):
+    return head(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"), 5000, ["l_returnflag", "l_orderkey"])
+
+
+@query("metric_n_unique_approx", "select true as within, true as merged")
+def _(spark, folder):
+    """The estimate is within 2 % of the exact number, and sketches of parts say the same as one of all rows."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag")
+    near = metric(lines, "l_orderkey", "approx_n_unique").select(F.col("value").alias("near"))
+    exact = metric(lines, "l_orderkey", "n_unique").select(F.col("value").alias("exact"))
+    parts = sketched_counts(merge_sketches(unique_sketch(lines, "l_orderkey", ["l_returnflag"])), out="parts")
+    found = near.unionByName(exact, True).unionByName(parts, True).agg(*[F.max(c).alias(c) for c in ("near", "exact", "parts")])
+    return found.select((F.abs(F.col("near") - F.col("exact")) <= 0.02 * F.col("exact")).alias("within"),
+                        (F.abs(F.col("parts") - F.col("near")) <= 0.005 * F.col("exact")).alias("merged"))
+
+
+@query("preview_any", "select 10 as n, 10 as there")
+def _(spark, folder):
+    """Any ten rows, all of the table."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    some = preview(orders, 10)
+    return some.agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("o_totalprice").isNotNull()).cast("int").alias("there"))
+
+
 DEDUP_SQL = """select l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_suppkey from (
     select *, row_number() over (partition by l_orderkey, l_linenumber
                                  order by l_extendedprice {0}, l_partkey {0}, l_suppkey {0}) as rn from lineitem)

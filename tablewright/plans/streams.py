@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tablewright.operators.changes import upsert
 from tablewright.operators.filters import filter_rows
 from tablewright.plans.registry import query, table
 from tablewright.sources.scratch import scratch_path
-from tablewright.streaming.arrivals import (append_to, arriving_files, latest_version, maintain, route_valid,
+from tablewright.streaming.arrivals import (append_to, arriving_files, drop_repeats, kept_table, maintain, route_valid,
                                             run_available)
 
 
@@ -72,4 +73,37 @@ def _(spark, folder):
         land(rows, f"{base}/in")
         run_available(arriving_files(spark, f"{base}/in", rows.schema), maintain(f"{base}/table", apply, keys=["id"], buckets=16),
                       f"{base}/checkpoint")
-    return latest_version(spark, f"{base}/table").select("id", "price")
+    return kept_table(spark, f"{base}/table").select("id", "price")
+
+
+@query("stream_resume", "select o_orderkey, o_totalprice from orders")
+def _(spark, folder):
+    """Half of the files are taken, a run fails on the rest, and the next one goes on: every row once."""
+    base = scratch_path(spark, "stream")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    keep = append_to(f"{base}/out", lambda df: df.select("o_orderkey", "o_totalprice"))
+
+    def broken(batch, batch_id):
+        keep(batch, batch_id)
+        raise RuntimeError("lost")
+
+    land(orders.filter("o_orderkey % 2 = 0"), f"{base}/in")
+    run_available(arriving_files(spark, f"{base}/in", orders.schema), keep, f"{base}/checkpoint")
+    land(orders.filter("o_orderkey % 2 <> 0"), f"{base}/in")
+    try:
+        run_available(arriving_files(spark, f"{base}/in", orders.schema), broken, f"{base}/checkpoint")
+    except StreamingQueryException:
+        run_available(arriving_files(spark, f"{base}/in", orders.schema), keep, f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("o_orderkey", "o_totalprice")
+
+
+@query("stream_dedup", "select event_id, event_type, value from events")
+def _(spark, folder):
+    base = scratch_path(spark, "stream")
+    events = table(spark, folder, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    land(events, f"{base}/in")
+    land(events.filter("event_id % 3 = 0"), f"{base}/in")
+    stream = arriving_files(spark, f"{base}/in", events.schema, maxFilesPerTrigger=1)
+    once = drop_repeats(stream, ["event_id"], "at", "3650 days").select("event_id", "event_type", "value")
+    run_available(once, append_to(f"{base}/out"), f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select("event_id", "event_type", "value")

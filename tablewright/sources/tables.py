@@ -36,38 +36,78 @@ def _create(df: DataFrame, table: str, path: str | None, partitions: Sequence[st
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+# A table that is about to take another's place, or has just taken it, carries this property.
+EXCHANGE = "tablewright.exchange"
+
+
+def _wide(table: str) -> str:
+    """The name under which a table waits to take the place of ``table``."""
+    return f"{table[:-1]}__wide`" if table.endswith("`") else f"{table}__wide"
+
+
+def _about(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").select("col_name", "data_type").collect()}
+
+
+def _properties(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+
+
+def settle(spark: SparkSession, table: str) -> None:
+    """End an exchange that was broken off. The waiting table is whole once the old one is gone,
+    and then takes its place; while the old one is there, the waiting one goes."""
+    wide = _wide(table)
+    if spark.catalog.tableExists(wide):
+        if spark.catalog.tableExists(table):
+            spark.sql(f"DROP TABLE {wide}")
+        else:
+            spark.sql(f"ALTER TABLE {wide} RENAME TO {table}")
+    if spark.catalog.tableExists(table) and EXCHANGE in _properties(spark, table):
+        if any(c.isPartition for c in spark.catalog.listColumns(table)):
+            spark.sql(f"MSCK REPAIR TABLE {table}")
+        spark.sql(f"ALTER TABLE {table} UNSET TBLPROPERTIES ('{EXCHANGE}')")
+        spark.catalog.refreshTable(table)
+
+
 def _rewrite(rows: DataFrame, table: str) -> None:
     """Put rows of another shape in a table's place, with its partition columns, its properties
-    and, for a table with its own path, a path beside that. All rows are written first; only
-    when that is done does the old table go and the new folder take its place."""
-    spark, tag = rows.sparkSession, uuid.uuid4().hex[:8]
+    and, for a table with its own path, a path beside that.
+
+    All rows are written first, as a table of another name. Until that is whole the old table
+    stays; then the old one goes and the new one takes its name. A failure before leaves the old
+    table, one after is made good by :func:`settle`, at once or by the next write.
+    """
+    spark, wide = rows.sparkSession, _wide(table)
     partitions = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").select("col_name", "data_type").collect()}
-    properties = [(r["key"], r["value"]) for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect() if r["key"] not in OWN_PROPERTIES]
-    place = about["Location"].rstrip("/")
-    written = f"{place}-{tag}"
-    try:
-        rows.write.partitionBy(*partitions).parquet(written)
-    except Exception:
-        remove(spark, written)
-        raise
+    about = _about(spark, table)
+    properties = {k: v for k, v in _properties(spark, table).items() if k not in OWN_PROPERTIES} | {EXCHANGE: "open"}
+    outside = about.get("Type", "").upper() == "EXTERNAL"
+    written = f"{about['Location'].rstrip('/')}-{uuid.uuid4().hex[:8]}"
 
     def text(value: str) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     parts = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in partitions)})" if partitions else ""
-    listed = f" TBLPROPERTIES ({', '.join(f'{text(k)} = {text(v)}' for k, v in properties)})" if properties else ""
-    outside = about.get("Type", "").upper() == "EXTERNAL"
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet{parts}{f' LOCATION {text(written)}' if outside else ''}{listed}")
-    if not outside:
-        remove(spark, place)
-        system, target = file_system(spark, place)
-        system.rename(file_system(spark, written)[1], target)
-    if partitions:
-        spark.sql(f"MSCK REPAIR TABLE {table}")
-    spark.catalog.refreshTable(table)
+    listed = ", ".join(f"{text(k)} = {text(v)}" for k, v in properties.items())
+    try:
+        rows.write.partitionBy(*partitions).parquet(written)
+        spark.sql(f"CREATE TABLE {wide} ({columns}) USING parquet{parts}{f' LOCATION {text(written)}' if outside else ''} TBLPROPERTIES ({listed})")
+        if not outside:
+            place = _about(spark, wide)["Location"]
+            remove(spark, place)
+            system, target = file_system(spark, place)
+            system.rename(file_system(spark, written)[1], target)
+        spark.sql(f"DROP TABLE {table}")
+    except Exception:
+        if spark.catalog.tableExists(table):
+            settle(spark, table)
+            remove(spark, written)
+            raise
+    try:
+        settle(spark, table)
+    except Exception:
+        settle(spark, table)  # the rows are safe; an error that comes again is the caller's, and the next write settles it
 
 
 def write_table(df: DataFrame, table: str, mode: str = "insert", schema_drift: bool = False,
@@ -78,11 +118,12 @@ def write_table(df: DataFrame, table: str, mode: str = "insert", schema_drift: b
     ``insert`` or ``append`` adds the rows and ``replace`` puts them in place of all others;
     both keep the table's columns and types. With ``schema_drift`` new columns are added
     and types widened first: new columns in place, wider types by writing the table anew
-    beside the old one, which is swapped out once that is done.
+    beside the old one, which is exchanged for it once that is done.
     """
     if mode not in ("insert", "append", "replace"):
         raise ValueError("mode is 'insert', 'append' or 'replace'")
     spark = df.sparkSession
+    settle(spark, table)
     if not spark.catalog.tableExists(table):
         _create(df, table, path)
         return

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,13 +54,18 @@ def route_valid(rules: list[dict], path: str) -> Handler:
 Apply = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
+BUCKET = "__bucket"
+
+
 def maintain(path: str, apply: Apply, keys: Sequence[str] = (), buckets: int = 64) -> Handler:
-    """Keep a table by ``apply(table, batch)``: delta, upsert or history. Every batch writes
-    the next version from the one before, so a batch run twice gives the same version; versions
-    that neither of the last two batches needs are removed.
+    """Keep a Parquet table by ``apply(table, batch)``: delta, upsert or history.
 
-    With ``keys`` the rows lie in buckets by a hash of them, and a batch reads and writes only
-    the buckets its keys fall into. ``apply`` must then go key by key, as an upsert does.
+    With ``keys`` the table is partitioned by a bucket, a hash of them; a batch reads the buckets its
+    keys fall into and writes those by dynamic partition overwrite, the others stay as they are.
+    ``apply`` must then go key by key, as an upsert does. Without keys there is one bucket.
+
+    A batch that failed comes again and is applied to a table that may hold some of its buckets
+    already, so ``apply`` must come to the same with a batch it has seen, as an upsert does.
     """
     def bucketed(df: DataFrame) -> DataFrame:
         draw = F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(buckets)).cast("int") if keys else F.lit(0)
@@ -69,46 +73,34 @@ def maintain(path: str, apply: Apply, keys: Sequence[str] = (), buckets: int = 6
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before, earlier = _manifest(spark, path, batch_id - 1), _manifest(spark, path, batch_id - 2)
-        # One number for each bucket at most; without keys there is one bucket.
+        system, place = file_system(spark, path)
+        before = spark.read.parquet(path) if system.exists(place) else None
+        # one number for each bucket at most
         touched = [r[0] for r in bucketed(batch).select(BUCKET).distinct().collect()] if keys else [0]
-        old = [_folder(path, before[b], b) for b in touched if b in before]
-        result = apply(spark.read.parquet(*old) if old else None, batch)
-        bucketed(result).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{path}/version={batch_id}")
-        system, _ = file_system(spark, path)
-        there = spark._jvm.org.apache.hadoop.fs.Path
-        now = {b: v for b, v in before.items() if b not in touched}
-        now |= {b: batch_id for b in touched if system.exists(there(_folder(path, batch_id, b)))}
-        if not now:  # a table without rows has its columns still
-            result.limit(0).write.mode("overwrite").parquet(_folder(path, batch_id, 0))
-            now = {0: batch_id}
-        spark.createDataFrame([(json.dumps(now),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest={batch_id}")
-        for b, v in earlier.items():
-            if v not in (before.get(b), now.get(b)):
-                remove(spark, _folder(path, v, b))
-        remove(spark, f"{path}/manifest={batch_id - 2}")
+        old = before.filter(F.col(BUCKET).isin(touched)).drop(BUCKET) if before is not None else None
+        seen = Observation()
+        result = bucketed(apply(old, batch))
+        counts = [F.count_if(F.col(BUCKET) == b).alias(f"b{b}") for b in touched] or [F.count(F.lit(1)).alias("none")]
+        result.observe(seen, *counts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+        # a bucket that lost all its rows is not written, so it goes by itself
+        for b in touched:
+            if not seen.get[f"b{b}"]:
+                remove(spark, f"{path}/{BUCKET}={b}")
+        if not any(f.isDirectory() for f in system.listStatus(place)):
+            result.drop(BUCKET).limit(0).write.parquet(f"{path}/{BUCKET}=0")  # a table without rows has its columns still
 
     return handle
 
 
-BUCKET = "__bucket"
+def kept_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`maintain` keeps."""
+    return spark.read.parquet(path).drop(BUCKET)
 
 
-def _folder(path: str, version: int, bucket: int) -> str:
-    return f"{path}/version={version}/{BUCKET}={bucket}"
+def drop_repeats(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
+    """A stream without rows whose keys came before, within ``delay`` of the latest ``time`` seen.
 
-
-def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
-    """The version of each bucket after a batch; nothing before the first."""
-    system, place = file_system(spark, f"{path}/manifest={batch_id}")
-    if not system.exists(place):
-        return {}
-    return {int(b): v for b, v in json.loads(spark.read.text(f"{path}/manifest={batch_id}").first()[0]).items()}
-
-
-def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The table after the last batch handled by :func:`maintain`."""
-    system, place = file_system(spark, path)
-    names = [f.getPath().getName() for f in system.listStatus(place)]
-    last = max(int(n.partition("=")[2]) for n in names if n.startswith("manifest="))
-    return spark.read.parquet(*[_folder(path, v, b) for b, v in sorted(_manifest(spark, path, last).items())])
+    Keys are forgotten once the watermark has passed them, so the state is as large as what
+    ``delay`` holds, not as the stream; rows later than the watermark are left out.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))

@@ -12,7 +12,8 @@ from tablewright.operators.generate import parse_spec
 from tablewright.operators.text_columns import extract_fields, extract_links, map_text
 from tablewright.sources.files import file_format, path_info, read_csv_text, sniff_delimiter
 from tablewright.sources.scratch import shared_folder
-from tablewright.streaming import (append_to, arriving_files, latest_version, maintain, route_valid, run_available)
+from tablewright.sources.tables import settle
+from tablewright.streaming import (append_to, arriving_files, drop_repeats, kept_table, maintain, route_valid, run_available)
 from tablewright import upsert
 
 
@@ -150,6 +151,12 @@ def test_generated_rows_repeat_with_the_seed(spark):
     other = tuples(generate(spark.newSession(), 50, spec, seed=2))
     assert once == again != other
     assert sorted(r[0] for r in once) == list(range(1, 51)) and len({r[2] for r in once}) > 30
+    with pytest.raises(ValueError):
+        generate(spark, 1, [{"name": "d", "type": "date", "min": "2024-02-01", "max": "2024-01-01"}])
+    with pytest.raises(ValueError):
+        parse_spec([{"type": "city"}])
+    times = generate(spark, 400, [{"name": "t", "type": "datetime", "min": "2024-01-01T00:00:00", "max": "2024-01-01T00:00:03"}, {"name": "d", "type": "date", "min": "2024-02-28", "max": "2024-03-01"}]).collect()
+    assert {r["t"].second for r in times} == {0, 1, 2, 3} and {r["d"].isoformat() for r in times} == {"2024-02-28", "2024-02-29", "2024-03-01"}
     assert parse_spec(["a", {"name": "b", "type": "city"}]) == [{"name": "a", "type": "text"}, {"name": "b", "type": "city"}]
 
 
@@ -201,7 +208,7 @@ def test_streams_take_each_file_once_and_resume(spark, tmp_path):
     routed = spark.read.parquet(f"{base}/routed")
     assert {(r["id"], r["v"]): str(r["is_valid"]).lower() for r in routed.collect()} == {
         (1, 1.0): "true", (2, -1.0): "false", (2, 5.0): "true", (3, None): "false"}
-    assert tuples(latest_version(spark, f"{base}/table")) == [(1, 1.0), (2, 5.0), (3, None)]
+    assert tuples(kept_table(spark, f"{base}/table")) == [(1, 1.0), (2, 5.0), (3, None)]
     assert spark.read.parquet(f"{base}/out").filter(F.col("event_file_name").endswith(".parquet")).count() == 4
 
 
@@ -243,9 +250,79 @@ def test_kept_tables_touch_their_buckets_only(spark, tmp_path):
     for batch_id, rows in enumerate([[(i, 0.0) for i in range(40)], [(3, 1.0)], [(3, 2.0)], [(3, 3.0), (50, 3.0)]]):
         for _ in range(2):  # a batch may come again
             handle(spark.createDataFrame(rows, "id int, v double"), batch_id)
-    assert tuples(latest_version(spark, f"{base}/t")) == sorted(((i, 3.0 if i in (3, 50) else 0.0) for i in [*range(40), 50]), key=str)
-    folders = {p.parent.name: sorted(x.name for x in p.parent.glob("__bucket=*")) for p in tmp_path.glob("t/version=*/__bucket=*")}
-    assert len(folders["version=2"]) == 1 and "version=1" not in folders and len(folders["version=0"]) >= 6
+    assert tuples(kept_table(spark, f"{base}/t")) == sorted(((i, 3.0 if i in (3, 50) else 0.0) for i in [*range(40), 50]), key=str)
+    files = {p.parent.name: set() for p in tmp_path.glob("t/__bucket=*/*.parquet")}
+    assert len(files) >= 6 and sorted(p.name.partition("=")[0] for p in tmp_path.glob("t/[!_.]*")) == []
+
+    def listed():
+        return {p for p in tmp_path.glob("t/__bucket=*/*.parquet")}
+
+    before = listed()
+    handle(spark.createDataFrame([(7, 9.0)], "id int, v double"), 4)
+    assert len({p.parent for p in before ^ listed()}) == 1
+    gone = maintain(f"{base}/t", lambda table, batch: table.join(batch, "id", "left_anti"), keys=["id"], buckets=8)
+    gone(kept_table(spark, f"{base}/t").filter("id % 2 = 0"), 5)
+    assert {r["id"] for r in kept_table(spark, f"{base}/t").collect()} == {i for i in range(40) if i % 2}
+    gone(kept_table(spark, f"{base}/t"), 6)
+    assert kept_table(spark, f"{base}/t").count() == 0 and kept_table(spark, f"{base}/t").columns == ["id", "v"]
+
+
+def test_repeats_in_a_stream(spark, tmp_path):
+    base, schema = str(tmp_path), "id int, at timestamp"
+
+    def put(*rows):
+        data = [(i, datetime.datetime(2024, 1, 1, h)) for i, h in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = drop_repeats(arriving_files(spark, f"{base}/in", schema), ["id"], "at", "2 hours").select("id", "at")
+        run_available(stream, append_to(f"{base}/out"), f"{base}/c")
+
+    put((1, 1), (1, 1), (2, 1))
+    put((1, 2), (3, 10))     # 1 came before; 10 o'clock moves the watermark to 8
+    put((4, 3), (5, 9))      # 3 o'clock is late
+    put((1, 11), (5, 9))     # 1 is forgotten, 5 is not
+    got = sorted((r["id"], r["at"].hour) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(1, 1), (1, 11), (2, 1), (3, 10), (5, 9)]
+
+
+@pytest.mark.parametrize("step", ["", "CREATE", "DROP", "RENAME", "MSCK", "UNSET"])
+@pytest.mark.parametrize("kind", ["managed", "outside"])
+def test_a_broken_exchange_leaves_the_table(spark, tmp_path, monkeypatch, kind, step):
+    name = f"swap_{kind}_{step.lower()}"
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string")
+    writer = rows.write.partitionBy("p")
+    (writer.option("path", str(tmp_path / "t")) if kind == "outside" else writer).saveAsTable(name)
+    plain, calls = type(spark).sql, []
+
+    def failing(session, statement, *args, **kw):
+        if step and step in statement and not calls:
+            calls.append(statement)
+            raise RuntimeError("broken")
+        return plain(session, statement, *args, **kw)
+
+    monkeypatch.setattr(type(spark), "sql", failing)
+    wider = spark.createDataFrame([(2.5, "c")], "v double, p string")
+    old, new = [(1, "a"), (2, "b")], [(1.0, "a"), (2.0, "b"), (2.5, "c")]
+    if step in ("CREATE", "DROP"):
+        with pytest.raises(RuntimeError):
+            write_table(wider, name, schema_drift=True)
+    else:
+        write_table(wider, name, schema_drift=True)
+    monkeypatch.undo()
+    got = tuples(spark.table(name).select("v", "p"))
+    assert got == (old if step in ("CREATE", "DROP") else new)
+    write_table(wider, name, schema_drift=True)  # goes on as if nothing had been
+    assert spark.table(name).count() == len(got) + 1 and dict(spark.table(name).dtypes)["v"] == "double"
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(name + "__")]
+    spark.sql(f"drop table {name}")
+
+
+def test_an_exchange_cut_off_between_drop_and_rename_is_settled(spark):
+    spark.createDataFrame([(1.0,)], "v double").write.saveAsTable("cut_off__wide")
+    settle(spark, "cut_off")
+    write_table(spark.createDataFrame([(2.0,)], "v double"), "cut_off")
+    assert tuples(spark.table("cut_off")) == [(1.0,), (2.0,)]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("cut_off__")]
+    spark.sql("drop table cut_off")
 
 
 def test_rfc_4180(spark, tmp_path):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablewright import (anti_join, count_by, deduplicate, groupby, head, histogram, histogram_quantiles, join, lookup, metric,
                          partition_by, profile, require_schema, schema_check, sort, top_groups, upsert, with_position)
+from tablewright import merge_sketches, sketched_counts, unique_sketch
 from tablewright.operators import joins, ordering
 from tablewright.operators.text_columns import map_text
 
@@ -284,3 +285,29 @@ def test_a_hot_value_is_written_as_several_files(spark, touchy_skew, tmp_path):
     assert back.count() == 40_000
     files = back.select("part", F.input_file_name().alias("f")).distinct().groupBy("part").count().collect()
     assert {r["part"]: r["count"] for r in files}[1] > 3
+
+
+def test_sketches_merge(spark):
+    df = spark.range(50_000).select((F.col("id") % 9000).alias("v"), (F.col("id") % 7).alias("day"), F.lit(None).cast("double").alias("x"))
+    near = metric(df, "v", "approx_n_unique").first()[0]
+    assert abs(near - 9000) < 0.02 * 9000
+    parts = unique_sketch(df, "v", ["day"])
+    assert parts.count() == 7
+    whole = sketched_counts(merge_sketches(parts)).first()[0]
+    assert abs(whole - near) < 0.005 * 9000
+    assert metric(df, "x", "approx_n_unique").first()[0] == metric(df, "x", "n_unique").first()[0] == 1
+
+
+def test_profile_moves_no_texts_but_candidates(spark):
+    df = spark.range(20_000).select(F.concat(F.lit("text "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("t"), F.lit("one").alias("c"))
+    rows = {r["column"]: r for r in profile(df).collect()}
+    assert rows["t"]["uniques"] == 20_000 and rows["t"]["samples"] == [f"text {i:06d}" for i in range(5)]
+    assert rows["c"]["uniques"] == 1 and rows["c"]["samples"] == ["one"]
+
+
+def test_plain_joins_without_hot_keys(spark, shuffled_joins):
+    left, right = spark.range(100).toDF("k"), spark.range(0, 200, 2).select(F.col("id").alias("j"), F.col("id").alias("w"))
+    for how in ("left", "outer"):
+        plan = plan_of(join(left, right, "k", "j", how))
+        assert "Generate" not in plan and "BroadcastHashJoin" not in plan
+    assert join(left, right, "k", "j", "outer").count() == 150

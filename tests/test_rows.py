@@ -234,3 +234,21 @@ def test_typed_filters_reach_the_scan(spark, tmp_path):
         assert out.count() == (1 if exact else filter_rows(text, op, value, column=column).count()), (column, op, value)
         pushed = plan_of(out).split("PushedFilters: [")[1].split("]")[0] if "PushedFilters" in plan_of(out) else "constant"
         assert pushed or value in ("01", "1.5", "99999999999"), (column, op, value)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_times_reach_the_scan(spark, tmp_path, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(0, 200).select(F.timestamp_seconds(F.lit(1698447600) + F.col("id") * 1800).alias("t"))
+        df.write.parquet(str(tmp_path / "t"))
+        back = spark.read.parquet(str(tmp_path / "t"))
+        texts = [r[0] for r in back.select(F.col("t").cast("string")).collect()]
+        for value in ("2023-10-29", "2023-10-29 02:30:00", "2023-10-30 00:00:00"):
+            for op, hit in (("gt", lambda a, b: a > b), ("gte", lambda a, b: a >= b), ("lt", lambda a, b: a < b), ("lte", lambda a, b: a <= b)):
+                found = filter_rows(back, op, value, column="t")
+                assert sorted(r[0] for r in found.select(F.col("t").cast("string")).collect()) == sorted(x for x in texts if hit(x, value))
+                assert "PushedFilters: [IsNotNull(t), " in plan_of(found) or "PushedFilters: [Or(" in plan_of(found)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
