@@ -5,14 +5,20 @@ learned transitions tie neighbouring words, so that text in several languages is
 by word. Forward-backward gives the probability of each language at each word; a text's
 language is the one with the largest share of its words.
 
-Learning takes a bounded sample: at most about ``DOCS_PER_LANGUAGE`` texts of each language
-(drawn by a hash of doc_id) and a stretch of ``SAMPLE_CHARS`` characters of each, at a drawn
-place. Every text is predicted from all its words. A table's distinct languages are its label
-set and are listed on the driver.
+A chain only says which of its languages is likeliest. How well a text fits the language found is
+told apart from that, by evidence that is not normalised: ``familiar`` is the share of the
+text's letter trigrams, word edges included, that the training texts of that language hold more
+than once. Text of a language not learned, or of no language, has few of them.
+
+Learning takes a bounded sample of whole texts, drawn by a hash of the row: about ``DOCS_PER_LANGUAGE``
+distinct texts of each language, fewer if they come to more than ``CHARS_PER_LANGUAGE`` characters.
+Every text is predicted from all its words. A table's distinct languages are its label
+set; more than ``MOST_LANGUAGES`` are an error.
 
 Null text, and text without a letter: ``und``, score 0. Null lang or doc_id: not learned from,
 but predicted. With nothing to learn from every text is ``und``. Ties go to the language that
-comes first in code point order. Repeated rows get equal results.
+comes first in code point order. Repeated rows get equal results, and equal texts are learned from once.
+Columns of the input named like a new one are replaced.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import add_columns, held_out, in_training
+from tablewright.llm.common import add_columns, gather, held_out, in_training
 
 DOCS_PER_LANGUAGE = 500
-SAMPLE_CHARS = 3000
+CHARS_PER_LANGUAGE = 4_000_000
+MOST_LANGUAGES = 200
 BUCKETS = 1 << 16
+#: Places for the trigrams of a language, as a power of two.
+TRIGRAM_BITS = 20
 #: Words of one language that stand together in a training sequence; two such runs make one.
 RUN = 12
 EPOCHS = 4
 SEED = 17
-#: Characters of a word whose n-grams are learned from; prediction uses all.
-LONGEST = 40
 #: Words a task remembers before it starts anew.
 WORDS_KEPT = 100_000
 SEGMENT = 128
@@ -51,11 +58,12 @@ def mixed(h: np.ndarray, kind: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def word_features(words: list[str], blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: list[str], blank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of lower-case words, the lexicon left out; where there is none, ``blank``.
 
     One row for each word (whole word, prefixes, suffixes), two for each of its characters and
-    edges (bigram and trigram that begin there), and where each word's characters begin.
+    edges (bigram and trigram that begin there), where each word's characters begin, and the
+    place of each trigram among those of a language, -1 where none begins.
     """
     sizes = np.array([len(w) for w in words]) + 2
     starts = np.cumsum(sizes) - sizes
@@ -74,7 +82,8 @@ def word_features(words: list[str], blank: int) -> tuple[np.ndarray, np.ndarray,
             for i in range(n):
                 h = h * place + ahead[np.maximum(at, 0) + i]
             each.append(np.where(sizes - 2 >= n, mixed(h, kind), blank))
-    return np.stack(each, 1), grams, starts
+    places = ((triple * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64)
+    return np.stack(each, 1), grams, starts, np.where(left > 2, places, -1)
 
 
 class Chain:
@@ -85,17 +94,19 @@ class Chain:
         self.blank = BUCKETS + len(langs)
         self.weights = np.zeros((self.blank + 1, len(langs)), np.float32)  # the last row stays 0
         self.moves = np.zeros((len(langs), len(langs)))
+        self.trigrams = np.zeros(((1 << TRIGRAM_BITS) + 1, len(langs)), bool)  # the last row stays false
 
     def listed(self, words: list[str]) -> np.ndarray:
         """The lexicon feature of each word."""
         return np.array([BUCKETS + self.lexicon[w] if w in self.lexicon else self.blank for w in words])
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        each, grams, starts = word_features(words, self.blank)
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each word in each language, and how many of its trigrams the language has."""
+        each, grams, starts, places = word_features(words, self.blank)
         total = self.weights[each].sum(1) + self.weights[self.listed(words)]
         for ids in grams:
             total += np.add.reduceat(self.weights[ids], starts)
-        return total * shrink(words)[:, None]
+        return total * shrink(words)[:, None], np.add.reduceat(self.trigrams[places].astype(np.int32), starts)
 
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each label at each word of a run of texts; ``first`` marks where a text begins.
@@ -169,20 +180,29 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
             counts.setdefault(w, np.zeros(k))[y] += 1
     chain.lexicon = {w: int(c.argmax()) for w, c in counts.items() if c.sum() >= 5 and c.max() >= 0.9 * c.sum()}
     place = {w: i for i, w in enumerate(counts)}
-    runs = [([place[w] for w in words[i : i + RUN]], y) for words, y in zip(each, labels, strict=True) for i in range(0, len(words) - RUN + 1, RUN)]
-    if not runs:  # only texts shorter than a run: they are repeated to its length
-        runs = [([place[w] for w in (words * RUN)[:RUN]], y) for words, y in zip(each, labels, strict=True) if words]
+    runs = []
+    for words, y in zip(each, labels, strict=True):
+        if words:
+            words = [place[w] for w in (words if len(words) >= RUN else (words * RUN)[:RUN])]  # a short text is repeated to a run's length
+            ends = [*range(RUN, len(words) + 1, RUN)]
+            runs += [(words[z - RUN : z], y) for z in (ends if ends[-1] == len(words) else [*ends, len(words)])]
     if not runs:
         return chain
     blank, vocabulary = chain.blank, list(counts)
-    each_word, grams, starts = word_features(vocabulary, blank)
-    longest = max(map(len, vocabulary)) + 2
-    table = np.full((len(vocabulary), 2 * min(longest, LONGEST)), blank, np.int64)
-    for i, (a, z) in enumerate(zip(starts, np.r_[starts[1:], grams.shape[1]], strict=True)):
-        got = grams[:, a : min(z, a + LONGEST)].ravel()
-        table[i, : len(got)] = got
-    table = np.c_[each_word, chain.listed(vocabulary), table]
-    width, small = table.shape[1], shrink(vocabulary)
+    each_word, grams, starts, places = word_features(vocabulary, blank)
+    lengths = np.diff(np.r_[starts, grams.shape[1]])
+    times = np.stack(list(counts.values()))
+    for y in range(k):
+        chain.trigrams[:-1, y] = np.bincount(places[places >= 0], np.repeat(times[:, y], lengths)[places >= 0], minlength=1 << TRIGRAM_BITS) > 1
+    # the features of each word one after the other: of the whole, then of each place
+    fixed = np.c_[each_word, chain.listed(vocabulary)]
+    sizes = fixed.shape[1] + 2 * lengths
+    begins = np.cumsum(sizes) - sizes
+    features = np.empty(int(sizes.sum()), np.int64)
+    features[(begins[:, None] + np.arange(fixed.shape[1])).ravel()] = fixed.ravel()
+    inner = np.repeat(begins + fixed.shape[1] - 2 * (np.cumsum(lengths) - lengths), 2 * lengths) + np.arange(grams.size)
+    features[inner] = grams.T.ravel()
+    small = shrink(vocabulary)
     ids, ys = np.array([r[0] for r in runs]), np.array([r[1] for r in runs])
     weights, seen = np.zeros((blank + 1, k)), np.full((blank + 1, k), 1e-6)
     moves, moved = np.zeros((k, k)), np.full((k, k), 1e-6)
@@ -193,7 +213,8 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
             words = ids[batch].reshape(len(batch), -1)
             gold = np.repeat(ys[batch], RUN, axis=1)
             m, n = words.shape
-            score = weights[table[words]].sum(2) * small[words][..., None]
+            flat, count = gather(features, begins[words.ravel()], sizes[words.ravel()]), sizes[words.ravel()]
+            score = np.add.reduceat(weights[flat], np.cumsum(count) - count).reshape(m, n, k) * small[words][..., None]
             e, step = np.exp(score - score.max(-1, keepdims=True)), np.exp(moves)
             alpha, beta = np.empty((n, m, k)), np.empty((n, m, k))
             alpha[0] = e[:, 0] / e[:, 0].sum(-1, keepdims=True)
@@ -211,7 +232,7 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
             p = (alpha * beta).transpose(1, 0, 2)
             p /= p.sum(-1, keepdims=True)
             gap = (p - np.eye(k)[gold]) * small[words][..., None] / m
-            flat, each_gap = table[words].ravel(), np.repeat(gap.reshape(-1, k), width, axis=0)
+            each_gap = np.repeat(gap.reshape(-1, k), count, axis=0)
             grad = np.stack([np.bincount(flat, each_gap[:, c], minlength=blank + 1) for c in range(k)], 1) + 1e-7 * weights
             grad[blank] = 0
             seen += grad**2
@@ -227,22 +248,25 @@ def train(texts: list[str], labels: list[int], langs: list[str]) -> Chain:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Chain | None:
     """Learn from the training rows of ``df``; None where there are none."""
     rows = df.filter(in_training(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not sizes:
+    found = rows.groupBy(lang).agg(F.count(F.lit(1)), F.sum(F.length(F.col(text)))).limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; '{lang}' is no column of languages")
+    if not found:
         return None
-    langs = sorted(sizes)
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit(SEED)), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col(lang) == x, F.lit(int(min(1, DOCS_PER_LANGUAGE / sizes[x]) * (1 << 30)))) for x in langs])
-    start = 1 + F.pmod(F.xxhash64(F.col(doc_id), F.lit(SEED + 1)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1)
-    sample = rows.filter(draw < share).select(F.col(lang).alias("y"), F.substring(F.col(text), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("x"))
+    shares = {r[0]: min(1.0, DOCS_PER_LANGUAGE / r[1], CHARS_PER_LANGUAGE / max(1, r[2])) for r in found}
+    langs = sorted(shares)
+    draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(SEED)), F.lit(1 << 30))
+    share = F.coalesce(*[F.when(F.col(lang) == x, F.lit(int(shares[x] * (1 << 30)))) for x in langs])
+    # copies of a text are drawn all or none, and count once
+    sample = rows.filter(draw < share).select(F.col(lang).alias("y"), F.col(text).alias("x")).distinct()
     pairs = sorted((r.x, r.y) for r in sample.collect())
     return train([x for x, _ in pairs], [langs.index(y) for _, y in pairs], langs)
 
 
 def predict(df: DataFrame, chain: Chain | None, text: str = "text", spans: bool = False) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``; with ``spans`` the runs of words of one language too."""
+    """``df`` with ``lang_pred``, ``score`` and ``familiar``; with ``spans`` the runs of words of one language too."""
     held = df.sparkSession.sparkContext.broadcast(chain)
-    fields = "lang_pred string, score double" + ", lang_spans array<struct<first:int,last:int,lang:string>>" * spans
+    fields = "lang_pred string, score double, familiar double" + ", lang_spans array<struct<first:int,last:int,lang:string>>" * spans
 
     def factory():
         model = held.value
@@ -255,7 +279,7 @@ def predict(df: DataFrame, chain: Chain | None, text: str = "text", spans: bool
             sizes = np.array([len(x) for x in each])
             n = int(sizes.sum())
             if model is None or not n:
-                blank = [pa.array(["und"] * len(each)), pa.array([0.0] * len(each))]
+                blank = [pa.array(["und"] * len(each)), pa.array([0.0] * len(each)), pa.array([0.0] * len(each))]
                 return blank + [pa.array([[]] * len(each), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())])))] * spans
             if len(known) > WORDS_KEPT:
                 known.clear()
@@ -263,7 +287,8 @@ def predict(df: DataFrame, chain: Chain | None, text: str = "text", spans: bool
             new = [w for w in dict.fromkeys(words) if w not in known]
             if new:
                 letter = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in new])
-                added = np.c_[model.scores(new) * letter[:, None], letter]
+                score, familiar = model.scores(new)
+                added = np.c_[score * letter[:, None], letter, familiar * letter[:, None], letter * [len(w) for w in new]]
                 rows = np.r_[rows[: len(known)], added] if known else added
                 known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             found = rows[np.fromiter(map(known.__getitem__, words), np.int64, n)]
@@ -271,15 +296,16 @@ def predict(df: DataFrame, chain: Chain | None, text: str = "text", spans: bool
             at = (np.cumsum(sizes) - sizes)[filled]
             first = np.zeros(n, bool)
             first[at] = True
-            chance = model.marginals(found[:, :-1], first)
-            total = np.add.reduceat(chance * found[:, -1:], at)
-            count = np.add.reduceat(found[:, -1], at)
-            langs, scores = ["und"] * len(each), [0.0] * len(each)
+            k = len(model.langs)
+            chance = model.marginals(found[:, :k], first)
+            total = np.add.reduceat(chance * found[:, k : k + 1], at)
+            count = np.add.reduceat(found[:, k:], at)
+            langs, scores, fits = ["und"] * len(each), [0.0] * len(each), [0.0] * len(each)
             for i, sums, c in zip(filled.tolist(), total, count, strict=True):
-                if c:
+                if c[0]:
                     best = int(sums.argmax())
-                    langs[i], scores[i] = model.langs[best], float(min(1.0, sums[best] / c))
-            out = [pa.array(langs), pa.array(scores)]
+                    langs[i], scores[i], fits[i] = model.langs[best], float(min(1.0, sums[best] / c[0])), float(c[1 + best] / c[-1])
+            out = [pa.array(langs), pa.array(scores), pa.array(fits)]
             if spans:
                 best, ends = chance.argmax(1), np.cumsum(sizes)
                 runs = []

@@ -33,6 +33,8 @@ WEIGHTS = (3, 1, 2)
 MOST_BLOCK = 1024
 SHARD_WORDS = 4_000_000
 LEAST_SHARDS = 64
+#: Words of a source's shard where documents stay whole.
+OWN_SHARD_WORDS = 1_000_000
 SEED = "mix-7"
 
 
@@ -66,8 +68,8 @@ def apportion(df: DataFrame, group: list[str], key: str, weight: str, seats: str
     return placed.join(won, same, "left").select(*df.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias(out))
 
 
-def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
-    """One row for each source: source, source_size, target, block, shards and its blocks."""
+def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, own_shards: bool = False) -> DataFrame:
+    """One row for each source: source, source_size, target, block, shards (``own_shards``: by the source's words) and its blocks."""
     each = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     each = each.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int")))
@@ -81,18 +83,20 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     each = each.withColumn("target", F.least(F.col("level") * F.col("weight"), (most * F.col("source_size")).cast("double")))
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
     each = each.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCK), F.coalesce(F.floor(least / 2000), F.lit(1)))))
-    each = each.withColumn("shards", F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("total") / SHARD_WORDS)))
+    own = F.greatest(F.lit(1), F.ceil(F.col("source_size") / OWN_SHARD_WORDS))
+    each = each.withColumn("shards", own if own_shards else F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("total") / SHARD_WORDS)))
     each = each.withColumn("all_blocks", F.floor(share * F.col("total") / F.col("block") + 0.5))
     each = apportion(each, [], "source", "target", "all_blocks", "blocks")
     return each.select("source", "source_size", "target", "block", "shards", "blocks")
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text", keep: list[str] | None = None, one_run: bool = False) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text", keep: list[str] | None = None, from_first: bool = False) -> DataFrame:
     """``docs`` (``keep``: only these columns, their sizes being counted in one pass) with size, source_size, target and taken.
 
     ``docs`` needs doc_id, source and the text column; new columns replace those of the same name.
-    ``one_run``: a source's shards follow one another, and all its blocks are one run from the first
-    document on, round and round. One document of a source is cut at most, and what is taken of it is its head.
+    ``from_first``: a shard's quota begins with the first document of its seeded order, and shards are as many as the
+    source's own words ask for, one for a small source. One document of a shard is cut at most, where the quota ends, and
+    what is taken of it is its head.
     """
     new = {"size", "source_size", "target", "taken"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new and c not in ("doc_id", "source")]
@@ -106,30 +110,24 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, text: str = "text",
     else:
         sized = cut_lineage(docs.select("doc_id", "source", size))
     narrow = sized.select("doc_id", "source", "size")
-    by_source = cut_lineage(targets(narrow, share, most))
+    by_source = cut_lineage(targets(narrow, share, most, from_first))
     drawn = seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = sized.join(by_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("_draw", drawn).withColumn("_shard", F.pmod(number(F.col("_draw")), "shards"))
     cells = rows.groupBy("source", "_shard", "block", "blocks").agg(F.sum("size").alias("_words"))
-    if one_run:
-        source = Window.partitionBy("source").orderBy("_shard")
-        quotas = cells.withColumn("_before", F.sum("_words").over(source) - F.col("_words"))
-        quotas = quotas.withColumn("_words", F.sum("_words").over(Window.partitionBy("source"))).withColumn("_first", F.lit(0))
-        quotas = quotas.withColumn("_take", F.least(F.col("blocks") * F.col("block"), most * F.col("_words")))
-    else:
-        quotas = apportion(cells, ["source", "blocks"], "_shard", "_words", "blocks", "_quota")
-        quotas = quotas.withColumn("_take", F.least(F.col("_quota") * F.col("block"), most * F.col("_words")))
-        first = F.pmod(number(seeded(F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), F.greatest("_words", F.lit(1)))
-        quotas = quotas.withColumn("_first", F.floor(first / F.col("block")) * F.col("block")).withColumn("_before", F.lit(0))
-    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_of"), "_words", "_take", "_first", "_before")
+    quotas = apportion(cells, ["source", "blocks"], "_shard", "_words", "blocks", "_quota")
+    quotas = quotas.withColumn("_take", F.least(F.col("_quota") * F.col("block"), most * F.col("_words")))
+    first = F.pmod(number(seeded(F.coalesce("source", F.lit("")), F.col("_shard").cast("string"))), F.greatest("_words", F.lit(1)))
+    quotas = quotas.withColumn("_first", F.lit(0) if from_first else F.floor(first / F.col("block")) * F.col("block"))
+    quotas = quotas.select(F.col("source").alias("_source"), F.col("_shard").alias("_of"), "_words", "_take", "_first")
     order = Window.partitionBy("source", "_shard").orderBy("_draw", "doc_id", "size", *(["_place"] if kept else []))
     placed = rows.withColumn("_begin", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_of")))
 
     def passed(place: Column) -> Column:
-        """Words of the document among the first ``place`` words of the shard (``one_run``: of the source), repeated without end."""
+        """Words of the document among the first ``place`` words of the shard, repeated without end."""
         rounds = F.floor(F.try_divide(place, F.col("_words")))
-        inside = place - rounds * F.col("_words") - F.col("_before") - F.col("_begin")
+        inside = place - rounds * F.col("_words") - F.col("_begin")
         return rounds * F.col("size") + F.greatest(F.lit(0), F.least(inside, F.col("size")))
 
     taken = F.when(F.col("_words") > 0, passed(F.col("_first") + F.col("_take")) - passed(F.col("_first"))).otherwise(0)

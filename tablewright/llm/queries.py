@@ -46,7 +46,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language")
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text, learned from the rows that are not held out."""
-    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "familiar")
 
 
 @query("op10_quality")

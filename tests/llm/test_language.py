@@ -63,6 +63,38 @@ def test_edges_and_switching(spark):
     assert 0.3 < got[5].score < 0.8
 
 
+def test_whole_texts_are_learned_from(spark, monkeypatch):
+    """What stands late in a long text, and in a long word, counts."""
+    from tablewright.llm import language
+    rows = [(i, "alpha beta " * 3000 + "zzqqxx", "a") for i in range(1, 30)] + [(i, "gamma delta " * 20 + "w" * 300 + "kkjjvv", "b") for i in range(30, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chain = fit(df)
+    got = {r.text: r for r in predict(spark.createDataFrame([("zzqqxx",), ("w" * 300 + "kkjjvv",), ("nobody knows",)], "text string"), chain).collect()}
+    assert got["zzqqxx"].lang_pred == "a" and got["w" * 300 + "kkjjvv"].lang_pred == "b"
+    assert got["w" * 300 + "kkjjvv"].familiar > 0.9
+    assert got["nobody knows"].familiar < 0.3
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    try:
+        fit(df)
+        raise AssertionError
+    except ValueError as error:
+        assert "languages" in str(error)
+
+
+def test_learning_like_a_plain_fit():
+    """The gradient steps of the batched training against sums written out word by word."""
+    from tablewright.llm import language
+
+    texts, labels = ["ab ba ab abb " * 5, "xy yx xyy xy " * 5, "ab abb ba b " * 5], [0, 1, 0]
+    chain = language.train(texts, labels, ["a", "b"])
+    for word, y in (("ab", 0), ("abb", 0), ("xy", 1), ("xyy", 1)):
+        score, familiar = chain.scores([word])
+        assert score[0].argmax() == y and familiar[0][y] == len(word) and familiar[0][1 - y] == 0
+        each, grams, _, _ = language.word_features([word], chain.blank)
+        ids = [*each[0], chain.listed([word])[0], *grams.ravel()]
+        assert np.allclose(score[0], sum(chain.weights[i] for i in ids))
+
+
 def test_nothing_to_learn(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     assert identify(spark.createDataFrame([], schema)).collect() == []

@@ -7,6 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablewright.llm import ORACLE, QUERIES
+from pyspark.sql import functions as F
+
+from tablewright.llm import mixing
 from tablewright.llm.mixing import apportion, mix
 
 SCHEMA = "doc_id long, text string, source string, taken string, lang string"
@@ -98,3 +101,34 @@ def test_apportionment_like_the_definition(spark, weights, seats):
     for _ in range(seats):
         have[max(range(len(weights)), key=lambda i: (weights[i] / (2 * have[i] + 1), -i))] += 1
     assert [got[i] for i in range(len(weights))] == have
+
+
+def test_whole_documents_by_quotas_of_shards(spark, monkeypatch):
+    """From the first document on: each shard takes its Sainte-Laguë quota of blocks, round and round, and cuts one document at most."""
+    import hashlib
+
+    monkeypatch.setattr(mixing, "OWN_SHARD_WORDS", 300)
+    docs = [(i, "w " * (1 + i * 7 % 40), f"s{i % 4}") for i in range(260)]
+    df = spark.createDataFrame([(*d, "x", "en") for d in docs], SCHEMA)
+    plan = {r.source: r for r in mixing.targets(df.select("source", F.regexp_count("text", F.lit(mixing.WORD)).cast("long").alias("size")), own_shards=True).collect()}
+    got = {r.doc_id: r.taken for r in mix(df, from_first=True).collect()}
+    size = {d: len(t.split()) for d, t, _ in docs}
+    for source, p in plan.items():
+        assert p.shards == max(1, -(-p.source_size // 300)) > 1
+        shards = {}
+        for d in size:
+            if f"s{d % 4}" == source:
+                draw = hashlib.md5(f"mix-7|{d}".encode()).hexdigest()
+                shards.setdefault(int(draw[:15], 16) % p.shards, []).append((draw, d))
+        words = {k: sum(size[d] for _, d in v) for k, v in shards.items()}
+        quotas = dict.fromkeys(words, 0)
+        for _ in range(p.blocks):
+            best = max(sorted(words), key=lambda k: words[k] / (2 * quotas[k] + 1))
+            quotas[best] += 1
+        for k, each in shards.items():
+            left = min(quotas[k] * p.block, 2 * words[k])
+            want = dict.fromkeys((d for _, d in each), 0)
+            for _, d in sorted(each) * 2:
+                want[d] += min(left, size[d])
+                left -= min(left, size[d])
+            assert {d: got[d] for d in want} == want and sum(n % size[d] > 0 for d, n in want.items()) <= 1
