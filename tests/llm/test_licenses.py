@@ -49,6 +49,28 @@ def test_containment():
     assert resolve(found, 10) == [(3, 0, 6, "a"), (1, 0, 9, "d"), (2, 4, 8, "c")]
 
 
+def test_containment_like_comparing_all():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        found = [(rnd.randint(1, 3), a := rnd.randint(0, 30), a + rnd.randint(1, 9), rnd.choice("ab")) for _ in range(rnd.randint(0, 40))]
+        kept = []
+        for d in sorted(set(found), key=lambda d: (-d[0], d[1] - d[2], d[1], d[3])):
+            if not any(k[1] <= d[1] and k[2] >= d[2] for k in kept):
+                kept.append(d)
+        assert resolve(found, 40) == sorted(kept, key=lambda d: (d[1], d[2], d[3]))
+
+
+def test_many_detections_in_one_text():
+    import time
+
+    began = time.process_time()
+    places, labels, found = scan_text(b"released under the mit license. " * 200_000)
+    assert len(places) == 200_000 and labels == {"mit"} and len(found) >= 200_000
+    assert time.process_time() - began < 60
+
+
 def test_empty_and_query(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     folder = "/root/testdata/sf0.001"
