@@ -12,7 +12,8 @@ bits, each term rounded to a millionth, so no result hangs on the order of addit
 
 Only DataFrame functions are used; rows are independent, nothing is shuffled. Null text: read
 as empty, no spans. Texts are scanned whole; positions count code points from 0, the end is
-exclusive. Repeated rows get equal results, an empty table gives an empty one.
+exclusive. Repeated rows get equal results, an empty table gives an empty one. Columns of the input
+named base_spans or spans are replaced, any others may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.llm.common import fresh
+
 
 def either_case(pattern: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in pattern)
@@ -52,20 +55,41 @@ def most_repeats(kind: str) -> int:
     return bits(width) - round(width * least * 1_000_000)
 
 
+#: Matches whose places are added up in one go.
+TOGETHER = 128
+
+
 def places(text: Column, pattern: str) -> Column:
-    """Matches of a pattern in order, as structs of start, end and the matched text."""
+    """Matches of a pattern in order, as structs of start, end and the matched text.
+
+    A match begins where the lengths of all gaps and matches before it end. They are added up in
+    groups of ``TOGETHER``, and the groups' sums on their own, so a text of many matches takes few steps for each.
+    """
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     span = "struct<start:bigint,end:bigint,found:string>"
-    walked = F.aggregate(
-        F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["g"])).cast("long").alias("start"),
-                                                (s["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
-                                                x["m"].alias("found")))).alias("out")),
-        lambda s: s["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{span}>"))
+    none = F.array().cast(f"array<{span}>")
+
+    def walk(group: Column) -> Column:
+        """Where a group ends, counted from its start, and its matches."""
+        return F.aggregate(
+            group, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
+            lambda s, x: F.struct(
+                (s["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
+                F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["g"])).cast("long").alias("start"),
+                                                    (s["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
+                                                    x["m"].alias("found")))).alias("out")))
+
+    both = F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / TOGETHER).cast("int")), lambda i: walk(F.slice(both, i * TOGETHER + 1, TOGETHER)))
+    empty = F.struct(F.array(F.lit(0).cast("long")).alias("starts"))
+    starts = F.aggregate(groups, empty, lambda s, g: F.struct(F.concat(s["starts"], F.array(F.element_at(s["starts"], -1) + g["at"])).alias("starts")), lambda s: s["starts"])
+
+    def moved(group: Column, at: Column) -> Column:
+        return F.transform(group["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["found"].alias("found")))
+
+    walked = F.when(F.size(groups) == 1, F.element_at(groups, 1)["out"]).otherwise(
+        F.flatten(F.zip_with(groups, F.slice(starts, 1, F.size(groups)), moved)))
+    return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
 def entropic(found: Column, kind: str) -> Column:
@@ -121,12 +145,13 @@ def scan_secrets(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     """``keep`` (all columns by default) with base_spans and spans: arrays of start, rank, end and kind, sorted."""
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("base_spans", "spans")]
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(*kept, whole.alias("_text"))
-    rows = rows.withColumn("_assign", places(F.col("_text"), ASSIGN)).withColumn("_access", places(F.col("_text"), ACCESS))
-    rows = rows.withColumn("_hex", places(F.col("_text"), HEX)).withColumn("_runs", places(F.col("_text"), CANDIDATE))
-    assign = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["found"], f"^{ASSIGN}$", 2)) >= ASSIGN_LEAST)
-    rows = rows.withColumn("base_spans", F.array_sort(F.concat(as_spans(assign, "assign"), as_spans(F.col("_access"), "access"), as_spans(F.col("_hex"), "hex"))))
-    more = F.concat(entropy_spans(F.col("_runs"), "hex"), entropy_spans(F.col("_runs"), "base64"))
+    own = {name: fresh(df, f"_{name}") for name in ("text", "assign", "access", "hex", "runs")}
+    rows = df.select(*kept, whole.alias(own["text"]))
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", CANDIDATE)):
+        rows = rows.withColumn(own[name], places(F.col(own["text"]), pattern))
+    assign = F.filter(own["assign"], lambda x: F.length(F.regexp_extract(x["found"], f"^{ASSIGN}$", 2)) >= ASSIGN_LEAST)
+    rows = rows.withColumn("base_spans", F.array_sort(F.concat(as_spans(assign, "assign"), as_spans(F.col(own["access"]), "access"), as_spans(F.col(own["hex"]), "hex"))))
+    more = F.concat(entropy_spans(F.col(own["runs"]), "hex"), entropy_spans(F.col(own["runs"]), "base64"))
     new = F.filter(more, lambda x: ~F.exists("base_spans", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
     return rows.withColumn("spans", F.array_sort(F.concat("base_spans", new))).select(*kept, "base_spans", "spans")
 

@@ -54,6 +54,19 @@ def test_like_brute_force(spark):
     assert digest(scan_secrets(df.limit(0))).collect() == []
 
 
+def test_many_matches_and_names_that_clash(spark):
+    import time
+
+    text = "".join(f"token={i:08d} " for i in range(20_000))
+    df = spark.createDataFrame([(1, text, "a", "b", "c", "d", "e"), (2, "x", "a", "b", "c", "d", "e")], "doc_id long, text string, _text string, _assign string, _access string, _hex string, _Runs string")
+    began = time.time()
+    rows = {r.doc_id: r for r in scan_secrets(df).collect()}
+    assert time.time() - began < 60
+    spans = rows[1].base_spans
+    assert [(s.start, s.end) for s in spans] == [(15 * i, 15 * i + 14) for i in range(20_000)]
+    assert rows[1]._text == "a" and rows[2].spans == [] and rows[2]._Runs == "e"
+
+
 def test_whole_table_and_sql(spark):
     folder = "/root/testdata/sf0.001"
     db = duckdb.connect()
