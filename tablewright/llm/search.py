@@ -12,7 +12,7 @@ the nearest to the query is then the one with the largest product.
 Vectors are dealt into blocks of about ``BLOCK`` by a hash, queries into blocks of ``QUERIES``,
 and every two blocks meet in a task of their own; the k best of each task are merged by a
 ranking window over k rows of each block. Every vector is indexed. In every block at least a
-share ``VERIFIED`` of the vectors, and ``LEAST_VERIFIED``, is verified; recall at 20 is above
+share ``VERIFIED`` of the vectors, and ``LEAST_VERIFIED`` or k if that is more, is verified; recall at 20 is above
 0.9 even where vectors have no structure, which is the worst case.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part;
@@ -75,10 +75,10 @@ class Block:
         need = [np.partition(np.abs(self.projected - c), least - 1, axis=1)[:, least - 1] for c in some]
         return float(np.median([np.partition(t, wanted - 1)[wanted - 1] for t in need]))
 
-    def candidates(self, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs to verify."""
+    def candidates(self, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) pairs to verify, ``k`` and the query itself for each at least."""
         n = self.ranks.shape[1]
-        wanted = min(n, max(LEAST_VERIFIED, int(np.ceil(VERIFIED * n))))
+        wanted = min(n, max(LEAST_VERIFIED, int(np.ceil(VERIFIED * n)), k + 1))
         least = int(np.ceil(THRESHOLD * len(self.values)))
         reach = np.full(len(centre), max(self.first_reach(centre, least, wanted), 1e-9))
         left, out = np.arange(len(centre)), []
@@ -139,7 +139,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             lifted = np.c_[data, np.sqrt(np.maximum(0, 1 - (data**2).sum(1)))]
             unit = x[q].astype(np.float64)
             unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-            i, j = Block(lifted @ directions).candidates(np.c_[unit, np.zeros(len(q))] @ directions)
+            i, j = Block(lifted @ directions).candidates(np.c_[unit, np.zeros(len(q))] @ directions, k)
             i, j = q[i], v[j]
             other = row[i] != row[j]
             i, j = i[other], j[other]

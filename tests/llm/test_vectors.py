@@ -126,6 +126,16 @@ def test_search_recall(spark):
         assert all(a[0] != b[0] or (a[3], -a[2]) >= (b[3], -b[2]) for a, b in zip(best, best[1:], strict=False))
 
 
+def test_search_returns_as_many_as_asked_for(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.query_id for r in search(df, F.col("vec_id") % 1000 == 0, 1000).collect()]
+    assert sorted(got) == [0] * 1000 + [1000] * 1000 + [2000] * 1000
+
+
 def test_search_many_copies_and_lengths(spark):
     rnd = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rnd.normal(size=16).astype(np.float32) * rnd.choice([0.5, 1, 3])], 0) for i in range(2500)]
