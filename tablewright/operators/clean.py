@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -138,21 +139,22 @@ INTEGER, WIDE, NUMBER, TRUTH, TEXT = 1, 2, 4, 8, 16
 
 def _kind(c: Column) -> Column:
     """The bit of a cell: an integer, one too wide for bigint, a number, a truth value or text."""
-    whole = F.when(c.try_cast("bigint").isNotNull(), INTEGER).otherwise(WIDE)
-    return (F.when(c == "", None).when(c.rlike(CAST_TEXTS["bigint"]), whole)
+    number = c.try_cast("bigint")
+    whole = F.when(number.isNotNull(), INTEGER).otherwise(WIDE)
+    # an integer written as Spark writes it needs no pattern; a cast that fails is dear, so a point is looked for first
+    return (F.when(c == "", None).when(~c.contains(".") & (number.cast("string") == c), INTEGER).when(c.rlike(CAST_TEXTS["bigint"]), whole)
             .when(c.rlike(r"^-?\d+\.\d+$"), NUMBER).when(c.rlike(CAST_TEXTS["double"]), NUMBER)
             .when(c.rlike(CAST_TEXTS["boolean"]), TRUTH).when(c.isNotNull(), TEXT))
 
 
-#: Rows that are looked at first: a column with a text cell there is text, and is not looked at again.
+#: Rows that are looked at first, and characters of a cell: a column with a text cell there is text, and is not looked at again.
 FIRST_LOOK = 1000
+LOOKED_AT = 100
 
 
-def _kinds(df: DataFrame, names: Sequence[str]) -> dict[str, int | None]:
-    if not names:
-        return {}
-    found = df.agg(*[F.bit_or(_kind(col(n))).alias(f"k{i}") for i, n in enumerate(names)]).first()
-    return {n: found[f"k{i}"] for i, n in enumerate(names)}
+def _plain_text(cell: str | None) -> bool:
+    """Whether a cell, or the start of a long one, is no number and no truth value."""
+    return bool(cell) and len(cell) < LOOKED_AT and not re.search("|".join(CAST_TEXTS.values()).replace("(?i)", ""), cell, re.I)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -162,9 +164,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     The pass reads only the columns that the first ``FIRST_LOOK`` rows do not show to be text.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    look = df.select(*[F.left(col(n), F.lit(LOOKED_AT)) for n in names]).limit(FIRST_LOOK).collect()
+    open_yet = [n for i, n in enumerate(names) if not any(_plain_text(row[i]) for row in look)]
+    if not open_yet:
+        return df
+    found = df.agg(*[F.bit_or(_kind(col(n))).alias(f"k{i}") for i, n in enumerate(open_yet)]).first()
     targets = {INTEGER: "bigint", NUMBER: "double", INTEGER | NUMBER: "double", TRUTH: "boolean"}
-    seen = _kinds(df.limit(FIRST_LOOK), names)
-    # a mixture that no type takes stays one, whatever else comes
-    open_yet = [n for n in names if seen[n] is None or seen[n] in targets]
-    kinds = {n: targets.get(k) for n, k in _kinds(df.select(*[col(n) for n in open_yet]), open_yet).items()}
+    kinds = {n: targets.get(found[f"k{i}"]) for i, n in enumerate(open_yet)}
     return df.withColumns({n: F.when(col(n) != "", col(n)).cast(t) for n, t in kinds.items() if t})
