@@ -34,7 +34,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "flagship_mean_tax", "filter_gt", "filter_gt_text", "validate_counts", "derive_arith", "clean_all_steps", "type_cast",
     "anon_hash", "anon_mask_email", "join_inner", "join_outer", "lookup", "groupby_sum", "groupby_multi", "metric_n_unique",
-    "histogram_buckets", "latency_quantiles", "profile", "filter_gt_date", "roundtrip_csv_documents", "sort_asc", "preview_topn", "dedup_first", "dedup_all",
+    "histogram_buckets", "latency_quantiles", "profile", "filter_gt_date", "roundtrip_csv_documents", "sort_asc", "preview_topn", "first_rows_long", "dedup_first", "dedup_all",
     "merge_union_all", "pivot_sum", "pivot_first", "unpivot_mixed", "explode_delim", "partition_by_columns",
     "chunk_cumulative", "chunk_cumulative_whole", "delta_sync", "table_upsert", "sync_counts", "scd2_result",
     "roundtrip_csv", "convert_parquet_jsonl", "csv_to_json", "extract_links", "text_map", "json_extract_columns",
@@ -51,7 +51,7 @@ def csv_chain(spark, schema=True):
     path = scratch_path(spark, "bench") + ".csv"
     lines = table(spark, FOLDER, "lineitem")
     write_any(lines.repartition(int(CPUS)), path)
-    known = {"schema": lines.schema, "multiLine": False} if schema else {}
+    known = {"schema": lines.schema} if schema else {}
     return lambda: mean_tax(read_any(spark, path, **known), "l_extendedprice", "l_quantity")
 
 
