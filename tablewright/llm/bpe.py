@@ -7,7 +7,7 @@ is merged once.
 
 Null text: empty, no ids, decoded to the empty text. Repeated rows get equal results. A text
 is never cut; a word of any length is merged whole. The special token written out in a text
-becomes its one id, as the library does by default.
+becomes its one id, as the library does by default. Columns of the input named like a new one are replaced.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Base phrases are counted at every place their words stand one after the other, w
 rules say.
 
 Null text: read as empty, no words, score 0. A text is scanned whole. Rows are independent,
-so repeated rows get equal results and an empty table gives an empty one.
+so repeated rows get equal results and an empty table gives an empty one. Columns of the input named
+like a new one are replaced.
 """
 
 from __future__ import annotations

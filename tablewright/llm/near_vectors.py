@@ -17,7 +17,7 @@ forest, never the pairs.
 Null labels, and vectors that are null, empty, zero or hold a null or non-finite component,
 link with nothing; vectors of different lengths do not link. Repeated rows are copies. A row
 whose vec_id is null takes part; a class of such rows only has a null id. An empty table gives
-an empty one.
+an empty one. Columns beside vec_id, label and embedding are not read.
 """
 
 from __future__ import annotations

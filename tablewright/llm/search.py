@@ -17,7 +17,7 @@ share ``VERIFIED`` of the vectors, and ``LEAST_VERIFIED`` or k if that is more,
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part;
 shorter vectors count as filled up with zeros. Equal products go by smaller vec_id, null last. A
-null vec_id is no query. Repeated rows are rows of their own, each a candidate of the other. An
+null vec_id is no query. Columns beside vec_id and embedding are read only by the condition on queries. Repeated rows are rows of their own, each a candidate of the other. An
 empty table gives an empty one.
 """
 
