@@ -5,8 +5,10 @@ window sum. It still runs in parallel, key or no key. The rows are range-partiti
 (key, order), so a key with much of the data covers many partitions. For each of those one
 task works out how an incoming sum leaves the partition: a step function of that sum, with
 no more steps than the rows of about one part, or with negative values the rows it takes to
-make up for the deepest fall as well. The functions are composed in a tree, the
-sums at the partition borders are read off, and a second pass numbers the rows.
+make up for the deepest fall as well. The steps are rows, range-partitioned by the sums that
+one stretch hands to the next, so that the functions of two neighbours are composed by looking
+up each outcome of the first among the steps of the second; a tree of such pairs covers a key.
+The sums at the partition borders are read off it, and a second pass numbers the rows.
 
 Sums are whole numbers: values and threshold are scaled by a power of ten, so no result
 depends on how many partitions there are or in which order they are put together.
@@ -14,7 +16,7 @@ depends on how many partitions there are or in which order they are put together
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from decimal import ROUND_CEILING, Decimal
 from typing import NamedTuple
@@ -31,7 +33,9 @@ from tablewright.functions.text import col
 from tablewright.operators.ordering import total_order
 from tablewright.sources.scratch import cut_lineage, with_place
 
-FAN_IN = 8
+# Steps of all chains that the driver takes itself, at 24 bytes each; more are composed as rows.
+FEW_STEPS = 1 << 20
+STEP_BATCH = 1 << 16
 # Digits after the point that floating point and text cells may have if the caller names no scale.
 DEFAULT_SCALE = 6
 # Beyond any sum, with room to add two of them.
@@ -158,9 +162,12 @@ def _runs(keys: pa.Array) -> list[tuple[str, int, int]]:
     return [(keys[lo].as_py(), lo, hi) for lo, hi in zip(edges[:-1], edges[1:])]
 
 
-STEPS_SCHEMA = "total bigint, low array<bigint>, out array<bigint>, cuts array<bigint>"
-BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry bigint, closed bigint, "
-                 f"change bigint, peak bigint, trough bigint, fall bigint, {STEPS_SCHEMA}")
+BORDER_ARROW = pa.schema([
+    ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
+    ("carry", pa.int64()), ("closed", pa.int64()), ("steps", pa.int64()), ("change", pa.int64()), ("peak", pa.int64()),
+    ("trough", pa.int64()), ("fall", pa.int64()), ("low", pa.int64()), ("out", pa.int64()), ("cuts", pa.int64())])
+BORDER_SCHEMA = ("pid int, first_key string, last_key string, single boolean, carry bigint, closed bigint, steps bigint, "
+                 "change bigint, peak bigint, trough bigint, fall bigint, low bigint, out bigint, cuts bigint")
 
 
 class Swing(NamedTuple):
@@ -184,9 +191,9 @@ def swing_of(values: np.ndarray) -> Swing:
 
 
 def _border(batches: Iterator[pa.RecordBatch], threshold: int, floor: int) -> Iterator[pa.RecordBatch]:
-    """One row per partition: its first and last key, the step function where it holds one
-    key only, the open sum of the last key's rows counted from this partition's start, and
-    the swing of all its values."""
+    """One row per partition: its first and last key, the open sum of the last key's rows
+    counted from this partition's start, and the swing of all its values. Where it holds one
+    key only, a row for each step of its step function follows."""
     pid, first, last, single, moved = None, None, None, True, 0.0
     head, held, carry, closed, swing = NO_ROWS, [], 0, 0, Swing()
     for batch in batches:
@@ -215,100 +222,179 @@ def _border(batches: Iterator[pa.RecordBatch], threshold: int, floor: int) -> It
         if held:
             head = then(head, steps_of(np.concatenate(held), threshold, floor), floor)
         yield pa.RecordBatch.from_pylist([{"pid": pid, "first_key": first, "last_key": last, "single": single,
-                                           "carry": carry, "closed": closed, **swing._asdict(),
-                                           **_packed(head)}], BORDER_ARROW)
+                                           "carry": carry, "closed": closed, "steps": len(head.low),
+                                           **swing._asdict()}], BORDER_ARROW)
+        for at in range(0, len(head.low), STEP_BATCH):
+            cells = {"low": head.low[at:at + STEP_BATCH], "out": head.out[at:at + STEP_BATCH],
+                     "cuts": head.cuts[at:at + STEP_BATCH]}
+            n = len(cells["low"])
+            cells["pid"] = np.full(n, pid, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[f.name]) if f.name in cells else pa.nulls(n, f.type)
+                                              for f in BORDER_ARROW], schema=BORDER_ARROW)
 
 
-BORDER_ARROW = pa.schema([
-    ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("single", pa.bool_()),
-    ("carry", pa.int64()), ("closed", pa.int64()), ("change", pa.int64()), ("peak", pa.int64()),
-    ("trough", pa.int64()), ("fall", pa.int64()), ("total", pa.int64()), ("low", pa.list_(pa.int64())),
-    ("out", pa.list_(pa.int64())), ("cuts", pa.list_(pa.int64()))])
-
-
-def _packed(f: Steps) -> dict:
-    return {"total": f.total, "low": f.low.tolist(), "out": f.out.tolist(), "cuts": f.cuts.tolist()}
-
-
-def _unpacked(row) -> Steps:
-    return Steps(int(row.total), np.asarray(row.low, dtype=np.int64), np.asarray(row.out, dtype=np.int64),
-                 np.asarray(row.cuts, dtype=np.int64))
-
-
-def _compose(pdf: pd.DataFrame, floor: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("spot")
-    result = NO_ROWS
-    for row in pdf.itertuples():
-        result = then(result, _unpacked(row), floor)
-    return pd.DataFrame([{"chain": pdf["chain"].iloc[0], "spot": pdf["parent"].iloc[0], **_packed(result)}])
-
-
-def _leave(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums entering and leaving each node of a group, from the sum entering the group."""
-    pdf = pdf.sort_values("spot")
-    carry, closed = int(pdf["in_carry"].iloc[0]), int(pdf["in_closed"].iloc[0])
-    rows = []
-    for row in pdf.itertuples():
-        after, more = apply_steps(_unpacked(row), carry)
-        rows.append((row.chain, row.spot, carry, closed, after, closed + more))
-        carry, closed = after, closed + more
-    return pd.DataFrame(rows, columns=["chain", "spot", "in_carry", "in_closed", "out_carry", "out_closed"])
-
-
-def _chain_exits(borders: DataFrame, spots: list[tuple[int, int, int]], entries: list[tuple[int, int, int]],
-                 floor: int) -> dict:
-    """``pid -> (carry, closed)`` leaving each partition of the chains: up the tree composing
-    step functions, down again handing each node its incoming sum."""
-    spark = borders.sparkSession
-    places = spark.createDataFrame(spots, "pid int, chain int, spot int")
-    level = borders.join(F.broadcast(places), "pid").select("chain", "spot", *STEPS_COLUMNS)
-    levels = [cut_lineage(level)]
-    longest = max(spot for _, _, spot in spots) + 1
-    while longest > 1:
-        grouped = levels[-1].withColumn("parent", F.expr(f"spot div {FAN_IN}").cast("int"))
-        levels.append(cut_lineage(grouped.groupBy("chain", "parent").applyInPandas(
-            lambda pdf: _compose(pdf, floor), f"chain int, spot int, {STEPS_SCHEMA}")))
-        longest = -(-longest // FAN_IN)
-    known = spark.createDataFrame([(c, 0, s, n) for c, s, n in entries],
-                                  "chain int, parent int, in_carry bigint, in_closed long")
-    schema = "chain int, spot int, in_carry bigint, in_closed long, out_carry bigint, out_closed long"
-    result = None
-    for depth in range(len(levels) - 1, -1, -1):
-        top = depth == len(levels) - 1
-        nodes = levels[depth].withColumn("parent", F.lit(0) if top else F.expr(f"spot div {FAN_IN}").cast("int"))
-        result = nodes.join(known, ["chain", "parent"]).groupBy("chain", "parent").applyInPandas(_leave, schema)
-        known = result.select("chain", F.col("spot").alias("parent"), "in_carry", "in_closed")
-    pid_of = {(chain, spot): pid for pid, chain, spot in spots}
-    return {pid_of[r["chain"], r["spot"]]: (r["out_carry"], r["out_closed"]) for r in result.collect()}
-
-
-STEPS_COLUMNS = ["total", "low", "out", "cuts"]
+Node = tuple[int, int]
+State = tuple[int, int]
+
+
+def _applied(steps: DataFrame, totals: dict[Node, int], states: dict[Node, State]) -> dict[Node, State]:
+    """The sum and count leaving each node of a level that the given ones enter."""
+    if not states:
+        return {}
+    asked = steps.sparkSession.createDataFrame([(*node, carry) for node, (carry, _) in states.items()],
+                                               "chain int, spot int, carry bigint")
+    found = (steps.join(F.broadcast(asked), ["chain", "spot"]).filter(F.col("low") <= F.col("carry"))
+             .groupBy("chain", "spot").agg(F.max(F.struct("low", "out", "cuts")).alias("step")).collect())
+    hits = {(r["chain"], r["spot"]): r["step"] for r in found}
+    return {node: (hits[node]["out"], closed + hits[node]["cuts"]) if node in hits else (carry + totals[node], closed)
+            for node, (carry, closed) in states.items()}
+
+
+class Late(NamedTuple):
+    """A step of the later node of a pair, the last one met so far in the order of sums."""
+
+    chain: int = -1
+    parent: int = -1
+    out: int = 0
+    cuts: int = 0
+
+
+def _passed_on(batch: pa.RecordBatch, last: Late, floor: int) -> tuple[pa.RecordBatch, Late]:
+    """Steps of paired nodes, in the order of the sums between the two, as steps of the pair.
+
+    What leaves the earlier node by a step enters the later one by the last of its steps
+    before, or passes it uncut. Steps of the later node count as well for sums that pass the
+    earlier one uncut.
+    """
+    cell = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+    late, low, out, cuts = cell["late"], cell["low"], cell["out"], cell["cuts"]
+    met = {name: np.concatenate(([value], cell[name])) for name, value in last._asdict().items()}
+    at = np.maximum.accumulate(np.where(np.concatenate(([True], late)), np.arange(len(late) + 1), 0))
+    entered = at[1:]
+    cut = (met["chain"][entered] == cell["chain"]) & (met["parent"][entered] == cell["parent"])
+    kept = ~late | (low - cell["early_total"] < cell["ceiling"])
+    steps = np.flatnonzero(late)
+    # A step is idle if the next one of its node already holds for the lowest sum there is.
+    idle = ((low[steps[1:]] - cell["early_total"][steps[1:]] <= floor) & (cell["chain"][steps[1:]] == cell["chain"][steps[:-1]])
+            & (cell["parent"][steps[1:]] == cell["parent"][steps[:-1]]))
+    kept[steps[:-1][idle]] = False
+    result = pd.DataFrame({"chain": cell["chain"], "spot": cell["parent"], "low": np.where(late, low - cell["early_total"], low),
+                           "out": np.where(late, out, np.where(cut, met["out"][entered], out + cell["late_total"])),
+                           "cuts": np.where(late, cuts, cuts + np.where(cut, met["cuts"][entered], 0))})[kept]
+    if floor == 0:
+        # Without negative values (cuts, out) never falls as the sum grows, so equal ones are one step.
+        result = result.sort_values("low").drop_duplicates(["chain", "spot", "out", "cuts"])
+    return (pa.RecordBatch.from_pandas(result, STEP_ARROW, preserve_index=False),
+            Late(*(int(met[name][at[-1]]) for name in Late._fields)))
+
+
+STEP_ARROW = pa.schema([("chain", pa.int32()), ("spot", pa.int32()), ("low", pa.int64()), ("out", pa.int64()), ("cuts", pa.int64())])
+STEP_SCHEMA = "chain int, spot int, low bigint, out bigint, cuts bigint"
+
+
+def _composed(steps: DataFrame, totals: dict[Node, int], floor: int) -> tuple[DataFrame, dict[Node, int]]:
+    """One level up: each two neighbouring nodes of a chain as one.
+
+    The steps are range-partitioned by (pair, sum between the two nodes), so those of one pair
+    may lie in many partitions; the driver hands each partition the last step of the later node before it.
+    """
+    spark = steps.sparkSession
+    first = steps.filter("spot % 2 = 0").groupBy("chain", "spot").agg(F.min("low").alias("low")).collect()
+    ceilings = {(r["chain"], r["spot"]): r["low"] for r in first}
+    pairs = spark.createDataFrame(
+        [(c, s // 2, totals[c, s], totals[c, s + 1], ceilings.get((c, s), LIMIT))
+         for c, s in totals if s % 2 == 0 and (c, s + 1) in totals],
+        "chain int, parent int, early_total bigint, late_total bigint, ceiling bigint")
+    nodes = steps.withColumn("parent", F.expr("spot div 2").cast("int")).join(F.broadcast(pairs), ["chain", "parent"], "left")
+    alone = nodes.filter("ceiling is null").select("chain", F.col("parent").alias("spot"), "low", "out", "cuts")
+    late = F.expr("spot % 2 = 1")
+    order = ["chain", "parent", "between", F.col("late").desc(), "low"]
+    laid = cut_lineage(nodes.filter("ceiling is not null")
+                       .withColumns({"late": late, "between": F.when(late, F.col("low")).otherwise(F.col("out"))})
+                       .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+                       .sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
+    ends = (laid.filter("late").groupBy("pid")
+            .agg(F.max_by(F.struct("chain", "parent", "out", "cuts"), F.struct("chain", "parent", "between")).alias("step")).collect())
+    ends = sorted((r["pid"], Late(*r["step"])) for r in ends)
+    pids, lasts = [pid for pid, _ in ends], [Late(), *(step for _, step in ends)]
+
+    def passed_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is None:
+                last = lasts[bisect_left(pids, batch.column("pid")[0].as_py())]
+            result, last = _passed_on(batch, last, floor)
+            yield result
+
+    above: dict[Node, int] = {}
+    for (c, s), total in totals.items():
+        above[c, s // 2] = above.get((c, s // 2), 0) + total
+    return cut_lineage(laid.mapInArrow(passed_on, STEP_SCHEMA).unionByName(alone)), above
+
+
+def _by_tree(steps: DataFrame, totals: dict[Node, int], entries: dict[int, State], floor: int) -> dict[Node, State]:
+    """The sum and count leaving each node: up a tree of pairs composing step functions, down
+    again with the sums that enter."""
+    levels = [(cut_lineage(steps), totals)]
+    while any(spot for _, spot in levels[-1][1]):
+        levels.append(_composed(*levels[-1], floor))
+    entering = {(chain, 0): state for chain, state in entries.items()}
+    final = _applied(*levels[-1], entering)
+    for rows, below in reversed(levels[:-1]):
+        entering = {(c, 2 * s): state for (c, s), state in entering.items()}
+        first = {(c, s): state for (c, s), state in entering.items() if (c, s + 1) in below}
+        entering.update({(c, s + 1): state for (c, s), state in _applied(rows, below, first).items()})
+    return {node: entering[node[0], node[1] + 1] if (node[0], node[1] + 1) in entering else final[node[0], 0]
+            for node in totals}
+
+
+def _in_turn(steps: DataFrame, totals: dict[Node, int], entries: dict[int, State]) -> dict[Node, State]:
+    """The same on the driver, for ``FEW_STEPS`` steps at most."""
+    held = steps.toArrow().to_pandas().sort_values("low")
+    functions = {node: rows for node, rows in held.groupby(["chain", "spot"])}
+    leaving, state = {}, (0, 0)
+    for node in sorted(totals):
+        carry, closed = entries[node[0]] if node[1] == 0 else state
+        rows = functions.get(node)
+        f = Steps(totals[node], *(NO_ROWS[1:] if rows is None else [rows[c].to_numpy() for c in ("low", "out", "cuts")]))
+        after, more = apply_steps(f, carry)
+        state = leaving[node] = (after, closed + more)
+    return leaving
 
 
 def _entries(borders: DataFrame, floor: int) -> dict[int, tuple[int, int]]:
     """``pid -> (sum, closed parts)`` brought into each partition that goes on with a key of
-    the one before. The driver sees one short row per partition; step functions stay out."""
-    rows = sorted(borders.select("pid", "first_key", "last_key", "single", "carry", "closed").collect(),
+    the one before. The driver sees one short row per partition, and the steps only if they are few."""
+    rows = sorted(borders.filter(F.col("low").isNull())
+                  .select("pid", "first_key", "last_key", "single", "carry", "closed", "steps", "change").collect(),
                   key=lambda r: r["pid"])
-    spots, chain_entries, leaves, goes_on, chain, spot = [], [], {}, {}, -1, 0
+    places, totals, chain_entries, leaves, goes_on = {}, {}, {}, {}, {}
+    chain, spot, count = -1, 0, 0
     for before, row in zip([None, *rows], rows):
         goes_on[row["pid"]] = before is not None and before["last_key"] == row["first_key"]
         if row["single"] and goes_on[row["pid"]]:
             if before["pid"] in leaves:
                 chain, spot = chain + 1, 0
-                chain_entries.append((chain, *leaves[before["pid"]]))
-            spots.append((row["pid"], chain, spot))
-            spot += 1
+                chain_entries[chain] = leaves[before["pid"]]
+            places[row["pid"]], totals[chain, spot] = (chain, spot), row["change"]
+            spot, count = spot + 1, count + row["steps"]
         else:
             leaves[row["pid"]] = (row["carry"], row["closed"])
-    if spots:
-        leaves.update(_chain_exits(borders, spots, chain_entries, floor))
+    if places:
+        named = borders.sparkSession.createDataFrame([(pid, *node) for pid, node in places.items()], "pid int, chain int, spot int")
+        steps = (borders.filter(F.col("low").isNotNull()).join(F.broadcast(named), "pid")
+                 .select("chain", "spot", "low", "out", "cuts"))
+        leaving = (_in_turn(steps, totals, chain_entries) if count <= FEW_STEPS
+                   else _by_tree(steps, totals, chain_entries, floor))
+        leaves.update({pid: leaving[node] for pid, node in places.items()})
     return {row["pid"]: leaves[before["pid"]] for before, row in zip(rows, rows[1:]) if goes_on[row["pid"]]}
 
 
 def _deepest_fall(borders: DataFrame) -> int:
     swing = Swing()
-    for row in sorted(borders.select("pid", *Swing._fields).collect(), key=lambda r: r["pid"]):
+    for row in sorted(borders.filter(F.col("low").isNull()).select("pid", *Swing._fields).collect(), key=lambda r: r["pid"]):
         swing = swing.and_then(Swing(*row[1:]))
         if max(swing.peak, -swing.trough) >= LIMIT:
             raise OverflowError("the running total grows beyond what fits; use a smaller scale")

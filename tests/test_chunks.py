@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,9 +130,54 @@ def test_equal_copies_are_spread_and_kept(spark):
     assert sizes == {i: 10 for i in range(1, 501)}
 
 
-def test_tree_with_many_levels(spark, monkeypatch):
-    monkeypatch.setattr(chunks, "FAN_IN", 2)
-    check(spark, [("x", i, float(i % 5)) for i in range(800)], 11, False, 13)
+@pytest.fixture
+def steps_as_rows(monkeypatch):
+    """Step functions are composed as rows, however few steps they have."""
+    monkeypatch.setattr(chunks, "FEW_STEPS", 0)
+
+
+@pytest.mark.parametrize("threshold", [1, 11, 300, 5000])
+def test_tree_with_many_levels(spark, steps_as_rows, threshold):
+    check(spark, [("x", i, float(i % 5)) for i in range(800)], threshold, False, 13)
+
+
+@pytest.mark.parametrize("threshold", [30, 4000])
+def test_tree_over_several_keys(spark, steps_as_rows, threshold):
+    rng = np.random.default_rng(6)
+    rows = [(k, i, float(v)) for k, n in (("a", 500), ("b", 20), ("c", 300), (None, 90))
+            for i, v in enumerate(rng.integers(0, 50, n))]
+    check(spark, rows, threshold, True, 19)
+
+
+def test_tree_with_negative_values(spark, steps_as_rows):
+    rng = np.random.default_rng(9)
+    for threshold in (60, 700):
+        check(spark, [("x", i, float(v)) for i, v in enumerate(rng.integers(-20, 30, 900))], threshold, False, 11)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(numbers, signed), st.one_of(numbers, signed), st.integers(1, 40), st.integers(1, 7))
+def test_steps_as_rows_compose_as_arrays_do(a, b, threshold, width):
+    floor = 0 if min([0, *a, *b]) >= 0 else -30
+    first, second = (steps_of(np.array(v, dtype=np.int64), threshold, floor) for v in (a, b))
+    whole = then(first, second, floor)
+    ceiling = int(first.low[0]) if len(first.low) else chunks.LIMIT
+    rows = sorted([(int(o), 1, int(w), int(o), int(c)) for w, o, c in zip(*first[1:])]
+                  + [(int(w), 0, int(w), int(o), int(c)) for w, o, c in zip(*second[1:])])
+    found, last = [], chunks.Late()
+    for at in range(0, len(rows), width):
+        _, early, low, out, cuts = (np.array(x) for x in zip(*rows[at:at + width]))
+        n = len(low)
+        batch = pa.RecordBatch.from_pydict({
+            "chain": pa.array([0] * n, pa.int32()), "parent": pa.array([0] * n, pa.int32()), "low": low, "out": out, "cuts": cuts,
+            "late": early == 0, "early_total": np.full(n, first.total), "late_total": np.full(n, second.total),
+            "ceiling": np.full(n, ceiling)})
+        result, last = chunks._passed_on(batch, last, floor)
+        found += [(r["low"], r["out"], r["cuts"]) for r in result.to_pylist()]
+    found = np.array(sorted(found), dtype=np.int64).reshape(-1, 3)
+    composed = chunks.Steps(whole.total, *found.T)
+    for carry in range(floor, threshold):
+        assert apply_steps(composed, carry) == apply_steps(whole, carry)
 
 
 def test_threshold_must_be_positive(spark):
