@@ -3,7 +3,7 @@
 Each vector is projected on ``PROJECTIONS`` lines (random orthogonal bases, one after the
 other); a line keeps its block's projections as one sorted array. A query opens a window around
 its own projection on every line; a vector inside is a collision. Windows widen by a factor
-(virtual rehashing: no second index) until enough vectors of the block collide on a share
+(virtual rehashing: no second index; only the entries a window gains are counted) until enough vectors of the block collide on a share
 ``THRESHOLD`` of the lines, and these are verified by exact inner products in double precision.
 
 For the largest inner product, vectors get one more component that lifts all to one length;
@@ -34,8 +34,8 @@ from tablewright.llm.vectors import inner, matrix, padded, usable
 
 PROJECTIONS = 128
 THRESHOLD = 0.8
-WIDEN = 1.06
-VERIFIED = 0.12
+WIDEN = 1.03
+VERIFIED = 0.22
 LEAST_VERIFIED = 150
 BLOCK = 4096
 QUERIES = 1024
@@ -50,48 +50,51 @@ def lines(width: int) -> np.ndarray:
 
 
 class Block:
-    """Sorted projections of a block's vectors, and each vector's rank on every line."""
+    """A block's vectors in the order of their projections, line by line."""
 
     def __init__(self, projected: np.ndarray):
         order = np.argsort(projected, axis=0, kind="stable")
         self.values = np.take_along_axis(projected, order, 0).T.copy()
-        self.ranks = np.empty(projected.shape, np.int32)
-        np.put_along_axis(self.ranks, order, np.arange(len(projected), dtype=np.int32)[:, None], 0)
-        self.ranks = self.ranks.T.copy()
+        self.order = order.T.copy()
         self.projected = projected
 
-    def collisions(self, centre: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """How many lines each vector shares a window with each query on: (queries, vectors)."""
-        counts = np.zeros((len(centre), self.ranks.shape[1]), np.uint8)
-        for line, (values, ranks) in enumerate(zip(self.values, self.ranks, strict=True)):
-            low = np.searchsorted(values, centre[:, line] - reach, "left").astype(np.int32)
-            high = np.searchsorted(values, centre[:, line] + reach, "right").astype(np.int32)
-            counts += (ranks[None, :] >= low[:, None]) & (ranks[None, :] < high[:, None])
-        return counts
+    def places(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Where each query's value stands in the sorted array of each line: (queries, lines)."""
+        return np.stack([np.searchsorted(v, at[:, line], side) for line, v in enumerate(self.values)], 1)
+
+    def collisions(self, *windows: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the windows, given as (from, to) places of every line."""
+        entries = [row[a:z] for low, high in windows for row, a, z in zip(self.order, low.tolist(), high.tolist(), strict=True) if a < z]
+        return np.bincount(np.concatenate([np.zeros(0, np.intp), *entries]), minlength=len(self.projected)).astype(np.uint8)
 
     def first_reach(self, centre: np.ndarray, least: int, wanted: int) -> float:
-        """The median, over some queries, of the reach at which ``wanted`` vectors collide on ``least`` lines."""
+        """The least, over some queries, of the reaches at which ``wanted`` vectors collide on ``least`` lines."""
         some = centre[:: max(1, len(centre) // 8)][:8]
         need = [np.partition(np.abs(self.projected - c), least - 1, axis=1)[:, least - 1] for c in some]
-        return float(np.median([np.partition(t, wanted - 1)[wanted - 1] for t in need]))
+        return float(min(np.partition(t, wanted - 1)[wanted - 1] for t in need))
 
     def candidates(self, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs to verify, ``k`` and the query itself for each at least."""
-        n = self.ranks.shape[1]
+        """(query, vector) pairs to verify, ``k`` and the query itself for each at least.
+
+        Counters stay as a window widens; only the entries it gains on both sides are visited.
+        """
+        n = len(self.projected)
         wanted = min(n, max(LEAST_VERIFIED, int(np.ceil(VERIFIED * n)), k + 1))
         least = int(np.ceil(THRESHOLD * len(self.values)))
-        reach = np.full(len(centre), max(self.first_reach(centre, least, wanted), 1e-9))
+        reach = max(self.first_reach(centre, least, wanted), 1e-9)
+        low = self.places(centre, "left")
+        high, counts = low.copy(), np.zeros((len(centre), n), np.uint8)
         left, out = np.arange(len(centre)), []
         while len(left):
-            still = []
-            for part in np.array_split(left, -(-len(left) // 256)):
-                enough = self.collisions(centre[part], reach[part]) >= least
-                done = enough.sum(1) >= wanted
-                q, v = np.nonzero(enough[done])
-                out.append((part[done][q], v))
-                still.append(part[~done])
-            left = np.concatenate(still)
-            reach[left] *= WIDEN
+            wider = self.places(centre[left] - reach, "left"), self.places(centre[left] + reach, "right")
+            for q, begin, end in zip(left.tolist(), *wider, strict=True):
+                counts[q] += self.collisions((begin, low[q]), (high[q], end))
+            low[left], high[left] = wider
+            enough = counts[left] >= least
+            done = enough.sum(1) >= wanted
+            q, v = np.nonzero(enough[done])
+            out.append((left[done][q], v))
+            left, reach = left[~done], reach * WIDEN
         return np.concatenate([q for q, _ in out]), np.concatenate([v for _, v in out])
 
 
