@@ -8,7 +8,9 @@ subspace distances, and what these cannot rule out is compared exactly.
 Nothing is lost. A vector within distance r of another can only lie in cells whose borders
 come within r of it, and those are the cells probed. A list entry is ruled out only if its
 table distance exceeds r by more than its own coding error. Centroids and codewords are fitted
-on a bounded sample (``SAMPLE`` vectors at most); a poor fit costs time, not links.
+on a bounded sample (``SAMPLE`` vectors at most); a poor fit costs time, not links. Cells grow with
+the square root of the table: beyond ``MOST_CENTRES`` centroids each cell is cut again, by the nearest of
+further centroids of what is left, with the same rule for borders.
 
 Lists and the vectors that probe them are dealt into blocks by a hash, and every block of a
 list meets every block of its probers in a task of its own; a task gives counts and a spanning
@@ -34,7 +36,7 @@ from tablewright.llm.vectors import inner, matrix, padded, usable
 
 LEAST_COSINE = 0.98
 SAMPLE = 8192
-MOST_CELLS = 1024
+MOST_CENTRES = 1024
 SUBSPACES = 16
 CODEWORDS = 256
 #: Centroids near a vector whose borders with the others are looked at.
@@ -43,6 +45,8 @@ BLOCK = 512
 SEED = 41
 #: Room for rounding in distances between unit vectors.
 SLACK = 1e-4
+#: Vectors whose parts of cells are looked at together.
+PROBED = 4096
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int, draw: np.random.Generator) -> np.ndarray:
@@ -65,38 +69,65 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return d.argmin(1), d
 
 
+class Cells:
+    """Centroids, and which of their cells come within reach of a vector."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+        self.between = np.sqrt(np.maximum(nearest(centres, centres)[1], 1e-12))
+
+    def probe(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        own, d = nearest(x, self.centres)
+        near = np.argsort(d, axis=1)[:, :BORDERS]
+        probe = np.ones(d.shape, bool)
+        for i in near.T:  # the border with cell j is (d_j - d_i) / (2 |c_i c_j|) away
+            probe &= d - np.take_along_axis(d, i[:, None], 1) <= 2 * (reach + SLACK) * self.between[i]
+        probe[np.arange(len(own)), own] = True
+        return own, probe
+
+
 class Index:
-    """Coarse centroids and, for each subspace, codewords of what is left."""
+    """Coarse centroids, further ones that cut each cell, and, for each subspace, codewords of what is left."""
 
     def __init__(self, sample: np.ndarray, cells: int):
         draw = np.random.default_rng(SEED)
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centres = lloyd(unit, cells, 8, draw)
-        rest = self.split(unit - self.centres[nearest(unit, self.centres)[0]])
-        self.words = [lloyd(rest[:, s], CODEWORDS, 6, draw) for s in range(SUBSPACES)]
-        self.between = np.sqrt(np.maximum(nearest(self.centres, self.centres)[1], 1e-12))
+        self.coarse = Cells(lloyd(unit, min(cells, MOST_CENTRES, len(unit)), 8, draw))
+        self.centres = self.coarse.centres
+        left = unit - self.centres[nearest(unit, self.centres)[0]]
+        self.words = [lloyd(part, CODEWORDS, 6, draw) for part in self.split(left).transpose(1, 0, 2)]
+        #: Parts of a cell; as many as bring the cells to the number asked for, one centroid to a vector of the sample at most.
+        self.parts = min(-(-cells // len(self.centres)), len(left))
+        self.fine = Cells(lloyd(left, self.parts, 8, draw)) if self.parts > 1 else None
 
     def split(self, x: np.ndarray) -> np.ndarray:
         wide = -(-x.shape[1] // SUBSPACES) * SUBSPACES
         return np.pad(x, ((0, 0), (0, wide - x.shape[1]))).reshape(len(x), SUBSPACES, -1)
 
-    def place(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Own cell, codes, coding error, and which cells come within ``reach`` of each vector."""
-        own, d = nearest(unit, self.centres)
+    def place(self, unit: np.ndarray, reach: float) -> tuple[np.ndarray, ...]:
+        """Codes and coding error of each vector; then row, cell and whether it is the row's own, for each cell that comes within ``reach``."""
+        own, probe = self.coarse.probe(unit, reach)
         rest = self.split(unit - self.centres[own])
         codes = np.stack([nearest(rest[:, s], w)[0] for s, w in enumerate(self.words)], 1).astype(np.uint8)
         coded = np.stack([w[codes[:, s]] for s, w in enumerate(self.words)], 1)
         error = np.sqrt(((rest - coded) ** 2).sum((1, 2)))
-        near = np.argsort(d, axis=1)[:, :BORDERS]
-        probe = np.ones(d.shape, bool)
-        for i in near.T:  # the border with cell j is (d_j - d_i) / (2 |c_i c_j|) away
-            probe &= d - np.take_along_axis(d, i[:, None], 1) <= 2 * (reach + SLACK) * self.between[i]
-        probe[np.arange(len(own)), own] = True
-        return own, codes, error, probe
+        row, cell = np.nonzero(probe)
+        home = own[row] == cell
+        if self.fine is not None:
+            rows, cells, homes = [], [], []
+            for at in range(0, len(row), PROBED):
+                r, c, h = row[at:at + PROBED], cell[at:at + PROBED], home[at:at + PROBED]
+                part, near = self.fine.probe(unit[r] - self.centres[c], reach)
+                i, j = np.nonzero(near)
+                rows.append(r[i])
+                cells.append(c[i] * self.parts + j)
+                homes.append(h[i] & (part[i] == j))
+            row, cell, home = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((rows, np.intp), (cells, np.intp), (homes, bool)))
+        return codes, error, row, cell, home
 
     def table(self, unit: np.ndarray, cell: int) -> np.ndarray:
         """Squared distance of each vector's part, taken from the cell's centroid, to each codeword: (vectors, subspaces, codewords)."""
-        rest = self.split(unit - self.centres[cell])
+        rest = self.split(unit - self.centres[cell // self.parts])
         return np.stack([np.pad(np.maximum(nearest(rest[:, s], w)[1], 0), ((0, 0), (0, CODEWORDS - len(w)))) for s, w in enumerate(self.words)], 1).astype(np.float32)
 
 
@@ -125,22 +156,21 @@ def link(vectors: DataFrame, scratch: Scratch, least: float = LEAST_COSINE) -> D
     if not drawn:
         drawn = classes.select("id", "embedding").limit(1).collect()
     sample = np.array([r.embedding for r in sorted(drawn, key=lambda r: r.id)], np.float64)
-    cells = int(max(1, min(MOST_CELLS, len(sample), round(np.sqrt(n) / 8))))
+    cells = max(1, round(np.sqrt(n) / 8))
     index = spark.sparkContext.broadcast(Index(sample, cells))
 
     def place(batches):
         for batch in batches:
             x = matrix(batch.column("embedding"), width)
-            own, codes, error, probe = index.value.place(unit_rows(x)[0], reach)
-            row, cell = np.nonzero(probe)
+            codes, error, row, cell, home = index.value.place(unit_rows(x)[0], reach)
             kept = [batch.column(c).take(pa.array(row)) for c in ("label", "size", "id", "copies", "embedding")]
             codes = pa.array([c.tobytes() for c in codes], pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*kept, codes, pa.array(error[row]), pa.array(cell.astype(np.int32)), pa.array(own[row] == cell)],
+            yield pa.RecordBatch.from_arrays([*kept, codes, pa.array(error[row]), pa.array(cell.astype(np.int32)), pa.array(home)],
                                              names=["label", "size", "id", "copies", "embedding", "codes", "error", "cell", "home"])
 
-    label = classes.schema["label"].dataType.simpleString()
+    label, embedding = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
     probing = scratch.keep(classes.select("label", "size", "id", "copies", "embedding").mapInArrow(
-        place, f"label {label}, size int, id bigint, copies bigint, embedding array<float>, codes binary, error double, cell int, home boolean"))
+        place, f"label {label}, size int, id bigint, copies bigint, embedding {embedding}, codes binary, error double, cell int, home boolean"))
     key = ["label", "size", "cell"]
     counts = scratch.keep(probing.groupBy(*key).agg(F.count(F.lit(1)).alias("n_probing"), F.count_if("home").alias("n_listed")).filter("n_listed > 0 and n_probing > 1"))
     dealt = probing.join(counts, key).withColumn("drawn", F.xxhash64("id", F.lit(5)))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def usable(column: str) -> Column:
@@ -16,16 +17,18 @@ def usable(column: str) -> Column:
 
 
 def padded(df: DataFrame, column: str) -> tuple[DataFrame, int]:
-    """Vectors as float arrays of one length, short ones filled up with zeros; the length."""
+    """Vectors as arrays of one length, short ones filled up with zeros; the length. Floats stay
+    floats, numbers of any other kind become doubles."""
     width = df.agg(F.max(F.size(column))).first()[0] or 0
-    v = F.col(column).cast("array<float>")
-    return df.withColumn(column, F.concat(v, F.array_repeat(F.lit(0).cast("float"), F.lit(width) - F.size(column)))), width
+    kind = "float" if isinstance(df.schema[column].dataType.elementType, T.FloatType) else "double"
+    v = F.col(column).cast(f"array<{kind}>")
+    return df.withColumn(column, F.concat(v, F.array_repeat(F.lit(0).cast(kind), F.lit(width) - F.size(column)))), width
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of a list column as float32."""
+    """Rows of a list column, floats as float32 and doubles as float64."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, width)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -70,6 +70,30 @@ def test_links_like_all_pairs(spark, monkeypatch, block):
     assert linked(spark, rows) == brute_links(rows)
 
 
+@pytest.mark.parametrize("centres", [1, 3])
+def test_cells_cut_again_lose_no_link(spark, monkeypatch, centres):
+    monkeypatch.setattr(near_vectors, "MOST_CENTRES", centres)
+    rows = clustered(900, seed=3)
+    index = near_vectors.Index(np.array([v for _, v, _ in rows]), 40)
+    assert index.parts == -(-40 // centres)
+    unit = near_vectors.unit_rows(np.array([v for _, v, _ in rows]))[0]
+    _, _, row, cell, home = index.place(unit, float(np.sqrt(0.04)))
+    assert sorted(row[home]) == list(range(len(rows))) and len(set(cell.tolist())) > 30
+    probed, own = {}, dict(zip(row[home].tolist(), cell[home].tolist(), strict=True))
+    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+        probed.setdefault(r, set()).add(c)
+    near = unit @ unit.T >= 0.98
+    assert all(own[j] in probed[i] for i, j in zip(*np.nonzero(near), strict=True))
+    assert linked(spark, rows) == brute_links(rows)
+
+
+def test_doubles_stay_doubles(spark):
+    df = spark.createDataFrame([(20, [1e39, 1.0], 1), (1, [2e39, 2.0], 1), (2, [1e39, -1e39], 1)], "vec_id long, embedding array<double>, label int")
+    got = {(r.query_id, r.vec_id): r.score for r in search(df, F.col("vec_id") % 20 == 0, 2).collect()}
+    assert got == {(20, 1): 2e39 * 1e39 + 2.0, (20, 2): 1e39 * 1e39 - 1e39}
+    assert sorted((r.vec_id, r.n_links) for r in near_duplicates(df).collect()) == [(1, 1), (2, 0), (20, 1)]
+
+
 def test_links_whole_table(spark):
     folder = "/root/testdata/sf0.01"
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
