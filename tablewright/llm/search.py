@@ -34,8 +34,8 @@ from tablewright.llm.vectors import inner, matrix, padded, usable
 
 PROJECTIONS = 128
 THRESHOLD = 0.8
-WIDEN = 1.03
-VERIFIED = 0.22
+WIDEN = 1.04
+VERIFIED = 0.12
 LEAST_VERIFIED = 150
 BLOCK = 4096
 QUERIES = 1024
