@@ -23,6 +23,8 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +36,7 @@ from tablewright.llm.vectors import inner, matrix, padded, usable
 
 PROJECTIONS = 128
 THRESHOLD = 0.8
-WIDEN = 1.04
+WIDEN = 1.06
 VERIFIED = 0.12
 LEAST_VERIFIED = 150
 BLOCK = 4096
@@ -55,8 +57,9 @@ class Block:
     def __init__(self, projected: np.ndarray):
         order = np.argsort(projected, axis=0, kind="stable")
         self.values = np.take_along_axis(projected, order, 0).T.copy()
-        self.order = order.T.copy()
+        self.order = order.T.astype(np.min_scalar_type(len(order)), order="C")
         self.projected = projected
+        self.met = np.empty(order.size, np.intp)
 
     def places(self, at: np.ndarray, side: str) -> np.ndarray:
         """Where each query's value stands in the sorted array of each line: (queries, lines)."""
@@ -65,7 +68,8 @@ class Block:
     def collisions(self, *windows: np.ndarray) -> np.ndarray:
         """How often each vector stands in the windows, given as (from, to) places of every line."""
         entries = [row[a:z] for low, high in windows for row, a, z in zip(self.order, low.tolist(), high.tolist(), strict=True) if a < z]
-        return np.bincount(np.concatenate([np.zeros(0, np.intp), *entries]), minlength=len(self.projected)).astype(np.uint8)
+        met = np.concatenate([self.order[0, :0], *entries], out=self.met[: sum(map(len, entries))])
+        return np.bincount(met, minlength=len(self.projected)).astype(np.uint8)
 
     def first_reach(self, centre: np.ndarray, least: int, wanted: int) -> float:
         """The least, over some queries, of the reaches at which ``wanted`` vectors collide on ``least`` lines."""
@@ -73,8 +77,8 @@ class Block:
         need = [np.partition(np.abs(self.projected - c), least - 1, axis=1)[:, least - 1] for c in some]
         return float(min(np.partition(t, wanted - 1)[wanted - 1] for t in need))
 
-    def candidates(self, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) pairs to verify, ``k`` and the query itself for each at least.
+    def candidates(self, centre: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each query with the vectors to verify, ``k`` and the query itself at least.
 
         Counters stay as a window widens; only the entries it gains on both sides are visited.
         """
@@ -84,18 +88,29 @@ class Block:
         reach = max(self.first_reach(centre, least, wanted), 1e-9)
         low = self.places(centre, "left")
         high, counts = low.copy(), np.zeros((len(centre), n), np.uint8)
-        left, out = np.arange(len(centre)), []
+        left = np.arange(len(centre))
         while len(left):
             wider = self.places(centre[left] - reach, "left"), self.places(centre[left] + reach, "right")
             for q, begin, end in zip(left.tolist(), *wider, strict=True):
                 counts[q] += self.collisions((begin, low[q]), (high[q], end))
             low[left], high[left] = wider
-            enough = counts[left] >= least
-            done = enough.sum(1) >= wanted
-            q, v = np.nonzero(enough[done])
-            out.append((left[done][q], v))
-            left, reach = left[~done], reach * WIDEN
-        return np.concatenate([q for q, _ in out]), np.concatenate([v for _, v in out])
+            waiting = []
+            for q in left.tolist():
+                near = np.flatnonzero(counts[q] >= least)
+                if len(near) >= wanted:
+                    yield q, near
+                else:
+                    waiting.append(q)
+            left, reach = np.array(waiting, np.intp), reach * WIDEN
+
+
+def verified(x: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and inner products of the k largest, and of all that tie with the last."""
+    score = inner(x, np.broadcast_to(query, x.shape))
+    if len(score) <= k:
+        return np.arange(len(score)), score
+    at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at, score[at]
 
 
 def best(query: np.ndarray, score: np.ndarray, vec_id: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
@@ -142,11 +157,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
             lifted = np.c_[data, np.sqrt(np.maximum(0, 1 - (data**2).sum(1)))]
             unit = x[q].astype(np.float64)
             unit /= np.sqrt((unit**2).sum(1, keepdims=True))
-            i, j = Block(lifted @ directions).candidates(np.c_[unit, np.zeros(len(q))] @ directions, k)
-            i, j = q[i], v[j]
-            other = row[i] != row[j]
-            i, j = i[other], j[other]
-            score = inner(x[i], x[j])
+            pairs = [(np.zeros(0, np.intp), np.zeros(0, np.intp), np.zeros(0))]
+            for asker, near in Block(lifted @ directions).candidates(np.c_[unit, np.zeros(len(q))] @ directions, k):
+                i, near = q[asker], v[near]
+                near = near[row[near] != row[i]]
+                at, score = verified(x[near], x[i], k)
+                pairs.append((np.full(len(at), i), near[at], score))
+            i, j, score = (np.concatenate(column) for column in zip(*pairs, strict=True))
             top = best(i, score, key[j], row[j], k)
             i, j = pa.array(i[top]), pa.array(j[top])
             yield pa.RecordBatch.from_arrays([pa.array(row[i.to_numpy()]), ids.take(i).combine_chunks(), ids.take(j).combine_chunks(), pa.array(row[j.to_numpy()]), pa.array(score[top])],
