@@ -42,6 +42,8 @@ LEAST_VERIFIED = 150
 BLOCK = 4096
 QUERIES = 1024
 SEED = 53
+#: Entries of a window from which it is read as a slice, not entry by entry.
+SLICED = 128
 
 
 def lines(width: int) -> np.ndarray:
@@ -57,18 +59,23 @@ class Block:
     def __init__(self, projected: np.ndarray):
         order = np.argsort(projected, axis=0, kind="stable")
         self.values = np.take_along_axis(projected, order, 0).T.copy()
-        self.order = order.T.astype(np.min_scalar_type(len(order)), order="C")
+        self.order = order.T.ravel()
         self.projected = projected
         self.met = np.empty(order.size, np.intp)
 
     def places(self, at: np.ndarray, side: str) -> np.ndarray:
-        """Where each query's value stands in the sorted array of each line: (queries, lines)."""
-        return np.stack([np.searchsorted(v, at[:, line], side) for line, v in enumerate(self.values)], 1)
-
-    def collisions(self, *windows: np.ndarray) -> np.ndarray:
-        """How often each vector stands in the windows, given as (from, to) places of every line."""
-        entries = [row[a:z] for low, high in windows for row, a, z in zip(self.order, low.tolist(), high.tolist(), strict=True) if a < z]
-        met = np.concatenate([self.order[0, :0], *entries], out=self.met[: sum(map(len, entries))])
+        """Where each query's value stands in the sorted array of each line, the arrays one after the other: (queries, lines)."""
+        n = len(self.projected)
+        return np.stack([line * n + np.searchsorted(v, at[:, line], side) for line, v in enumerate(self.values)], 1)
+
+    def collisions(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the windows between such places."""
+        lengths = end - begin
+        total = int(lengths.sum())
+        if total > SLICED * len(begin):
+            met = np.concatenate([self.order[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True)], out=self.met[:total])
+        else:
+            met = self.order[np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(total)]
         return np.bincount(met, minlength=len(self.projected)).astype(np.uint8)
 
     def first_reach(self, centre: np.ndarray, least: int, wanted: int) -> float:
@@ -86,14 +93,10 @@ class Block:
         wanted = min(n, max(LEAST_VERIFIED, int(np.ceil(VERIFIED * n)), k + 1))
         least = int(np.ceil(THRESHOLD * len(self.values)))
         reach = max(self.first_reach(centre, least, wanted), 1e-9)
-        low = self.places(centre, "left")
-        high, counts = low.copy(), np.zeros((len(centre), n), np.uint8)
+        low, high = self.places(centre - reach, "left"), self.places(centre + reach, "right")
+        counts = np.stack([self.collisions(begin, end) for begin, end in zip(low, high, strict=True)])
         left = np.arange(len(centre))
         while len(left):
-            wider = self.places(centre[left] - reach, "left"), self.places(centre[left] + reach, "right")
-            for q, begin, end in zip(left.tolist(), *wider, strict=True):
-                counts[q] += self.collisions((begin, low[q]), (high[q], end))
-            low[left], high[left] = wider
             waiting = []
             for q in left.tolist():
                 near = np.flatnonzero(counts[q] >= least)
@@ -102,6 +105,10 @@ class Block:
                 else:
                     waiting.append(q)
             left, reach = np.array(waiting, np.intp), reach * WIDEN
+            wider = self.places(centre[left] - reach, "left"), self.places(centre[left] + reach, "right")
+            for q, begin, end in zip(waiting, *wider, strict=True):
+                counts[q] += self.collisions(np.concatenate([begin, high[q]]), np.concatenate([low[q], end]))
+            low[left], high[left] = wider
 
 
 def verified(x: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
