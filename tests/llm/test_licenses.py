@@ -132,3 +132,39 @@ def test_the_gate_hides_no_branch(monkeypatch):
     ("Creative Commons Attribution No Derivatives 4.0", "cc-by-nd-4.0")])
 def test_branches_without_the_first_keyword(text, label):
     assert label in {d[3] for d in scan_text(text.encode())[2]}
+
+
+def brute_detections(text):
+    """Every rule over the whole text without a gate; a detection goes if one of a better rule, or a longer
+    one of an equal rule, holds all its words. Labels, score and (first, last, label, priority)."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+    found = set()
+    for line in RULES.strip().splitlines():
+        priority, label, _, pattern = line.split(" ", 3)
+        for m in re.finditer(rf"(?<![^ ])(?:{pattern})(?![^ ])", joined):
+            first = joined[: m.start()].count(" ")
+            found.add((-int(priority), -len(m.group().split(" ")), first, label))
+    kept = []
+    for priority, size, first, label in sorted(found):
+        if not any(f <= first and l >= first - size - 1 for f, l, _, _ in kept):
+            kept.append((first, first - size - 1, label, -priority))
+    doubt = 1.0
+    for d in kept:
+        doubt *= 1 - {4: 0.99, 3: 0.95, 2: 0.8, 1: 0.4}[d[3]]
+    return ",".join(sorted({d[2] for d in kept} | set(filter(None, brute(text)[4].split(","))))), 1 - doubt, sorted(kept)
+
+
+def test_detections_like_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [d.text for d in docs.collect()] + [t for t in TEXTS if len(t or "") < 1000]
+    mixed = ["Licensed under the Apache License, Version 2.0; the GNU General Public License version 3 or later, and CC BY-SA 4.0. MIT License",
+             "SPDX-License-Identifier: BSD-3-Clause. GNU Lesser General Public License version 2.1, Mozilla Public License 2.0 " * 7]
+    texts += mixed
+    hits = 0
+    for text, r in zip(texts, scanned(spark, texts), strict=True):
+        labels, score, kept = brute_detections(text)
+        assert r.labels == labels and abs(r.score - score) < 1e-12, text
+        assert sorted((d.first, d.last, d.label, d.priority) for d in r.detections) == kept
+        hits += len(kept)
+    assert hits > 20
