@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablewright.functions.text import col
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,31 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# Steps of a plan that leave rows in the order and the partitions in which they were read.
-IN_PLACE = {"Project", "Filter", "SubqueryAlias", "View", "Generate", "LogicalRelation", "Relation", "LocalRelation", "Range",
-            "MapInArrow", "MapInPandas", "ArrowEvalPython", "Deserialize", "Serialize"}
-
-
-def keeps_places(df: DataFrame) -> bool:
-    """Whether each step of the plan leaves the rows where they were read; False if it cannot be asked."""
-    try:
-        steps = [df._jdf.queryExecution().optimizedPlan()]
-        while steps:
-            step = steps.pop()
-            if step.nodeName().split(" ")[0] not in IN_PLACE:
-                return False
-            below = step.children()
-            steps += [below.apply(i) for i in range(below.size())]
-    except AttributeError:
-        return False
-    return True
-
-
 def with_place(df: DataFrame, place: str) -> DataFrame:
-    """Number the rows by their input place, the same numbers whenever a task runs again.
+    """Number the rows, the same numbers whenever a task runs again.
 
-    Rows straight from files come in one order always. After a shuffle they may not, so
-    the numbers are then fixed on disk before anything is partitioned by them.
+    After a shuffle a partition may bring its rows in another order the second time, so
+    each partition is sorted by all columns first; rows that still tie are equal, and either may
+    have either number. Rows with columns that cannot be sorted by are fixed on disk instead.
     """
-    numbered = df.withColumn(place, F.monotonically_increasing_id())
-    return numbered if keeps_places(df) else cut_lineage(numbered)
+    sortable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    if len(sortable) == len(df.columns):
+        cells = [col(c) for c in sortable]
+        # By a hash first: one whole number tells nearly all rows apart.
+        return df.sortWithinPartitions(F.xxhash64(*cells), *cells).withColumn(place, F.monotonically_increasing_id())
+    return cut_lineage(df.withColumn(place, F.monotonically_increasing_id()))

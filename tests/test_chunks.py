@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import plan_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright import chunk_cumulative
 from tablewright.operators import chunks
 from tablewright.operators.chunks import Swing, apply_steps, fold, steps_of, swing_of, then
+from tablewright.sources.scratch import with_place
 
 
 def brute(values, threshold, carry=0.0):
@@ -204,3 +206,21 @@ def test_values_must_fit_the_scale(spark):
     assert [r["part_idx"] for r in chunk_cumulative(df, "v", 0.25, ["pos"], scale=2).orderBy("pos").collect()] == [1, 2, 2]
     with pytest.raises(Exception, match="digits after the point"):
         chunk_cumulative(df, "v", 1, ["pos"], scale=1).collect()
+
+
+def test_places_do_not_depend_on_the_order_rows_arrive_in(spark):
+    rows = [(i % 7, str(i % 5), [float(i % 3)]) for i in range(400)]
+    schema = "a int, b string, c array<double>"
+    got = []
+    for given in (rows, rows[::-1]):
+        placed = with_place(spark.createDataFrame(given, schema).coalesce(1), "at")
+        got.append(sorted(map(str, placed.collect())))
+    assert got[0] == got[1] and len(set(got[0])) == 400
+    kept = with_place(spark.createDataFrame([({"x": 1},), ({"x": 2},)], "m map<string,int>"), "at")
+    assert len({r["at"] for r in kept.collect()}) == 2
+
+
+def test_the_sort_before_numbers_stays(spark):
+    df = with_place(spark.range(100).repartition(3), "at")
+    assert plan_of(df.orderBy("id", "at")).count("Sort [") == 2
+    assert plan_of(df.repartitionByRange(3, "id", "at")).count("Sort [") == 1
