@@ -10,6 +10,7 @@ from tablewright import (convert, csv_to_json, file_inventory, generate, json_to
                          read_sniffed, read_xml, sql_query, write_any, write_table, xml_to_json)
 from tablewright.operators.generate import parse_spec
 from tablewright.operators.text_columns import extract_fields, extract_links, map_text
+from tablewright.plans import QUERIES
 from tablewright.sources.files import file_format, path_info, read_csv_text, sniff_delimiter
 from tablewright.sources.scratch import shared_folder
 from tablewright.sources.tables import settle
@@ -359,6 +360,15 @@ def test_late_delimiters_and_wide_integers(spark, tmp_path):
     assert dict(df.dtypes) == {"id": "bigint", "wide": "string"} and df.select("id").distinct().count() == 2
 
 
+def test_ids_beyond_bigint(spark, tmp_path):
+    keys = [0, 4_775_807, 4_775_808, 9_000_000]
+    for many, kind in ((2, "bigint"), (4, "string")):
+        spark.createDataFrame([(k,) for k in keys[:many]], "o_orderkey bigint").write.parquet(str(tmp_path / kind / "orders.parquet"))
+        df = QUERIES["wide_integers"](spark, str(tmp_path / kind))
+        assert df.dtypes == [("id", kind), ("wide", "string")]
+        assert tuples(df.selectExpr("cast(id as string)", "wide")) == [(str(k + 9223372036850000000), f"9{k + 9223372036850000000}") for k in keys[:many]]
+
+
 def test_paths(spark, tmp_path):
     (tmp_path / "f").write_text("abc")
     assert path_info(spark, str(tmp_path / "f")) | {"modified": 0} == {"exists": True, "is_dir": False, "size_bytes": 3, "modified": 0}
