@@ -3,7 +3,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
-from conftest import tuples
+from conftest import plan_of, tuples
 from pyspark.sql import functions as F
 
 from tablewright import (convert, csv_to_json, file_inventory, generate, json_to_csv, json_to_xml, preview, read_any,
@@ -360,6 +360,18 @@ def test_late_delimiters_and_wide_integers(spark, tmp_path):
     assert dict(df.dtypes) == {"id": "bigint", "wide": "string"} and df.select("id").distinct().count() == 2
 
 
+def test_integers_at_the_ends_of_bigint(spark):
+    from tablewright.operators.clean import INTEGER, NUMBER, TEXT, TRUTH, WIDE, _kind
+    cells = {"9223372036854775807": INTEGER, "9223372036854775808": WIDE, "-9223372036854775808": INTEGER, "-9223372036854775809": WIDE,
+             "+9223372036854775807": INTEGER, "+9223372036854775808": WIDE, "0000000000000000000000012": INTEGER, "-00": INTEGER,
+             "123456789012345678": INTEGER, "99999999999999999999": WIDE, "1234567890.123456789012": NUMBER, "1e30": NUMBER, "true": TRUTH,
+             "12345678901234567890x": TEXT, " 12": TEXT, "-": TEXT, "": None, None: None}
+    df = spark.createDataFrame([(c,) for c in cells], "c string").select("c", _kind(F.col("c")).alias("k"))
+    assert {r["c"]: r["k"] for r in df.collect()} == cells
+    # a cast is tried only of what has the length of a bigint: one that fails takes longer than all the rest
+    assert "length(c" in plan_of(df)
+
+
 def test_ids_beyond_bigint(spark, tmp_path):
     keys = [0, 4_775_807, 4_775_808, 9_000_000]
     for many, kind in ((2, "bigint"), (4, "string")):
