@@ -84,17 +84,24 @@ class ByteBPE:
         """The symbol that each byte of the words begins with."""
         return self.first[np.frombuffer(raw, np.uint8)]
 
+    def places(self, pair: np.ndarray) -> np.ndarray:
+        """Where each pair is among the keys, if it is there at all."""
+        return np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each word has."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.array([len(r) for r in raw], np.int64)
-        ids = self.symbols(b"".join(raw), sizes)
-        word = np.repeat(np.arange(len(words)), sizes)
+        return self.merge_bytes(b"".join(raw), np.array([len(r) for r in raw], np.int64))
+
+    def merge_bytes(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, of words that lie one after the other in UTF-8."""
+        ids = self.symbols(raw, sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
         done_ids, done_words = [], []
         while len(ids):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             pair = np.r_[ids[:-1] * self.size + ids[1:], -1]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            at = self.places(pair)
             known = (self.keys[at] == pair) & np.r_[word[1:] == word[:-1], False]
             rank = np.where(known, self.ranks[at], NO_RANK)
             lowest = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
@@ -111,7 +118,7 @@ class ByteBPE:
             ids, word = ids[stay], word[stay]
         word = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
         order = np.argsort(word, kind="stable")
-        return (np.concatenate(done_ids)[order] if done_ids else ids), np.bincount(word, minlength=len(words))
+        return (np.concatenate(done_ids)[order] if done_ids else ids), np.bincount(word, minlength=len(sizes))
 
     def learn(self, words: list[str]) -> None:
         flat, sizes = self.merge(words)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import random
 import zlib
 from itertools import chain
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tablewright.llm.bpe import ByteBPE, byte_symbols
-from tablewright.llm.common import fresh, gather, text_slices
+from tablewright.llm.common import fresh, gather, text_buffers, text_slices
 from tablewright.llm.patterns import plan
 from tablewright.llm.scratch import Scratch
 
@@ -41,7 +42,12 @@ CAPACITY = 4096
 MOST_CAPACITY = 1 << 16
 #: Distinct words a task remembers before it starts anew.
 WORDS_KEPT = 300_000
-STOPS = ".,;:!?"
+#: Characters below this one are tried, those of one byte and of two bytes from C2 to C9; what a character is: white space, part of a word of its kind, or left to the library.
+LATIN = 0x280
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+#: Slots of the table of merges, and the odd number that spreads keys over them.
+SLOT_BITS = 19
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Words by which the batched merges are held against the library.
 PROBE = ["a", "ab", "aaaaaaa", "straße", "être", "niño", "unbelievably", "zzzqqq", "thething", "ŵƿ"]
 
@@ -54,6 +60,21 @@ class EndedWords(ByteBPE):
         with open(path, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
         self.last = np.array([vocab[c + mark] for c, _ in sorted(byte_symbols().items(), key=lambda x: x[1])], np.int64)
+        # one slot of a table holds most keys alone; those that share one are searched for
+        slot = self.slot(self.keys)
+        self.slots = np.zeros(1 << SLOT_BITS, np.int64)
+        self.slots[slot] = np.arange(len(self.keys))
+        self.shared = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+
+    def slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.view(np.uint64) * SPREAD) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+    def places(self, pair: np.ndarray) -> np.ndarray:
+        slot = self.slot(pair)
+        at = self.slots[slot]
+        search = np.flatnonzero(self.shared[slot])
+        at[search] = super().places(pair[search])
+        return at
 
     def symbols(self, raw: bytes, sizes: np.ndarray) -> np.ndarray:
         ids = super().symbols(raw, sizes)
@@ -65,9 +86,10 @@ class EndedWords(ByteBPE):
 class WordIds:
     """Ids as the tokenizers library gives them, each distinct word of a task encoded once.
 
-    Where the vocabulary drops white space a text is cut at spaces and line breaks, and a stop
-    after a letter is a word of its own; else a word is the whole text. Words of Latin letters are
-    merged in batches where that is found to give the library's ids; the library sees the others.
+    Where the vocabulary drops white space a text is cut at spaces and line breaks; else a word is
+    the whole text. What stands between is cut into letters, single digits and other signs
+    and merged in batches if it has only such characters (below U+0280) as are found to give the
+    library's ids that way; the library sees the others whole.
     """
 
     def __init__(self, path: str):
@@ -80,77 +102,134 @@ class WordIds:
         added = self.tool.get_added_tokens_decoder().values()
         parts = self.ids_of(["Ab'a", ".", "1"])
         self.cuts = self.ids_of(["Ab'a. 1"])[0] == [*chain(*parts)] and not any(t.lstrip or t.rstrip or " " in t.content or "\n" in t.content for t in added)
-        self.lowers = self.cuts and self.ids_of(["Ab'S"]) == self.ids_of(["ab's"])
         with open(path, encoding="utf-8") as file:
             mark = json.load(file)["model"].get("end_of_word_suffix")
-        self.merges = EndedWords(path, mark) if mark and self.lowers else None
+        self.merges = EndedWords(path, mark) if mark and self.cuts else None
         if self.merges and not np.array_equal(self.merges.merge(PROBE)[0], [*chain(*self.ids_of(PROBE))]):
             self.merges = None
+        # by code point: the kind, and the character in lower case
+        self.kinds, self.lower = np.full(LATIN, ODD, np.uint8), np.arange(LATIN)
+        if self.merges:
+            self.try_characters("'" + "".join(t.content[:1] for t in added))
+        self.kinds[[ord(" "), ord("\n")]] = SPACE
+        # bytes from 128 on are parts of characters
+        self.byte_kinds, self.byte_lower = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+        self.byte_kinds[:128], self.byte_lower[:128] = self.kinds[:128], self.lower[:128]
+        self.forget()
+        # kinds side by side, as the library cuts them; else it sees all words
+        plain, rnd = [chr(c) for c in np.flatnonzero(self.kinds != ODD)], random.Random(0)
+        mixed = ["".join(rnd.choices(plain, k=40)) for _ in range(200)]
+        flat, _ = self.encode(pa.array(mixed), -1)
+        if flat[flat >= 0].tolist() != [*chain(*self.ids_of(mixed))]:
+            self.byte_kinds[self.byte_kinds != SPACE] = self.kinds[self.kinds != SPACE] = ODD
         self.forget()
 
+    def try_characters(self, odd: str) -> None:
+        """Note the kind of each character whose ids, between two letters, are the library's."""
+        tried = []
+        for c in map(chr, range(LATIN)):
+            low = c.lower()
+            if c in odd or len(low) > 1 or low >= chr(LATIN):
+                continue
+            if c.isalpha():
+                tried.append((c, low, LETTER, [f"x{low}{low}y"]))
+            elif c.isascii() and c.isdigit():
+                tried.append((c, low, DIGIT, ["x", c, c, "y"]))
+            elif c.isascii() and c.isprintable() and c != " ":
+                tried.append((c, low, SIGN, ["x", c + c, "y"]))
+        for (c, low, kind, words), ids in zip(tried, self.ids_of([f"x{c}{c}y" for c, *_ in tried]), strict=True):
+            if self.merges.merge(words)[0].tolist() == ids:
+                self.kinds[ord(c)], self.lower[ord(c)] = kind, ord(low)
+
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        # a word is one or two parts; part 0 is empty
-        self.index, self.words, self.parts = {"": 0}, np.zeros((1, 2), np.int64), {"": 0}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def split(self, word: str) -> tuple[str, str]:
-        """The parts of a word, which are encoded alone and give the same ids; words beyond Latin stay whole."""
-        if not self.cuts or not (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
-            return word, ""
-        if self.lowers and "<" not in word:
-            word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in STOPS and word[-2:-1].isalpha() else (word, "")
-
-    def lowered(self, text: str) -> str:
-        """A text of the first 256 characters in lower case, as the vocabulary makes it; others are left to their words."""
-        if not self.lowers or "<" in text:
-            return text
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text
-        return text.lower()
-
-    def add(self, parts: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.parts.update(zip(parts, range(len(self.sizes), len(self.sizes) + len(parts)), strict=True))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-        self.flat, self.sizes = np.r_[self.flat, flat], np.r_[self.sizes, sizes]
-
-    def learn(self, words: list[str]) -> None:
-        split = [*chain(*map(self.split, words))]
-        new = set(split).difference(self.parts)
-        if self.merges:
-            plain = [w for w in new if w.isalpha() and (w.isascii() or (max(w) < "\u0250" and "\u0130" not in w))]
-            if plain:
-                self.add(plain, *self.merges.merge(plain))
-            new.difference_update(plain)
-        if new:
-            ids = self.ids_of(rest := list(new))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.add(rest, np.fromiter(chain(*ids), np.int64, int(sizes.sum())), sizes)
-        self.index.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.words = np.r_[self.words, np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split)).reshape(-1, 2)]
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.index: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def words(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word begins and ends, whether the library must see it, and the bytes, in lower case but for such words."""
+        if not self.cuts:
+            full = np.flatnonzero(np.diff(rows))
+            return rows[full], rows[full + 1], np.ones(len(full), bool), data
+        kind, low = self.byte_kinds[data], self.byte_lower[data]
+        lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xC9) & (data[1:] >> 6 == 2))
+        point = ((data[lead].astype(np.int64) & 31) << 6) | (data[lead + 1] & 63)
+        kind[lead] = kind[lead + 1] = self.kinds[point]
+        point = self.lower[point]
+        low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 63
+        first = np.zeros(len(data) + 1, bool)
+        first[rows] = True
+        first = first[:-1]
+        inside = kind != SPACE
+        begin = np.flatnonzero(inside & (first | ~np.r_[False, inside[:-1]]))
+        if len(begin):
+            odd = np.repeat(np.maximum.reduceat(kind, begin) == ODD, np.diff(np.r_[begin, len(data)]))
+            at = begin[0] + np.flatnonzero(odd & inside[begin[0] :])
+            kind[at], low[at] = ODD, data[at]
+        bounds = np.flatnonzero(first | np.r_[True, kind[1:] != kind[:-1]][: len(kind)] | (kind == DIGIT))
+        ends = np.r_[bounds[1:], len(data)]
+        kept = inside[bounds]
+        bounds = bounds[kept]
+        return bounds, ends[kept], kind[bounds] == ODD, low
+
+    def learn(self, words: list[bytes], odd: list[bool]) -> None:
+        plain = [w for w, o in zip(words, odd, strict=True) if not o]
+        rest = [w for w, o in zip(words, odd, strict=True) if o]
+        flat, sizes = [], []
+        if plain:
+            ids, many = self.merges.merge_bytes(b"".join(plain), np.fromiter(map(len, plain), np.int64, len(plain)))
+            flat.append(ids)
+            sizes.append(many)
+        if rest:
+            ids = self.ids_of([w.decode() for w in rest])
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain(*ids), np.int64, int(sizes[-1].sum())))
+        ids, many = np.concatenate(flat), np.concatenate(sizes)
+        self.index.update(zip(plain + rest, range(len(self.sizes), len(self.sizes) + len(many)), strict=True))
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(many) - many]
+        self.flat, self.sizes = np.r_[self.flat, ids], np.r_[self.sizes, many]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, ``end`` behind each, and the row offsets."""
         if len(self.index) > WORDS_KEPT:
             self.forget()
-        each = [self.lowered(t).replace("\n", " ").split(" ") for t in texts] if self.cuts else [[t] for t in texts]
-        words = [*chain(*each)]
-        new = list(set(words).difference(self.index))
+        data, rows = text_buffers(texts)
+        starts, ends, odd, low = self.words(data, rows)
+        one, of = distinct_runs(low, starts, ends - starts)
+        raw = low.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        new = {w: o for w, o in zip(words, odd[one].tolist(), strict=True) if w not in self.index}
         if new:
-            self.learn(new)
-        pairs = self.words[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
-        part = pairs.ravel()
-        part = part[part > 0]
-        flat = gather(self.flat, self.starts[part], self.sizes[part])
-        offsets = np.r_[0, np.cumsum(self.sizes[pairs].sum(1))][np.r_[0, np.cumsum([len(ws) for ws in each], dtype=np.int64)]]
+            self.learn(list(new), list(new.values()))
+        word = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[of]
+        sizes = self.sizes[word]
+        flat = gather(self.flat, self.starts[word], sizes)
+        offsets = np.r_[0, np.cumsum(sizes)][np.searchsorted(starts, rows)]
         return np.insert(flat, offsets[1:], end), offsets + np.arange(len(offsets))
 
 
+def distinct_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One run of bytes for all that are equal, and for each run the number of that one; runs over 16 bytes stand for themselves."""
+    padded = np.r_[data, np.zeros(16, np.uint8)]
+    eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+    short = np.flatnonzero(sizes <= 16)
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    head = eight[starts[short]] & mask[np.minimum(sizes[short], 8)]
+    tail = eight[starts[short] + 8 * (sizes[short] > 8)] & mask[np.maximum(sizes[short] - 8, 0)]
+    mixed, group = np.unique(head ^ (tail * SPREAD), return_inverse=True)
+    one = np.empty(len(mixed), np.int64)
+    one[group] = np.arange(len(short))
+    same = one[group]
+    if not (np.array_equal(head[same], head) and np.array_equal(tail[same], tail) and np.array_equal(sizes[short][same], sizes[short])):
+        one = group = np.arange(len(short))  # two runs came to one number
+    long = np.flatnonzero(sizes > 16)
+    of = np.empty(len(starts), np.int64)
+    of[short], of[long] = group, len(one) + np.arange(len(long))
+    return np.r_[short[one], long], of
+
+
 @functools.lru_cache(2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -169,7 +248,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 1,
         tool = word_ids(path)
         for batch in batches:
             for part in text_slices(batch, text):
-                flat, offsets = tool.encode(part.column(text).fill_null("").to_pylist(), end)
+                flat, offsets = tool.encode(part.column(text), end)
                 sizes = np.diff(offsets)
                 many = -(-sizes // capacity)
                 row = np.repeat(np.arange(len(sizes)), many)

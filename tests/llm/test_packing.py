@@ -5,10 +5,11 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tablewright.llm import QUERIES
+from tablewright.llm import QUERIES, packing
 from tablewright.llm.packing import pack, sequences, tokenize
 from tablewright.llm.patterns import Plan, enumerate_patterns, nnls, plan
 
@@ -82,6 +83,28 @@ def test_pieces_like_the_library(spark):
     assert [got[i] for i in range(len(texts))] == library(texts)
 
 
+def test_words_with_signs_and_digits_without_the_library(monkeypatch):
+    texts = ["Haus&&& the.%%% (12-34), ÉTÉ!! ŁÓDŹ", None, "", " \n", "x", "y\n" + "unbelievable" * 3 + "**", "the the", "été"]
+    want = [i for ids in library(texts) for i in ids]
+    tool = packing.WordIds(PATH)
+    monkeypatch.setattr(tool, "ids_of", lambda words: pytest.fail(f"the library saw {words}"))
+    flat, offsets = tool.encode(pa.array(texts), 1)
+    assert flat.tolist() == want and np.diff(offsets).tolist() == [len(ids) for ids in library(texts)]
+
+
+@pytest.mark.parametrize("spread", [packing.SPREAD, np.uint64(0)])
+def test_words_of_all_kinds_like_the_library(spread, monkeypatch):
+    tool = packing.WordIds(PATH)
+    monkeypatch.setattr(packing, "SPREAD", spread)  # with 0 different words come to one number
+    tool.merges = packing.EndedWords(PATH, "</w>")
+    rnd = random.Random(11)
+    pools = ["abAB éÉ12.,&%-\n ", "'<|>st \t\x00\x1c\x7f\x85\xa0²½×÷ªµ", "İıŁłȺȾɏɐ\u0301Σςσ日本😀ß", "thereunbeliev ", "".join(map(chr, range(0x250)))]
+    texts = ["".join(rnd.choices(rnd.choice(pools) + rnd.choice(pools), k=rnd.randrange(120))) for _ in range(1500)]
+    texts += ["a\0", "a", "12345678abcdefgh", "12345678", "abcdefghijklmnop", "abcdefghijklmnopq", "<|endoftext|>", "<|ENDOFTEXT|>", "don't DON'T ,'s"]
+    flat, offsets = tool.encode(pa.array(texts).slice(1), 1)
+    assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == library(texts[1:])
+
+
 def test_a_vocabulary_that_keeps_spaces(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["a b  c.\n d", "x y"]
