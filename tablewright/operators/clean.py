@@ -140,11 +140,12 @@ INTEGER, WIDE, NUMBER, TRUTH, TEXT = 1, 2, 4, 8, 16
 def _kind(c: Column) -> Column:
     """The bit of a cell: an integer, one too wide for bigint, a number, a truth value or text."""
     # a cast that fails is dear: it is tried where digits of that length fit and, first looked for, there is no point; else digits are compared
-    number = F.when((F.length(c) < 19) | ((F.length(c) == 19) & (c <= "9223372036854775807")), c.try_cast("bigint"))
+    size, most = F.length(c), "9223372036854775807"
+    number = F.when((size < 19) | ((size == 19) & (c <= most)), c.try_cast("bigint"))
     digits = F.regexp_replace(c, r"^[+-]?0*|\s+$", "")
-    most = F.when(c.startswith("-"), "9223372036854775808").otherwise("9223372036854775807")
-    fits = (F.length(digits) < 19) | ((F.length(digits) == 19) & (digits <= most))
+    fits = (F.length(digits) < 19) | ((F.length(digits) == 19) & (digits <= F.when(c.startswith("-"), "9223372036854775808").otherwise(most)))
     return (F.when(c == "", None).when(~c.contains(".") & (number.cast("string") == c), INTEGER)
+            .when((size >= 19) & c.rlike(r"^[1-9]\d{18,}\z"), F.when((size > 19) | (c > most), WIDE).otherwise(INTEGER))
             .when(c.rlike(CAST_TEXTS["bigint"]), F.when(fits, INTEGER).otherwise(WIDE))
             .when(c.rlike(r"^-?\d+\.\d+$"), NUMBER).when(c.rlike(CAST_TEXTS["double"]), NUMBER)
             .when(c.rlike(CAST_TEXTS["boolean"]), TRUTH).when(c.isNotNull(), TEXT))

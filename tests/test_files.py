@@ -363,7 +363,7 @@ def test_late_delimiters_and_wide_integers(spark, tmp_path):
 def test_integers_at_the_ends_of_bigint(spark):
     from tablewright.operators.clean import INTEGER, NUMBER, TEXT, TRUTH, WIDE, _kind
     cells = {"9223372036854775807": INTEGER, "9223372036854775808": WIDE, "-9223372036854775808": INTEGER, "-9223372036854775809": WIDE,
-             "+9223372036854775807": INTEGER, "+9223372036854775808": WIDE, "0000000000000000000000012": INTEGER, "-00": INTEGER,
+             "9223372036854775807\n": INTEGER, "+9223372036854775807": INTEGER, "+9223372036854775808": WIDE, "0000000000000000000000012": INTEGER, "-00": INTEGER,
              "123456789012345678": INTEGER, "99999999999999999999": WIDE, "1234567890.123456789012": NUMBER, "1e30": NUMBER, "true": TRUTH,
              "12345678901234567890x": TEXT, " 12": TEXT, "-": TEXT, "": None, None: None}
     df = spark.createDataFrame([(c,) for c in cells], "c string").select("c", _kind(F.col("c")).alias("k"))
